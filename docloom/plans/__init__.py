@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "vector_topk"
+from docloom.plans import aggregates, filters, scalars
+from docloom.plans._catalog import QUERIES, SQL, Query
 
+__all__ = ["aggregates", "filters", "scalars"]
+FLAGSHIP = "rag_context"
 
-def queries() -> dict:
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql() -> dict:
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
