@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docloom.plans import aggregates, filters, scalars
+from docloom.plans import aggregates, filters, graphs, scalars
 from docloom.plans._catalog import QUERIES, SQL, Query
 
-__all__ = ["aggregates", "filters", "scalars"]
+__all__ = ["aggregates", "filters", "graphs", "scalars"]
 FLAGSHIP = "rag_context"
 
 
