@@ -60,7 +60,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
 
 def top_per_query(scored: DataFrame, k: int) -> DataFrame:
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
 
 
 def reciprocal_rank_fusion(rankings: list[DataFrame], k: int = 60) -> DataFrame:
