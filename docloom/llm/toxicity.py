@@ -3,7 +3,8 @@
 A text's units are its lower-cased words, letters only, and runs of single letters joined ("i d i o t"). The kernel
 K(u, l) sums decay ** (span in u + span in l) over common subsequences of ``order`` letters, gaps allowed, divided by
 sqrt(K(u, u) K(l, l)). So an insult with letters inserted or left out stays near its landmark. Landmarks are units of
-labelled texts. A text's features are, for each landmark, the largest kernel value over its units, the sum of the values
+labelled texts. Kernel values count from a floor
+up to full likeness. A text's features are, for each landmark, the largest value over its units, the sum of the values
 in proportion to the units, and the logarithm of that sum; Nyström's K(L, L) ** -1/2 whitens each of the three. A linear
 support vector machine trained by dual coordinate descent separates them, and Platt's sigmoid turns margins to scores.
 
@@ -37,8 +38,9 @@ class ToxicityModel:
     """What scoring needs: some hundred numbers for each of at most ``landmarks`` short strings."""
 
     order: int = 3
-    decay: float = 0.6
-    floor: float = 0.45
+    decay: float = 0.75
+    floor: float = 0.35
+    full: float = 0.65
     landmarks: list[str] = field(default_factory=list)
     weights: np.ndarray | None = None  # 3 for each landmark, Nyström's matrix folded in
     bias: float = -3.0
@@ -160,7 +162,7 @@ class _Pooling:
             for i, j, v in zip(*(x.tolist() for x in similarities([letters(u) for u in part], self.model)), strict=True):
                 if (found := known[part[i]]) is None:
                     found = known[part[i]] = {}
-                found[j] = max(found.get(j, 0.0), v)
+                found[j] = max(found.get(j, 0.0), min(1.0, (v - self.model.floor) / (self.model.full - self.model.floor)))
         for row, count in zip(out, counted, strict=True):
             top, total = row[:m], row[m : 2 * m]
             for u, k in count.items():
@@ -193,7 +195,7 @@ def choose_landmarks(counted: list[Counter], toxic: np.ndarray, model: ToxicityM
             for u in t & holds.keys():
                 holds[u].append(i)
     open_, chosen = np.ones(len(texts)), []
-    near = ToxicityModel(model.order, model.decay, model.floor, first)
+    near = ToxicityModel(model.order, model.decay, model.floor, landmarks=first)
     like = {u: set() for u in first}
     for i, j, v in zip(*similarities(first, near), strict=True):
         like[first[j]].add(first[i])
@@ -212,7 +214,7 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: float, epochs: int = 60) -> np.ndar
     """Weights (the last is the bias) of an L2-regularised squared-hinge machine, by dual coordinate descent."""
     x = np.hstack([x, np.ones((len(x), 1))])
     sign = np.where(y > 0, 1.0, -1.0)
-    c = cost * np.where(y > 0, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
+    c = cost * np.where(y > 0, max(1.0, (len(y) - y.sum()) / y.sum()) ** 0.5, 1.0)  # the rarer toxic texts weigh more
     w, alpha, norm = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(axis=1) + 1 / (2 * c)
     rng = np.random.default_rng(5)
     for _ in range(epochs):
@@ -240,7 +242,7 @@ def fit(texts: list[str | None], toxic: list[int], landmarks: int = 40, cost: fl
         return model
     pool = _Pooling(model)
     x = pool.features(texts).astype(float)
-    full = ToxicityModel(model.order, model.decay, -1.0, model.landmarks)
+    full = ToxicityModel(model.order, model.decay, -1.0, landmarks=model.landmarks)
     gram = np.zeros((m, m))
     i, j, v = similarities(model.landmarks, full, gate=False)
     gram[i, j] = v
