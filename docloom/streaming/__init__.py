@@ -1 +1,91 @@
-"""docloom.streaming"""
+"""Structured Streaming forms of the incremental operators; each has a batch query that it equals."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """Event files as a stream; ts becomes a timestamp with zone, as watermarks need one."""
+    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def watch_folder(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """New files of a folder as a stream of (path, content, sha256); files should be renamed into it when complete."""
+    raw = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return raw.select("path", "content", F.sha2("content", 256).alias("sha256"))
+
+
+def tumbling(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    e = events.withWatermark("ts", late)
+    return e.groupBy("event_type", F.window("ts", size)).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("event_type", F.col("window.start").alias("start"), "n", "total")
+
+
+def sliding(events: DataFrame, size: str = "1 hour", step: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    e = events.withWatermark("ts", late)
+    return e.groupBy("event_type", F.window("ts", size, step)).agg(F.count("*").alias("n")).select("event_type", F.col("window.start").alias("start"), "n")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Debounced events: a session's last event stands for it."""
+    e = events.withWatermark("ts", late)
+    return e.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"), F.max("event_id").alias("last_event")).select("user_id", "n", "last_event")
+
+
+def first_seen(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
+    """The first event of each key within the watermark."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
+def admit(events: DataFrame, most: int, seconds: int, late: str = "10 minutes") -> DataFrame:
+    """(event_id, user_id, admitted): a client's events while fewer than ``most`` admitted ones lie in the last seconds.
+
+    Rejected events don't count, so this is state and no window frame. State holds at most ``most`` times a client.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        out = []
+        for event, at in zip(rows["event_id"], rows["ts"].astype("int64") // 1000, strict=True):
+            times = [t for t in times if t > at - seconds * 1_000_000]
+            ok = len(times) < most
+            if ok:
+                times.append(int(at))
+            out.append((int(event), int(key[0]), ok))
+        state.update((times,))
+        yield pd.DataFrame(out, columns=["event_id", "user_id", "admitted"])
+
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "user_id", "ts")
+    return e.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, admitted boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def consecutive_failures(events: DataFrame, limit: int = 3) -> DataFrame:
+    """(user_id, event_id): the event at which a backend's breaker opens, after ``limit`` failures in a row."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        run = state.get[0] if state.exists else 0
+        out = []
+        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
+            run = run + 1 if r.event_type == "error" else 0
+            if run == limit:
+                out.append((int(key[0]), int(r.event_id)))
+        state.update((run,))
+        yield pd.DataFrame(out, columns=["user_id", "event_id"])
+
+    e = events.select("user_id", "event_id", "ts", "event_type")
+    return e.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long", "run long", "append", GroupStateTimeout.NoTimeout)
+
+
+def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Process what is there and stop: the form of a scheduled poll."""
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
+    q.awaitTermination()
