@@ -41,18 +41,19 @@ def vector_topk(points: DataFrame, query: list[float], k: int, threshold: float
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(query_id, doc_id, score) by BM25 Okapi over whitespace words, for documents that share a word with the query.
 
-    docs: doc_id, text; queries: query_id, text. Negative inverse frequencies become epsilon times their mean. Only
-    words of queries are joined; frequent words cost a row for each document that has them, after a map-side count.
+    docs: doc_id, text; queries: query_id, text. Negative inverse frequencies become epsilon times their mean. Document
+    frequencies combine before their shuffle; term frequencies are counted for the words of queries only.
     """
     tokens = lambda c: F.filter(F.split(c, r"[ \t\n\r\f]+"), lambda w: w != "")
     sized = docs.select("doc_id", F.size(tokens("text")).alias("dl"))
-    tf = docs.select("doc_id", F.explode(tokens("text")).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
+    asked = queries.select("query_id", F.explode(tokens("text")).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
+    wanted = asked.select("word").distinct()
+    tf = docs.select("doc_id", F.explode(tokens("text")).alias("word")).join(wanted, "word", "left_semi").groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
     corpus = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(corpus))  # one row: two numbers
+    df = docs.select(F.explode(F.array_distinct(tokens("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(corpus))  # one row: two numbers
     idf = df.select("word", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = idf.agg((F.avg("idf") * epsilon).alias("floor"))
     idf = idf.join(F.broadcast(mean)).select("word", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    asked = queries.select("query_id", F.explode(tokens("text")).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
     hits = asked.join(idf, "word").join(tf, "word").join(sized, "doc_id")
     gain = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), 6).alias("score"))

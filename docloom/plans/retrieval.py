@@ -156,3 +156,22 @@ def ml_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = d.join(read_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     return classify.train_tfidf(marked, "quality").transform(d).select("doc_id", F.col("prediction").cast("int").alias("quality"))
+
+
+@query("""SELECT doc_id, chunk_index, CAST(coalesce(nullif(CASE WHEN chunk_index % 3 = 0 THEN 0 ELSE chunk_index + 1 END, 0), TRY_CAST(regexp_extract(doc_id || '_chunk_' || lpad(CAST(chunk_index + 1 AS VARCHAR), 5, '0'), '_chunk_([0-9]+)$', 1) AS INTEGER), chunk_index) AS INTEGER) AS place FROM v_chunk""")
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk's place by its sequence number, else by the number in its id, else by its index."""
+    c = chunking.numbered(v_chunk(spark, sf_dir).drop("content"))
+    given = F.when(F.col("chunk_index") % 3 == 0, 0).otherwise(F.col("chunk_seq"))
+    from_id = F.regexp_extract("chunk_id", "_chunk_([0-9]+)$", 1).try_cast("int")
+    return c.select("doc_id", "chunk_index", F.coalesce(F.nullif(given, F.lit(0)), from_id, F.col("chunk_index")).alias("place"))
+
+
+@query("""SELECT kind, known FROM (SELECT class AS kind, TRUE AS known FROM (VALUES ('contract'), ('report'), ('invoice'), ('letter'), ('other')) t(class)
+UNION SELECT DISTINCT lower(p_type), FALSE FROM part WHERE length(p_type) < 40 AND lower(p_type) NOT IN ('contract', 'report', 'invoice', 'letter', 'other'))""")
+def taxonomy_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detected types that the taxonomy lacks extend it, if their names are short."""
+    known = spark.createDataFrame([(k,) for k in ("contract", "report", "invoice", "letter", "other")], "kind string")
+    found = read_table(spark, sf_dir, "part").where(F.length("p_type") < 40).select(F.lower("p_type").alias("kind")).distinct()
+    new = found.join(known, "kind", "left_anti")
+    return known.withColumn("known", F.lit(True)).unionByName(new.withColumn("known", F.lit(False)))

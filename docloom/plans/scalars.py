@@ -188,3 +188,13 @@ def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retry delays of each client, doubling."""
     users = read_table(spark, sf_dir, "events").select("user_id").distinct()
     return users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("attempt")).withColumn("delay", F.pow(F.lit(2.0), "attempt"))
+
+
+@query("SELECT c_custkey, c_name AS plain, TRUE AS same FROM customer")
+def encrypt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """authenticated encryption (nonce, text, tag; base64) and back. The key comes from the caller."""
+    key = F.lit("0123456789abcdef0123456789abcdef")
+    sealed = F.base64(F.aes_encrypt("c_name", key, F.lit("GCM")))
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", sealed.alias("sealed"))
+    opened = F.aes_decrypt(F.unbase64("sealed"), key, F.lit("GCM")).cast("string")
+    return c.select("c_custkey", opened.alias("plain"), (opened == F.col("c_name")).alias("same"))
