@@ -13,8 +13,12 @@ def normalized(name: Column) -> Column:
 
 
 def merge_entities(mentions: DataFrame) -> DataFrame:
-    """One entity for each (name, type): last type of confidence fold aside, its documents, mentions and mean confidence."""
-    return mentions.groupBy("name", "type").agg(F.round(F.avg("confidence"), 6).alias("confidence"), F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_mentions"))
+    """One entity for each (name, type): its documents, mentions and mean confidence.
+
+    Confidences have two decimals; they are summed as whole hundredths, so the mean doesn't depend on the order of rows.
+    """
+    mean = F.sum(F.round(F.col("confidence") * 100).cast("long")) / (100.0 * F.count("*"))
+    return mentions.groupBy("name", "type").agg(F.round(mean, 6).alias("confidence"), F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_mentions"))
 
 
 def keepers(entities: DataFrame) -> DataFrame:

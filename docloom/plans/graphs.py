@@ -173,7 +173,7 @@ def khop_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbourhood(r, starts, 2)
 
 
-@query("SELECT name, type, round(avg(confidence), 6) AS confidence, count(DISTINCT doc_id) AS n_docs, count(*) AS n_mentions FROM v_mention WHERE doc_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY name, type")
+@query("SELECT name, type, round(CAST(sum(CAST(round(confidence * 100) AS BIGINT)) AS BIGINT) / (100.0 * count(*)), 6) AS confidence, count(DISTINCT doc_id) AS n_docs, count(*) AS n_mentions FROM v_mention WHERE doc_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY name, type")
 def graph_delete_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph without some documents."""
     gone = read_table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"))

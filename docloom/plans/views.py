@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators.graph import merge_entities
 from docloom.plans._catalog import VIEW_SQL
 from docloom.storage import read_table
 
@@ -15,7 +16,7 @@ VIEW_SQL["v_log"] = """SELECT event_id, ts, user_id, event_type AS kind, event_t
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"""
 VIEW_SQL["v_mention"] = """SELECT l_orderkey AS doc_id, l_orderkey * 10 + l_linenumber AS chunk_id, l_linenumber AS chunk_seq, p_brand AS name, p_type AS type,
   round(1 - l_discount, 2) AS confidence FROM lineitem JOIN part ON l_partkey = p_partkey"""
-VIEW_SQL["v_entity"] = """SELECT name, type, round(avg(confidence), 6) AS confidence, count(DISTINCT doc_id) AS n_docs, count(*) AS n_mentions FROM v_mention GROUP BY name, type"""
+VIEW_SQL["v_entity"] = """SELECT name, type, round(CAST(sum(CAST(round(confidence * 100) AS BIGINT)) AS BIGINT) / (100.0 * count(*)), 6) AS confidence, count(DISTINCT doc_id) AS n_docs, count(*) AS n_mentions FROM v_mention GROUP BY name, type"""
 VIEW_SQL["v_relation"] = """SELECT s_name AS src, n_name AS dst, 'LOCATED_IN' AS type FROM supplier JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT c_name, n_name, 'LIVES_IN' FROM customer JOIN nation ON c_nationkey = n_nationkey
   UNION ALL SELECT n_name, r_name, 'PART_OF' FROM nation JOIN region ON n_regionkey = r_regionkey"""
@@ -62,7 +63,7 @@ def v_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v_mention(spark, sf_dir).groupBy("name", "type").agg(F.round(F.avg("confidence"), 6).alias("confidence"), F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_mentions"))
+    return merge_entities(v_mention(spark, sf_dir))
 
 
 def v_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
