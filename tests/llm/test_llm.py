@@ -303,3 +303,18 @@ def test_pipeline_stages(spark):
     odd = table(spark, [None, "", "a b c d e f", "a b c d e f", "the and of"])
     for name, step in corpus_pipeline.STAGES[:-1]:
         assert step(spark, odd, DATA).columns == odd.columns, name
+
+
+def test_sketches_pass_every_linked_pair():
+    rng = np.random.default_rng(6)
+    for n in [*range(2, 60), 120, 333, 900, 4000]:
+        pool = np.unique(rng.integers(0, 2**63, 2 * n + 9, dtype=np.uint64))
+        rng.shuffle(pool)
+        gone, new = n // 9, n // 12
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[gone:n], pool[n : n + new]]))
+        if len(b) and jaccard_join.linked(n - gone, len(a), len(b)):
+            both = jaccard_join.common_sketches([jaccard_join.sketch(a), jaccard_join.sketch(b)])
+            assert len(jaccard_join.may_link(both, np.array([len(a), len(b)]), 0, np.array([1]), 80)) == 1, n
+            other = np.sort(pool[-n:])
+            far = jaccard_join.common_sketches([jaccard_join.sketch(a), jaccard_join.sketch(other)])
+            assert n < 40 or not len(jaccard_join.may_link(far, np.array([n, n]), 0, np.array([1]), 80)), n
