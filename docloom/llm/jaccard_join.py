@@ -223,12 +223,12 @@ def may_link(sketches: np.ndarray, sizes: np.ndarray, one: int, others: np.ndarr
     return others[np.bitwise_count(sketches[others] ^ sketches[one]).sum(axis=1, dtype=np.int64) <= most]
 
 
-PAIRS = "bucket long, a binary, b binary, more boolean"
+PAIRS = "bucket long, a binary, b binary, left binary"
 
 
 def _meet(most: int, buckets: int, percent: int):
     """Of one shard: for each entry the ``most`` smallest entries below it that share a signature and not its component,
-    and whose sketches allow a link.
+    and whose sketches allow a link; and the entries that this leaves out of some other's smallest.
 
     With ``most`` 0: each entry that shares any signature, with the smallest that it shares one with, or itself.
     """
@@ -256,7 +256,7 @@ def _meet(most: int, buckets: int, percent: int):
         label = labels[owner]
         starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])) if len(sigs) else np.zeros(0, int)
         ends = np.append(starts[1:], len(sigs))
-        low, high, more = [], [], False
+        low, high, left = [], [], np.zeros(len(ids), bool)
         if not most:
             crowd = np.repeat(ends - starts > 1, ends - starts)
             low, high = np.repeat(member[starts], ends - starts)[crowd], member[crowd]
@@ -274,22 +274,24 @@ def _meet(most: int, buckets: int, percent: int):
                 table, size = common_sketches([sketches[i] for i in group]), sizes[group]
                 for j in range(1, len(group)):
                     rivals = may_link(table, size, j, np.flatnonzero(own[:j] != own[j]), percent)
-                    more |= len(rivals) > most
+                    left[group[rivals[most:]]] = True
                     if len(rivals):
                         low.append(ids[group[rivals[:most]]])
                         high.append(np.full(len(low[-1]), ids[group[j]]))
             low, high = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (low, high))
-        out = [(k, low[at].tobytes(), high[at].tobytes(), bool(more)) for k, at in _deal(high, buckets)]
-        return pd.DataFrame(out, columns=["bucket", "a", "b", "more"])
+        left = np.unique(ids[left])
+        out = [(k, low[at].tobytes(), high[at].tobytes(), b"") for k, at in _deal(high, buckets)]
+        out += [(k, b"", b"", left[at].tobytes()) for k, at in _deal(left, buckets)]
+        return pd.DataFrame(out, columns=["bucket", "a", "b", "left"])
 
     return run
 
 
 def _merge(most: int):
-    """Of one bucket of entries: each entry's smallest partners over all shards; a row of nulls if some are left out."""
+    """Of one bucket of entries: each entry's smallest partners over all shards; a null with each entry that is left out of some."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = (np.concatenate([np.frombuffer(x, np.int64) for x in rows[c]]) for c in ("a", "b"))
+        a, b, left = (np.concatenate([np.frombuffer(x, np.int64) for x in rows[c]]) for c in ("a", "b", "left"))
         order = np.lexsort((a, b))
         a, b = a[order], b[order]
         fresh = np.ones(len(a), bool)
@@ -299,8 +301,8 @@ def _merge(most: int):
         place = np.arange(len(b)) - np.repeat(first, np.diff(np.append(first, len(b))))
         keep = place < max(1, most)
         out = pd.DataFrame({"a": a[keep], "b": b[keep]}, dtype=object)
-        if most and (rows["more"].any() or not keep.all()):
-            out = pd.concat([out, pd.DataFrame({"a": [None], "b": [None]}, dtype=object)])
+        if most and len(left := np.unique(np.concatenate([left, a[~keep]]))):
+            out = pd.concat([out, pd.DataFrame({"a": None, "b": left}, dtype=object)])
         return out
 
     return run
@@ -374,8 +376,8 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, text: str =
         labelled = entries.join(_sized(label), F.col("doc_id") == F.col("node")).select("doc_id", "text", "component")
         found = candidates(labelled.mapInArrow(partial(_sign_again, size, percent, wide), _Packer.SHAPE), most, "rivals")
         todo = found.where(F.col("a").isNotNull())
-        if tested is None:  # an entry without any rival now, while all are apart, has none later
-            pairs = todo.select(F.col("a").alias("node")).unionByName(todo.select(F.col("b").alias("node"))).distinct()
+        if tested is None:  # an entry without a rival now, kept or left out, has none later, as all are apart
+            pairs = todo.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
             label = stage(pairs.select("node", F.col("node").alias("component")), "label")
         else:
             todo = stage(todo.join(tested, ["a", "b"], "left_anti"), "todo")

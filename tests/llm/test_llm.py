@@ -111,6 +111,15 @@ def test_join_repeats_nulls_and_empty(spark):
     assert jaccard_join.join(df.limit(0)).count() == 0
 
 
+def test_join_keeps_all_links_of_an_original_with_many_edits(spark):
+    original = [f"w{i}" for i in range(904)]
+    texts = [" ".join(f"e{k}x{i}" if 100 * k <= i < 100 * k + 86 else w for i, w in enumerate(original)) for k in range(9)]
+    texts, ids = [*texts, " ".join(original)], [*range(1, 10), 100]  # each edit links with the original alone
+    want = by_force(shingle_sets(texts), ids)
+    assert set(want.values()) == {1}
+    assert {r.doc_id: r.component_id for r in jaccard_join.join(table(spark, texts, ids)).collect()} == want
+
+
 def test_components_of_chains_and_cycles(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (200, 200), (5, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
