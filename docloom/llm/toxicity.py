@@ -107,11 +107,28 @@ def kernel(a: np.ndarray, b: np.ndarray, order: int, decay: float) -> np.ndarray
     return total
 
 
+def _most(shared: np.ndarray, b: np.ndarray, own: np.ndarray, order: int, decay: float) -> np.ndarray:
+    """For each piece and landmark, what their normalised kernel can't exceed, from the letters (as bits) that both have.
+
+    Only subsequences of shared letters are common. So, by Cauchy and Schwarz, the kernel is at most the norm of the piece
+    times the norm of the landmark over such subsequences, which is the landmark's own kernel with other letters blank.
+    """
+    bit = np.where(b > 0, np.uint64(1) << (b.astype(np.uint64) & np.uint64(63)), np.uint64(0))
+    masks, backs = zip(*(np.unique(column, return_inverse=True) for column in shared.T), strict=True)
+    cuts = np.cumsum([0, *map(len, masks)])
+    mask, which = np.concatenate(masks), np.repeat(np.arange(len(b)), np.diff(cuts))
+    most = np.zeros(len(mask))
+    for at in range(0, len(mask), 8192):
+        j = which[at : at + 8192]
+        part = np.where(mask[at : at + 8192, None] & bit[j], b[j], np.uint32(0))
+        most[at : at + 8192] = np.sqrt(kernel(part, part, order, decay) / np.maximum(own[j], 1e-12))
+    return np.stack([most[a + back] for a, back in zip(cuts[:-1], backs, strict=True)], axis=1)
+
+
 def similarities(strings: list[str], model: ToxicityModel, gate: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, landmark, normalised kernel) where the kernel is at least model.floor.
 
-    A pair is computed only if it shares all but one of the landmark's distinct letters; two letters fewer leave too few
-    subsequences to reach the floor. Strings over WIDTH letters are taken in overlapping pieces, so no part goes unseen.
+    With ``gate``, a pair is computed only if the letters that it shares allow the floor, which changes no result. Strings over WIDTH letters are taken in overlapping pieces, so no part goes unseen.
     """
     pieces, owner = [], []
     for i, s in enumerate(strings):
@@ -123,14 +140,13 @@ def similarities(strings: list[str], model: ToxicityModel, gate: bool = True) ->
         return none, none, np.zeros(0)
     a, b = _coded(pieces, WIDTH), _coded(model.landmarks, WIDTH)
     ab, bb = _bits(a), _bits(b)
+    own = kernel(b, b, model.order, model.decay)
+    lengths = (b > 0).sum(axis=1).max()
     if gate:
-        need = np.maximum(np.bitwise_count(bb).astype(np.int64) - 1, min(2, model.order))
-        u, m = np.nonzero(np.bitwise_count(ab[:, None] & bb[None, :]) >= need[None, :])
+        u, m = np.nonzero(_most(ab[:, None] & bb[None, :], b[:, :lengths], own, model.order, model.decay) >= model.floor - 1e-3)
     else:
         u, m = (x.ravel() for x in np.indices((len(a), len(b))))
     values = np.zeros(len(u))
-    own = kernel(b, b, model.order, model.decay)
-    lengths = (b > 0).sum(axis=1).max()
     for at in range(0, len(u), 8192):
         i, j = u[at : at + 8192], m[at : at + 8192]
         seen, back = np.unique(i, return_inverse=True)

@@ -300,6 +300,19 @@ def test_kernel_by_hand():
         assert abs(toxicity.kernel(a, b, 3, 0.6)[0] - slow(s, t, 3, 0.6)) < 1e-5
 
 
+def test_kernel_gate_loses_no_pair():
+    rng = random.Random(8)
+    marks = ["blockhead", "worthless", "shithead", "scumbag", "parasite", "idiot", "aaa", "\u0434\u0443\u0440\u0430\u043a"]
+    strings = ["", "a", "blckhad", "wrthlss", "shthad", "scmbg", "scumb", "blockhe", "parasi", *marks]
+    for word in marks:
+        strings += ["".join(c for c in word if rng.random() > 0.35) + rng.choice(["", "x", "qed"]) for _ in range(40)]
+        strings += ["".join(rng.choice(word + "xyz") for _ in range(rng.randrange(40))) for _ in range(40)]
+    model = toxicity.ToxicityModel(landmarks=marks)
+    (i, j, v), (x, y, w) = (toxicity.similarities(strings, model, gate=gate) for gate in (True, False))
+    assert list(zip(i.tolist(), j.tolist(), strict=True)) == list(zip(x.tolist(), y.tolist(), strict=True)) and np.allclose(v, w, atol=1e-5)
+    assert {(strings[a], marks[b]) for a, b in zip(i, j, strict=True)} >= {("blckhad", "blockhead"), ("wrthlss", "worthless"), ("scmbg", "scumbag"), ("parasi", "parasite")}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
