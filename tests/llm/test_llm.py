@@ -222,6 +222,16 @@ def test_lm_base_is_exact_and_scores_sum_to_one(spark):
     assert abs((10**every).sum() - 1) < 1e-3
 
 
+def test_lm_learns_from_every_text(spark):
+    texts = [None, "", *(f"word {i % 7} of {i}" for i in range(1200)), "\u0434\u0443\u0431 " * 900]
+    mixer = lm_scoring.train(table(spark, texts))
+    g = lm_scoring.Grams.join([lm_scoring.grams(d, o)[0] for _, _, d, o in chunks(pa.array([t or "" for t in texts]))])
+    symbols = (g.key & np.uint64(0xFF)).astype(np.int64)
+    code = lm_scoring.Code(np.bincount(symbols, minlength=256))
+    assert (mixer.code.length == code.length).all()
+    assert mixer.seen.sum() == code.length[symbols].sum()
+
+
 def test_ann_equals_brute_force_where_it_probes_all(spark):
     rng = np.random.default_rng(8)
     x = [rng.normal(size=8).tolist() for _ in range(120)]
