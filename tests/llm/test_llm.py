@@ -148,12 +148,64 @@ def test_decontamination_equals_brute_force(spark):
     got = decontaminate.contamination(table(spark, docs), bench).collect()
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == want
     split = decontaminate.find_matches(table(spark, docs), bench, block_words=20)
-    assert split.where("item_id is not null").select("doc_id", "item_id").distinct().count() == sum(v[2] for v in want.values())
+    assert split.select("doc_id", F.explode("matches.item_id")).distinct().count() == sum(v[2] for v in want.values())
+    assert split.select("doc_id", F.sort_array("matches").alias("m")).collect() == decontaminate.find_matches(table(spark, docs), bench).select("doc_id", F.sort_array("matches").alias("m")).collect()
     kept = decontaminate.decontaminate(table(spark, docs), bench)
     assert {r.doc_id for r in kept.collect()} == {d for d, v in want.items() if not v[4]} and kept.columns == table(spark, docs).columns
     assert decontaminate.contamination(table(spark, docs), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_by_row(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    rows = [(None, "clean words here"), (7, "clean seven row"), (None, f"x {item} y"), (7, item), (8, item[:-4]), (9, None), (7, "clean seven row")]
+    docs = spark.createDataFrame([(*r, 1, "m") for r in rows], "doc_id long, text string, n_words int, matches string")
+    bench = spark.createDataFrame([(None, item), ("b", item + " tail"), ("c", ""), (None, None)], "item_id string, text string")
+    kept = decontaminate.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.text, r.n_words, r.matches) for r in kept.where("doc_id is not null").collect()) == sorted([(7, "clean seven row", 1, "m")] * 2 + [(9, None, 1, "m")], key=str)
+    assert [r.text for r in kept.where("doc_id is null").collect()] == ["clean words here"]
+    named, none = (hashlib.sha256(s).hexdigest() for s in (b"b", b""))
+    got = sorted((r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.contamination(docs, bench).collect())
+    assert got == sorted([(3, 0, 0, none)] * 3 + [(14, 12, 2, named), (12, 12, 2, named), (11, 11, 2, named), (0, 0, 0, none)])
+    assert decontaminate.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_suffixes_are_in_full_order_and_matches_are_longest(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randrange(1, 400))) for _ in range(12)] + [" ".join("ab" * 300)] * 3
+    tests = decontaminate.build_tests([(str(i), t) for i, t in enumerate(texts[:4])])
+    for _, _, data, offsets in chunks(pa.array([t.replace("b", "b", 1) + " zz a b" for t in texts])):
+        rows, hashes, _ = words(data, offsets, decontaminate.ALNUM)
+        slot = np.minimum(np.searchsorted(tests.vocabulary, hashes), len(tests.vocabulary) - 1)
+        numbers = np.where(tests.vocabulary[slot] == hashes, slot + 1, 0)
+        _, at = decontaminate.suffix_array(numbers, rows, 3, 10)
+
+        def suffix(p):
+            end = p
+            while end < len(rows) and rows[end] == rows[p] and numbers[end]:
+                end += 1
+            return numbers[p:end].tolist()
+
+        every = [suffix(p) for p in range(len(rows))]
+        assert at.tolist() == sorted((p for p in range(len(rows)) if len(every[p]) >= 3), key=lambda p: (every[p], p))
+    items, docs = texts[:4], texts[4:8]
+    bench = spark.createDataFrame([(str(i), t) for i, t in enumerate(items)], "item_id string, text string")
+    got = {(r.doc_id, *m) for r in decontaminate.find_matches(table(spark, docs), bench).collect() for m in r.matches}
+    want = set()
+    for d, t in enumerate(docs):
+        for i, u in enumerate(items):
+            x, y = t.split(), u.split()
+            for p in range(len(x)):
+                for q in range(len(y)):
+                    if p and q and x[p - 1] == y[q - 1]:
+                        continue
+                    n = 0
+                    while p + n < len(x) and q + n < len(y) and x[p + n] == y[q + n]:
+                        n += 1
+                    if n >= min(10, len(y)):
+                        want.add((d, str(i), p, q, n))
+    assert got == want
+
+
 def test_chat_collapse(spark):
     logs = {1: ["a", "b"], 2: ["a", "b", "c"], 3: ["a", "b", "c"], 4: ["x"], 5: [None, "y"], 6: [None], 7: [""], 8: ["a", "c"]}
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", s, 0) for c, said in logs.items() for t, s in enumerate(said)]
