@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.storage import stage, unstage
@@ -29,15 +29,13 @@ def components(edges: DataFrame) -> DataFrame:
     Repeated, reversed and self edges do no harm. Each pass is written to the shared folder; passes end when one changes
     nothing, after some log2 of the longest path.
     """
-    def kept(df: DataFrame, name: str) -> tuple[DataFrame, dict]:
-        """The table, written, and what tells whether it changed, seen on the way."""
-        seen = Observation()
-        return stage(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("sum")), name), seen.get
-
-    new, state = kept(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while state["n"] and state != before:
-        now, before = new, state
-        new, state = kept(_stars(now), "stars")
+    new = stage(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    n, going = new.count(), True
+    while n and going:
+        now, before = new, n
+        new = stage(_stars(now), "stars")
+        n = new.count()
+        # both are sets of edges, so equal numbers and nothing new mean equal sets
+        going = n != before or bool(new.join(now, ["a", "b"], "left_anti").head(1))
         unstage(now)
     return new.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(new.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

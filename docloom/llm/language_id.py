@@ -175,18 +175,32 @@ def fit(rows: list[tuple[str, bytes, bytes]], dims: int = 16, epochs: int = 6, r
     return model
 
 
-def learn(docs: DataFrame, folds: int = 5, per_language: int = 1500, text: str = "text") -> LanguageModel:
-    """Fit on texts with a language whose crc32 of doc_id mod folds isn't 0: per_language of each, chosen by hash."""
+def learn(docs: DataFrame, folds: int = 5, per_language: int = 1500, most: int = 24_000, text: str = "text") -> LanguageModel:
+    """Fit on texts with a language whose crc32 of doc_id mod folds isn't 0: per_language distinct ones of each language.
+
+    With over most / per_language languages, each gets its part of ``most`` texts (one at least), so what comes to the
+    driver has a bound: the buckets of about ``most`` texts, 6 bytes for each that a text has (98 KB at most). Texts are
+    chosen by their hash; repeated rows count once, whatever their doc_id.
+    """
     rows = docs.select(docs["doc_id"].alias("d_id"), docs[text].alias("d_text"), docs["lang"].alias("d_lang"))
     rows = rows.where(F.col("d_lang").isNotNull() & F.col("d_text").isNotNull() & (remainder(F.col("d_id"), folds) != 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()  # of the sample only
         for batch in batches:
+            names = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            new = []
+            for i, name in enumerate(names):
+                if name not in seen:
+                    seen.add(name)
+                    new.append(i)
+            batch = batch.take(pa.array(new, pa.int64()))
             at, share = zip(*features(batch.column(0)), strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(at, pa.binary()), pa.array(share, pa.binary())], names=["lang", "at", "share"])
 
-    chosen = bounded_sample(rows, "d_lang", per_language, "d_id").select("d_text", "d_lang")
-    got = chosen.mapInArrow(run, "lang string, at binary, share binary").limit(2 * per_language * 2000).collect()
+    languages = rows.select("d_lang").distinct().count()
+    chosen = bounded_sample(rows, "d_lang", max(1, min(per_language, most // max(1, languages))), ["d_text"]).select("d_text", "d_lang", F.xxhash64("d_text").alias("h"))
+    got = chosen.mapInArrow(run, "lang string, at binary, share binary").dropDuplicates().collect()
     return fit([(r.lang, bytes(r["at"]), bytes(r.share)) for r in got])
 
 

@@ -21,10 +21,9 @@ def held_out(modulus: int) -> Column:
     return (remainder(F.col("doc_id"), modulus) == 0).alias("held_out")
 
 
-def with_topic(docs: DataFrame) -> DataFrame:
+def topic() -> Column:
     """The form of a text as its topic: licence notes, tables, prose; none for a null text."""
-    topic = F.when(F.col("text").contains("icense"), "licence").when(F.col("text").contains(" | "), "table").when(F.col("text").isNotNull(), "prose")
-    return docs.withColumn("topic", topic)
+    return F.when(F.col("text").contains("icense"), "licence").when(F.col("text").contains(" | "), "table").when(F.col("text").isNotNull(), "prose")
 
 
 def tokens() -> Column:
@@ -32,7 +31,13 @@ def tokens() -> Column:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    return mixing.mix(with_topic(docs), DIMS, tokens(), POWER, share=SHARE, rounds=ROUNDS, seed=SEED)
+    return mixing.mix(docs.withColumn("topic", topic()), DIMS, tokens(), seed=SEED, power=POWER, share=SHARE, rounds=ROUNDS)
+
+
+def sampled(docs: DataFrame) -> DataFrame:
+    """The rows of docs that op5 samples, all columns."""
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic()}
+    return mixing.sample(docs, dims, tokens(), seed=SEED, power=POWER, share=SHARE, rounds=ROUNDS)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -291,17 +291,19 @@ def scores(texts: list[str | None], model: ToxicityModel, key: int = 0) -> np.nd
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, per_label: int = 2500, text: str = "text") -> ToxicityModel:
-    """Fit on labelled rows whose crc32 of doc_id mod folds isn't 0: per_label rows of each label, chosen by hash.
+    """Fit on labelled rows whose crc32 of doc_id mod folds isn't 0: per_label distinct texts of each label, by hash.
 
-    Labels that are null or neither 0 nor 1 teach nothing; of repeated labels of one document, the largest counts.
+    Labels that are null or neither 0 nor 1 teach nothing; of repeated labels of one document, the largest counts. Rows
+    that repeat an id and a text count once; an id's other texts each count.
     """
     marks = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").cast("int").alias("l_toxic"))
     rows = docs.select(docs["doc_id"].alias("d_id"), docs[text].alias("d_text")).where(remainder(F.col("d_id"), folds) != 0)
-    chosen = bounded_sample(marks.join(rows.select("d_id").distinct(), F.col("l_id") == F.col("d_id"), "left_semi"), "l_toxic", per_label, "l_id")
-    got = rows.join(F.broadcast(chosen), F.col("d_id") == F.col("l_id")).select("d_id", "d_text", "l_toxic").limit(8 * per_label).collect()
-    got.sort(key=lambda r: (r.d_id, r.d_text or ""))
-    once = {(r.d_text, r.l_toxic): r for r in got}.values()
-    return fit([r.d_text for r in once], [r.l_toxic for r in once])
+    known = marks.join(rows.select("d_id").distinct(), F.col("l_id") == F.col("d_id"), "left_semi")
+    chosen = bounded_sample(known, "l_toxic", 2 * per_label, ["l_id"])  # about 4 * per_label ids at most
+    labelled = rows.join(F.broadcast(chosen), F.col("d_id") == F.col("l_id")).select("d_text", "l_toxic")
+    got = bounded_sample(labelled, "l_toxic", per_label, ["d_text"]).dropDuplicates().collect()
+    got.sort(key=lambda r: (r.d_text or "", r.l_toxic))
+    return fit([r.d_text for r in got], [r.l_toxic for r in got])
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:

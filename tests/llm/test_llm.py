@@ -252,7 +252,16 @@ def test_mixing_reaches_its_marginals(spark):
     small = spark.createDataFrame(rows[:300], df.schema)
     a = mixing.mix(small, ["source", "lang"], F.col("weight"), share=0.3, rounds=4).toPandas()
     b = mixing.mix(small, ["source", "lang"], F.col("weight"), share=0.3, rounds=4, driver_cells=3).toPandas()
-    assert np.allclose(a.sort_values("doc_id").prob, b.sort_values("doc_id").prob, atol=1e-6)
+    assert np.allclose(a.sort_values("doc_id").prob, b.sort_values("doc_id").prob, atol=1e-9)
+    how = dict(power={"lang": 0.2}, targets={"source": {"a": 1, "b": 3}}, share=0.3, rounds=4)
+    a, b = (mixing.mix(small, ["source", "lang"], F.col("weight"), driver_cells=n, **how).toPandas().sort_values("doc_id") for n in (100, 3))
+    assert np.allclose(a.prob, b.prob, atol=1e-9) and 0 < a.sampled.sum() < 300
+    odd = small.unionByName(small.limit(20)).withColumn("__dim0", F.lit(1)).withColumn("prob", F.lit("x"))
+    for n in (100, 3):
+        got = mixing.sample(odd, {"source": F.col("source"), "lang": F.col("lang")}, F.col("weight"), driver_cells=n, **how)
+        want = mixing.mix(odd, ["source", "lang"], F.col("weight"), driver_cells=n, **how).where("sampled")
+        assert got.columns == odd.columns and sorted(map(str, (r.doc_id for r in got.collect()))) == sorted(map(str, (r.doc_id for r in want.collect())))
+    assert mixing.sample(df.limit(0), {"source": F.col("source")}, F.col("weight")).count() == 0
     assert mixing.mix(df.limit(0), ["source", "lang"], F.col("weight")).count() == 0
 
 
@@ -335,6 +344,37 @@ def test_language_held_out_accuracy(spark):
     assert {r.lang_pred for r in language_id.identify(table(spark, ["abc"]), language_id.fit([])).collect()} == {"und"}
 
 
+def test_language_learns_from_null_and_repeated_ids(spark):
+    said = {"en": "the of and that is for", "fr": "le la des est dans pour", "es": "el los que una por con"}
+    for ids in (lambda i: None, lambda i: 4, lambda i: i):
+        rng = random.Random(3)
+        rows = [(ids(i), " ".join(rng.choices(said[y].split(), k=30)), y) for i in range(300) for y in said] + [(ids(1), "le la", "fr")] * 900 + [(1, None, "de"), (2, "123", "it")]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        model = language_id.learn(df, per_language=100)
+        assert {*said} <= set(model.languages)
+        got = language_id.identify(df.where("length(text) > 50"), model).collect()
+        assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97
+        far = language_id.identify(table(spark, ["zzq xkw vvj qqx " * 8]), model).collect()
+        assert 0 <= far[0].score <= 1
+    assert language_id.learn(df.limit(0)).languages == [] and language_id.identify(df.limit(0), model).count() == 0
+
+
+def test_toxicity_learns_from_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    clean, bad = "the of and that is for one two".split(), "idiot scumbag moron".split()
+    rows = [(i % 3 + 1, " ".join(rng.choices(clean, k=20) + ([rng.choice(bad)] if i % 3 == 0 else []))) for i in range(600)] + [(1, "the same text idiot")] * 900 + [(None, "idiot"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = [r.doc_id for r in docs.where("crc32(cast(string(doc_id) as binary)) % 5 <> 0").select("doc_id").distinct().collect() if r.doc_id]
+    assert {1} <= set(ids) and len(ids) > 1
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (1, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, per_label=60)
+    got = toxicity.score(docs, model).collect()
+    assert np.mean([r.predicted == int(any(b in (r.text or "") for b in bad)) for r in got]) > 0.97
+    assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.learn(docs.limit(0), labels).landmarks == []
+    long = toxicity.score(table(spark, ["the of " * 200_000, "the of " * 20]), model).collect()
+    assert [r.predicted for r in long] == [0, 0]
+
+
 def test_toxicity_held_out_accuracy_and_gaps(spark):
     df, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.learn(df, labels, per_label=900)
@@ -387,6 +427,13 @@ def test_pipeline_stages(spark):
     odd = table(spark, [None, "", "a b c d e f", "a b c d e f", "the and of"])
     for name, step in corpus_pipeline.STAGES[:-1]:
         assert step(spark, odd, DATA).columns == odd.columns, name
+    clean = "thing of the and one two three four five six "
+    rows = [(None, clean + "a b c d"), (None, clean + "e f g h i j"), (4, clean + "k l m n o"), (4, clean + "k l m n o p q r s t")]
+    odd = spark.createDataFrame([(*r, "en", "s", "x") for r in rows], "doc_id long, text string, lang string, source string, prob string")
+    for name in ("toxicity", "benchmark_decontamination"):
+        assert sorted(map(str, dict(corpus_pipeline.STAGES)[name](spark, odd, DATA).collect())) == sorted(map(str, odd.collect())), name
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, odd.limit(0), DATA).count() == 0, name
 
 
 def test_sketches_pass_every_linked_pair():
