@@ -277,20 +277,84 @@ def test_lm_base_is_exact_and_scores_sum_to_one(spark):
     found = lm_scoring.score(docs).collect()
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in found) == want
     assert all(r.score < 0 for r in found)
-    mixer = lm_scoring.train(docs.where("doc_id < 60"), 20)
+    model = lm_scoring.train(docs.where("doc_id < 60"))
     key = np.arange(256, dtype=np.uint64) | np.uint64(0x6568742000)
-    every = mixer.log10(lm_scoring.Grams(key, np.full(256, 12345, np.uint64)))
+    every = model.log10(lm_scoring.Grams(key, np.full(256, 12345, np.uint64)))
     assert abs((10**every).sum() - 1) < 1e-3
-
-
-def test_lm_learns_from_every_text(spark):
-    texts = [None, "", *(f"word {i % 7} of {i}" for i in range(1200)), "\u0434\u0443\u0431 " * 900]
-    mixer = lm_scoring.train(table(spark, texts))
-    g = lm_scoring.Grams.join([lm_scoring.grams(d, o)[0] for _, _, d, o in chunks(pa.array([t or "" for t in texts]))])
-    symbols = (g.key & np.uint64(0xFF)).astype(np.int64)
-    code = lm_scoring.Code(np.bincount(symbols, minlength=256))
-    assert (mixer.code.length == code.length).all()
-    assert mixer.seen.sum() == code.length[symbols].sum()
+    assert lm_scoring.score(docs.limit(0)).count() == 0
+
+
+def test_lm_beats_its_base_on_held_out_texts(spark):
+    for sf in ("0.01", "0.1"):
+        docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").withColumn("n_bytes", F.lit("x")).withColumn("row", F.lit(None).cast("string"))
+        r = lm_scoring.score(docs).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.avg("bits_per_byte").alias("bits")).first()
+        assert r.s > 0.93 * r.b and r.bits < 2.1, sf
+
+
+def test_lm_score_by_brute_force(spark):
+    """Each text's score from the model's parts, one symbol, one decision and one word at a time."""
+    texts = ["", None, "a", " a", "The cat sat on the mat.\n\nThe dog  sat.", "the cat", "zyx \u0434\u0443\u0431", "the cat sat on the mat " * 40, "x" * 3000, " \n\t"]
+    docs = spark.createDataFrame([(i, texts[i % len(texts)]) for i in range(60)], "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    model = lm_scoring.train(docs.where("crc32(cast(string(doc_id) as binary)) % 10 <> 0"))
+    taught = [texts[i % len(texts)] or "" for i in range(60) if not held(i)]
+    count = collections.Counter(w for t in taught for w in SPACED.findall(t.translate(LOWER)))
+    assert model.n_words == count.total() and abs(model.cut.sum() - 1) < 1e-12
+    symbols = collections.Counter(b for t in taught for b in [*t.translate(LOWER).encode(), 0xFF])
+    assert (model.code.length == lm_scoring.Code(np.array([symbols[b] for b in range(256)])).length).all()
+    m = model.mixer
+    got = {r.doc_id: r for r in lm_scoring.score(docs).collect()}
+    for d, t in enumerate(texts):
+        t = (t or "").translate(LOWER)
+        said = [*t.encode(), 0xFF]
+        g, _ = lm_scoring.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(said) - 1]))
+        value = []
+        for i, symbol in enumerate(said):
+            contexts, log = lm_scoring._contexts(g[i : i + 1]), 0.0
+            for b in range(model.code.length[symbol]):
+                node, bit = model.code.node[b, symbol], int(model.code.bit[b, symbol])
+                found = [int(model.state[lm_scoring._slot(o, c, np.array([node], np.uint32))[0]]) for o, c in enumerate(contexts)]
+                longest = max((o + 1 for o, x in enumerate(found) if x >= 31), default=0)
+                often = min(3, (found[longest - 1] // 31 - 1) // 2) if longest else 0
+                w = m.weights[(min(b, 7) * (lm_scoring.ORDERS + 1) + longest) * 4 + often]
+                mixed = min(12, max(-12, sum(w[o] * m.stretch[o][x] for o, x in enumerate(found)) + 0.3 * w[-1]))
+                at = min(7.999, max(-7.999, mixed)) * 2 + 16
+                low = m.refine[node, int(at)] * (1 - at % 1) + m.refine[node, int(at) + 1] * (at % 1)
+                p = min(1 - 1e-6, max(1e-6, 0.5 / (1 + math.exp(-mixed)) + 0.5 * low))
+                log += math.log10(p if bit else 1 - p)
+            value.append(log)
+        total, at, last = 0.0, 0, None
+        while at < len(said):
+            end = at
+            while said[end] not in (0x20, *range(9, 14), 0xFF):
+                end += 1
+            if end == at:
+                total += value[at] + math.log10(m.share[:, 0].min())
+            else:
+                word = bytes(said[at:end])
+                h = lambda x: words(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[1]
+                both, before = lm_scoring.pair_keys(np.concatenate([h(last), h(word)]) if last else h(word), np.zeros(2 if last else 1, np.int64))
+                seen, pair = int(model.pairs(before)[-1]), int(model.pairs(both)[-1])
+                share = m.share[sum(seen >= x for x in (1, 2, 4, 16, 256))]
+                q = model.cut[said[end]]
+                total += math.log10(share[0] * 10 ** sum(value[at : end + 1]) + share[1] * count[word.decode()] / model.n_words * q + share[2] * (min(1, pair / seen) if seen else 0) * q)
+                last = word
+            at = end + 1
+        for i in range(d, 60, len(texts)):
+            assert abs(got[i].score - total) < 1e-3 * max(1, -total), (d, i)
+            assert abs(got[i].bits_per_byte * len(said) + total * math.log2(10)) < 1e-2 * max(1, -total)
+
+
+def test_lm_pairs_and_blocks_pack_and_add_up():
+    rng = np.random.default_rng(2)
+    for share in (0.0, 0.01, 0.6):
+        n = np.where(rng.random(1 << 16) < share, rng.integers(1, 700, 1 << 16), 0)
+        data = lm_scoring._pack(n) + b"rest"
+        back, read = lm_scoring._unpack(data)
+        assert (back == n).all() and data[read:] == b"rest"
+    key = np.unique(rng.integers(0, 1 << 24, 5000))
+    n = rng.integers(1, 900, len(key))
+    assert all((x == y).all() for x, y in zip(lm_scoring._unpack_pairs(lm_scoring._pack_pairs(key, n)), (key, n), strict=True))
 
 
 def test_ann_equals_brute_force_where_it_probes_all(spark):
