@@ -7,11 +7,13 @@ are at least t = C(n - k, m), and share at least one signature even if each leav
 with the fewest features, which common passages would otherwise share. Small bands take pairs of parts, large ones single
 parts. Size and content order depend on the signature alone, which makes leaving out exact.
 
-Sets that are equal are one entry. Entries that share a signature are compared exactly, but not all with all: each with
-the smallest entry that it shares a signature with, then, in rounds, with the 8, 128, 2048 ... smallest that aren't yet of
-its component, until there are none. Entries that a path of links already joins need no comparison. A pair is first held
-against its parity sketches: each feature flips one bit, so two sets that differ in d features have sketches that differ
-in at most d bits, and pairs whose sketches differ in more bits than linked sets may are passed over without loss.
+Sets that are equal are one entry. Entries that share a signature are a group; groups of the same entries are one, which
+leaves few. First each entry of a group is compared with the group's smallest one. Then, in groups that the links found so
+far leave in several components, each entry is held against every other by parity sketch: each feature flips one bit, so
+two sets that differ in d features have sketches that differ in at most d bits, and pairs whose sketches differ in more
+bits than linked sets may are passed over without loss. Of the others, each entry's 8 smallest of another component are
+compared; groups where this leaves some out come again, with 128, then 2048 ..., until there are none. Large groups are
+dealt in pairs of blocks, so a task holds ``2 * BLOCK`` entries of a group at a time.
 """
 
 from __future__ import annotations
@@ -33,7 +35,9 @@ from docloom.storage import stage, unstage
 
 WORDS, PERCENT = 5, 80
 BROADCAST_IDS = 2_000_000
+SALTS = 16
 FLUSH = 1_500_000
+BLOCK = 512
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -135,63 +139,81 @@ def _deal(number: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(k), order[cuts[k] : cuts[k + 1]]
 
 
-class _Packer:
-    """Signatures packed by shard: entries, their components, the low 32 bits of each signature and whose it is."""
+SIGNED = "shard long, ids binary, sigs binary, owner binary"
 
-    NAMES = ("shard", "ids", "labels", "sizes", "sigs", "owner", "sketches")
-    SHAPE = "shard long, ids binary, labels binary, sizes binary, sigs binary, owner binary, sketches binary"
 
-    def __init__(self, shards: int) -> None:
-        self.shards, self.held, self.count = shards, [], 0
-
-    def add(self, doc_id: int, label: int, sig: np.ndarray, size: int = 0, sketch: bytes = b"") -> None:
-        if len(sig):
-            self.held.append((doc_id, label, sig, size, sketch))
-            self.count += len(sig)
-
-    def flush(self) -> pa.RecordBatch:
-        ids, labels, sizes = (np.array([h[k] for h in self.held], np.int64) for k in (0, 1, 3))
-        every = np.concatenate([h[2] for h in self.held]) if self.held else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(self.held)), [len(h[2]) for h in self.held])
-        shard = ((every >> np.uint64(32)) % np.uint64(self.shards)).astype(np.int64)
+def _sign(size: int, percent: int, shards: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures of texts, packed by shard: entries, the low 32 bits of each signature and whose it is."""
+    held: list[tuple[int, np.ndarray]] = []
+
+    def packed() -> pa.RecordBatch:
+        ids = np.array([h[0] for h in held], np.int64)
+        every = np.concatenate([h[1] for h in held]) if held else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(held)), [len(h[1]) for h in held])
+        shard = ((every >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        rows = {c: [] for c in self.NAMES}
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        rows: list[list] = [[], [], [], []]
         for s in np.flatnonzero(np.diff(cuts)):
             mine = order[cuts[s] : cuts[s + 1]]
             here, back = np.unique(owner[mine], return_inverse=True)
-            values = (ids[here], labels[here], sizes[here].astype(np.uint32), every[mine].astype(np.uint32), back.astype(np.uint32 if len(here) > 65535 else np.uint16))
-            rows["shard"].append(int(s))
-            for c, v in zip(self.NAMES[1:6], values, strict=True):
-                rows[c].append(v.tobytes())
-            rows["sketches"].append(b"".join(self.held[i][4] for i in here))
-        self.held, self.count = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(rows["shard"], pa.int64()), *(pa.array(rows[c], pa.binary()) for c in self.NAMES[1:])], names=list(rows))
+            values = (ids[here], every[mine].astype(np.uint32), back.astype(np.uint32 if len(here) > 65535 else np.uint16))
+            for c, v in zip(rows, [int(s), *(v.tobytes() for v in values)], strict=True):
+                c.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(c, pa.binary()) for c in rows[1:])], names=["shard", "ids", "sigs", "owner"])
 
-
-def _sign(size: int, percent: int, shards: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures of texts, each text a component of its own."""
-    packer = _Packer(shards)
+    count = 0
     for batch in batches:
         for a, _, data, offsets in chunks(batch.column(1)):
             for i, s in enumerate(shingles(data, offsets, size)):
-                doc_id = batch.column(0)[a + i].as_py()
-                packer.add(doc_id, doc_id, signatures(s, percent) if len(s) else s)
-            if packer.count > FLUSH:
-                yield packer.flush()
-    yield packer.flush()
+                if len(s) and len(sig := signatures(s, percent)):
+                    held.append((batch.column(0)[a + i].as_py(), sig))
+                    count += len(sig)
+            if count > FLUSH:
+                yield packed()
+                held, count = [], 0
+    yield packed()
+
+
+GROUPS = "gid long, block int, members array<long>"
+
+
+def _group(rows: pd.DataFrame) -> pd.DataFrame:
+    """The distinct groups of two or more entries that share a signature of one shard, in blocks of sorted entries."""
+    ids, sigs, owner, base = [], [], [], 0
+    for r in rows.itertuples(index=False):
+        ids.append(np.frombuffer(r.ids, np.int64))
+        sigs.append(np.frombuffer(r.sigs, np.uint32))
+        owner.append(np.frombuffer(r.owner, np.uint16 if len(r.owner) == 2 * len(sigs[-1]) else np.uint32).astype(np.int64) + base)
+        base += len(ids[-1])
+    ids, sigs, owner = (np.concatenate(x) for x in (ids, sigs, owner))
+    order = np.argsort(sigs, kind="stable")
+    shared = np.zeros(len(sigs), bool)
+    shared[1:] = sigs[order[1:]] == sigs[order[:-1]]
+    shared[:-1] |= shared[1:]
+    order = order[shared]
+    sigs, member = sigs[order], ids[owner[order]]
+    order = np.lexsort((member, sigs))
+    sigs, member = sigs[order], member[order]
+    fresh = np.ones(len(sigs), bool)
+    fresh[1:] = (sigs[1:] != sigs[:-1]) | (member[1:] != member[:-1])
+    sigs, member = sigs[fresh], member[fresh]
+    starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])) if len(sigs) else np.zeros(0, int)
+    ends = np.append(starts[1:], len(sigs))
+    name = np.add.reduceat(mix(member.view(np.uint64)), starts).view(np.int64) if len(starts) else np.zeros(0, np.int64)
+    many = ends - starts > 1
+    _, first = np.unique(name[many], return_index=True)
+    out = []
+    for gid, a, b in zip(name[many][first].tolist(), starts[many][first].tolist(), ends[many][first].tolist(), strict=True):
+        out += [(gid, k, member[at : min(at + BLOCK, b)]) for k, at in enumerate(range(a, b, BLOCK))]
+    return pd.DataFrame(out, columns=["gid", "block", "members"])
 
 
-def _sign_again(size: int, percent: int, shards: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures and sketches of texts whose components are known."""
-    packer = _Packer(shards)
+def _sketched(size: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, _, data, offsets in chunks(batch.column(1)):
-            for i, s in enumerate(shingles(data, offsets, size)):
-                packer.add(batch.column(0)[a + i].as_py(), batch.column(2)[a + i].as_py(), signatures(s, percent), len(s), sketch(s, percent).tobytes())
-            if packer.count > FLUSH:
-                yield packer.flush()
-    yield packer.flush()
+        sets = [s for _, _, data, offsets in chunks(batch.column(1)) for s in shingles(data, offsets, size)]
+        columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, percent).tobytes() if len(s) else b"" for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "sketch"])
 
 
 def sketch_words(size: int, percent: int = PERCENT) -> int:
@@ -223,114 +245,84 @@ def may_link(sketches: np.ndarray, sizes: np.ndarray, one: int, others: np.ndarr
     return others[np.bitwise_count(sketches[others] ^ sketches[one]).sum(axis=1, dtype=np.int64) <= most]
 
 
-PAIRS = "bucket long, a binary, b binary, left binary"
-
-
-def _meet(most: int, buckets: int, percent: int):
-    """Of one shard: for each entry the ``most`` smallest entries below it that share a signature and not its component,
-    and whose sketches allow a link; and the entries that this leaves out of some other's smallest.
-
-    With ``most`` 0: each entry that shares any signature, with the smallest that it shares one with, or itself.
+def _rivals(most: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of units (columns unit, node, component, size, sketch; each unit's rows together, by node): for each entry the
+    ``most`` smallest before it of other components whose sketches allow a link; a null with each unit that has more.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, labels, sizes, sigs, owner, sketches, base = [], [], [], [], [], [], 0
-        for r in rows.itertuples(index=False):
-            ids.append(np.frombuffer(r.ids, np.int64))
-            sizes.append(np.frombuffer(r.sizes, np.uint32).astype(np.int64))
-            if most:
-                cuts = np.cumsum([0, *(sketch_words(int(n), percent) for n in sizes[-1])])
-                packed = np.frombuffer(r.sketches, np.uint64)
-                sketches += [packed[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            labels.append(np.frombuffer(r.labels, np.int64))
-            sigs.append(np.frombuffer(r.sigs, np.uint32))
-            owner.append(np.frombuffer(r.owner, np.uint16 if len(r.owner) == 2 * len(sigs[-1]) else np.uint32).astype(np.int64) + base)
-            base += len(ids[-1])
-        ids, labels, sizes, sigs, owner = (np.concatenate(x) for x in (ids, labels, sizes, sigs, owner))
-        order = np.lexsort((ids[owner], sigs))
-        sigs, owner = sigs[order], owner[order]
-        member = ids[owner]
-        fresh = np.ones(len(sigs), bool)
-        fresh[1:] = (sigs[1:] != sigs[:-1]) | (member[1:] != member[:-1])
-        sigs, owner, member = sigs[fresh], owner[fresh], member[fresh]
-        label = labels[owner]
-        starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])) if len(sigs) else np.zeros(0, int)
-        ends = np.append(starts[1:], len(sigs))
-        low, high, left = [], [], np.zeros(len(ids), bool)
-        if not most:
-            crowd = np.repeat(ends - starts > 1, ends - starts)
-            low, high = np.repeat(member[starts], ends - starts)[crowd], member[crowd]
-            order = np.lexsort((low, high))
-            low, high = low[order], high[order]
-            first = np.ones(len(high), bool)
-            first[1:] = high[1:] != high[:-1]
-            low, high = low[first], high[first]
-        else:
-            same = np.ones(len(sigs), bool)
-            same[1:] = (label[1:] == label[:-1]) | (sigs[1:] != sigs[:-1])
-            mixed = np.add.reduceat(~same, starts) > 0 if len(starts) else np.zeros(0, bool)
-            for at, end in zip(starts[mixed], ends[mixed], strict=True):
-                group, own = owner[at:end], label[at:end]
-                table, size = common_sketches([sketches[i] for i in group]), sizes[group]
-                for j in range(1, len(group)):
-                    rivals = may_link(table, size, j, np.flatnonzero(own[:j] != own[j]), percent)
-                    left[group[rivals[most:]]] = True
-                    if len(rivals):
-                        low.append(ids[group[rivals[:most]]])
-                        high.append(np.full(len(low[-1]), ids[group[j]]))
-            low, high = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (low, high))
-        left = np.unique(ids[left])
-        out = [(k, low[at].tobytes(), high[at].tobytes(), b"") for k, at in _deal(high, buckets)]
-        out += [(k, b"", b"", left[at].tobytes()) for k, at in _deal(left, buckets)]
-        return pd.DataFrame(out, columns=["bucket", "a", "b", "left"])
-
-    return run
-
-
-def _merge(most: int):
-    """Of one bucket of entries: each entry's smallest partners over all shards; a null with each entry that is left out of some."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b, left = (np.concatenate([np.frombuffer(x, np.int64) for x in rows[c]]) for c in ("a", "b", "left"))
-        order = np.lexsort((a, b))
-        a, b = a[order], b[order]
-        fresh = np.ones(len(a), bool)
-        fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        a, b = a[fresh], b[fresh]
-        first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, int)
-        place = np.arange(len(b)) - np.repeat(first, np.diff(np.append(first, len(b))))
-        keep = place < max(1, most)
-        out = pd.DataFrame({"a": a[keep], "b": b[keep]}, dtype=object)
-        if most and len(left := np.unique(np.concatenate([left, a[~keep]]))):
-            out = pd.concat([out, pd.DataFrame({"a": None, "b": left}, dtype=object)])
-        return out
-
-    return run
+    def compared(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        unit, ids, label, sizes = (part.column(i).to_numpy() for i in range(4))
+        packed = part.column(4).to_pylist()
+        starts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+        low, high, left = [], [], []
+        for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(unit)], strict=True):
+            own = label[at:end]
+            if (own == own[0]).all():
+                continue
+            table, size = common_sketches([np.frombuffer(x, np.uint64) for x in packed[at:end]]), sizes[at:end]
+            over = False
+            for j in np.flatnonzero(np.minimum.accumulate(own) != np.maximum.accumulate(own)).tolist():
+                found = may_link(table, size, j, np.flatnonzero(own[:j] != own[j]), percent)
+                over |= len(found) > most
+                low.append(ids[at + found[:most]])
+                high.append(np.full(len(low[-1]), ids[at + j]))
+            if over:
+                left.append(unit[at])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (low, high))
+        yield pa.RecordBatch.from_arrays([pa.array([*a.tolist(), *[None] * len(left)], pa.int64()), pa.array(np.concatenate([b, np.array(left, np.int64)]), pa.int64())], names=["a", "b"])
+
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        unit = batch.column(0).to_numpy()
+        cut = int(np.append(0, np.flatnonzero(unit[1:] != unit[:-1]) + 1)[-1])  # where the last unit begins
+        if kept and (cut or kept[-1].column(0)[0].as_py() != unit[0]):
+            yield from compared(pa.Table.from_batches([*kept, batch.slice(0, cut)]))
+            kept = []
+        elif cut:
+            yield from compared(pa.Table.from_batches([batch.slice(0, cut)]))
+        kept.append(batch.slice(cut))
+    if kept:
+        yield from compared(pa.Table.from_batches(kept))
+
+
+def _compare(size: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links among rows (a, b, part, text) in which texts of a, with a null b, come before those of their partners."""
+    leader, own = None, []
+    for batch in batches:
+        a, b, part = (batch.column(i).to_pylist() for i in range(3))
+        keep, sets = [], (s for _, _, data, offsets in chunks(batch.column(3)) for s in shingles(data, offsets, size))
+        for i, s in enumerate(sets):
+            if leader != (a[i], part[i]):
+                leader, own = (a[i], part[i]), []
+            if b[i] is None:
+                own.append(s)
+                continue
+            for t in own:  # one set, but for rows that repeat a doc_id
+                both = np.sort(np.concatenate([t, s]), kind="stable")
+                if linked(int((both[1:] == both[:-1]).sum()), len(t), len(s), percent):
+                    keep.append(i)
+                    break
+        yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in batch.columns[:2]], names=["a", "b"])
 
 
 def merged(label: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) after links between components; only those that the links touch are worked on."""
     one = label.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     two = label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    edges = links.join(one, "a").join(two, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    edges = links.join(_sized(one), "a").join(_sized(two), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     moved = components(edges).select(F.col("node").alias("component"), F.col("component").alias("to"))
-    return stage(label.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "label")
+    return stage(label.join(_sized(moved), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "label")
 
 
-def _listed(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [s.tobytes() for _, _, data, offsets in chunks(batch.column(1)) for s in shingles(data, offsets, size)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "features"])
-
-
-def _compare(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for fa, fb in zip(batch.column(2), batch.column(3), strict=True):
-            a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (fa, fb))
-            both = np.sort(np.concatenate([a, b]), kind="stable")
-            keep.append(linked(int((both[1:] == both[:-1]).sum()), len(a), len(b), percent))
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+def _looked_up(rows: DataFrame, found: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """rows joined with what one row of found says of keys: by broadcast if found is small, otherwise salted, as a key may
+    hold a third of rows."""
+    if (small := _sized(found)) is not found:
+        return rows.join(small, keys, how)
+    salted = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"], how).drop("__salt")
 
 
 def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, text: str = "text") -> DataFrame:
@@ -343,57 +335,83 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, text: str =
     """
     spark = docs.sparkSession
     source = _sets(docs, text)
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = stage(source.mapInArrow(partial(_describe, size), "doc_id long, n long, h1 long, h2 long"), "sets")
     filled = known.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    leads = filled.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("lead"))
-    same = stage(filled.join(leads, ["h1", "h2", "n"]).select("doc_id", "lead").where(F.col("doc_id") != F.col("lead")).distinct(), "same")
+    alike = ["h1", "h2", "n"]
+    leads = stage(filled.groupBy(*alike).agg(F.min("doc_id").alias("lead"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "leads")
+    copies = stage(_looked_up(filled, leads, alike, "doc_id").select("doc_id", "lead", *alike).where(F.col("doc_id") != F.col("lead")).distinct(), "copies")
     # A document is signed unless all its rows are copies of smaller documents.
-    copies = filled.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("lead")).select(F.col("lead").alias("doc_id"))
-    others = same.select("doc_id").join(copies, "doc_id", "left_anti").distinct()
-    entries = source.where(F.col("doc_id").isNotNull()).join(_sized(others), "doc_id", "left_anti")
+    gone = copies.select("doc_id").distinct()
+    own = filled.join(_sized(gone), "doc_id", "left_semi").join(copies.select("doc_id", *alike), ["doc_id", *alike], "left_anti").select("doc_id")
+    gone = stage(gone.join(own, "doc_id", "left_anti"), "gone")
+    entries = source.where(F.col("doc_id").isNotNull()).join(_sized(gone), "doc_id", "left_anti")
     total = filled.agg(F.sum("n")).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 4_000_000, 1)
+    shards = max(parallel, total // 4_000_000, 1)
 
-    def candidates(signed: DataFrame, most: int, name: str) -> DataFrame:
-        met = signed.groupBy("shard").applyInPandas(_meet(most, shards, percent), PAIRS)
-        return stage(met.groupBy("bucket").applyInPandas(_merge(most), "a long, b long"), name)
+    signed = entries.mapInArrow(partial(_sign, size, percent, shards), SIGNED)
+    found = signed.groupBy("shard").applyInPandas(_group, GROUPS)
+    groups = stage(found.groupBy("gid", "block").agg(F.first("members").alias("members")), "groups")
+    least = groups.where("block = 0").select("gid", F.element_at("members", 1).alias("a"))
+    stars = groups.join(least, "gid").select("a", F.explode("members").alias("b")).where("a <> b").distinct()
+    crowd = stage(groups.select(F.explode("members").alias("node")).distinct(), "crowd")
+    label = crowd.select("node", F.col("node").alias("component"))
+    sketches = stage(entries.join(_sized(crowd), F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(partial(_sketched, size, percent), "node long, size long, sketch binary").where("size > 0"), "sketches")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ids = stage(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-        sets = stage(entries.join(_sized(ids), "doc_id", "left_semi").mapInArrow(partial(_listed, size), "doc_id long, features binary"), "features")
-        one = sets.select(F.col("doc_id").alias("a"), F.col("features").alias("fa"))
-        two = sets.select(F.col("doc_id").alias("b"), F.col("features").alias("fb"))
-        found = stage(pairs.join(one, "a").join(two, "b").select("a", "b", "fa", "fb").mapInArrow(partial(_compare, percent), "a long, b long"), "links")
-        unstage(sets)
-        return found
-
-    crowd = candidates(entries.mapInArrow(partial(_sign, size, percent, shards), _Packer.SHAPE), 0, "crowd")
-    label = crowd.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    # A sketch goes to each shard that its entry has signatures in, so these rounds have fewer, larger shards.
-    wide = max(1, shards // 4, total // 8_000_000)
-    tested, most = None, 8
-    while True:
-        labelled = entries.join(_sized(label), F.col("doc_id") == F.col("node")).select("doc_id", "text", "component")
-        found = candidates(labelled.mapInArrow(partial(_sign_again, size, percent, wide), _Packer.SHAPE), most, "rivals")
-        todo = found.where(F.col("a").isNotNull())
-        if tested is None:  # an entry without a rival now, kept or left out, has none later, as all are apart
-            pairs = todo.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-            label = stage(pairs.select("node", F.col("node").alias("component")), "label")
-        else:
-            todo = stage(todo.join(tested, ["a", "b"], "left_anti"), "todo")
+        """The links among pairs: the text of a once for each part of its partners, before theirs."""
+        hot = stage(pairs.groupBy("a").agg(F.count("*").alias("n")).where("n > 256"), "hot")
+        part = F.pmod(F.xxhash64("b"), F.floor(F.coalesce("n", F.lit(0)) / 256) + 1)
+        parted = stage(pairs.join(_sized(hot), "a", "left").select("a", "b", part.alias("part")), "pairs")
+        first = entries.join(_sized(parted.select("a", "part").distinct()), F.col("doc_id") == F.col("a")).select("a", F.lit(None).cast("long").alias("b"), "part", "text")
+        second = entries.join(_sized(parted), F.col("doc_id") == F.col("b")).select("a", "b", "part", "text")
+        rows = first.unionByName(second).repartition(parallel, "a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b")).select("a", "b", "part", "text")
+        links = stage(rows.mapInArrow(partial(_compare, size, percent), "a long, b long"), "links")
+        unstage(parted)
+        unstage(hot)
+        return links
+
+    def mixed(units: DataFrame) -> DataFrame:
+        """Units (unit, node) with what is known of their entries, of units in several components."""
+        named = units.join(_sized(label), "node")
+        several = named.groupBy("unit").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("unit")
+        return named.join(several, "unit", "left_semi")
+
+    tested = stage(stars, "stars")
+    if tested.head(1):
+        label = merged(label, verified(tested))
+    # Blocks of a group that isn't of one component, in pairs; a small group is one unit.
+    kinds = groups.select("gid", "block", F.explode("members").alias("node")).join(_sized(label), "node").groupBy("gid", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = kinds.groupBy("gid").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("blocks")).where("least <> most").select("gid", "blocks")
+    blocks = groups.join(kinds, ["gid", "block"]).join(open_, "gid")
+    x, y = (blocks.select("gid", "blocks", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "members", "low", "high")]) for k in "xy")
+    two = x.where("blocks > 1").join(y.drop("blocks"), "gid").where("block_x < block_y and least(low_x, low_y) <> greatest(high_x, high_y)")
+    lone = blocks.where("blocks = 1").select(F.col("gid").alias("unit"), "members")
+    units = lone.unionByName(two.select(F.xxhash64("gid", "block_x", "block_y").alias("unit"), F.concat("members_x", "members_y").alias("members")))
+    units, most = stage(units.select("unit", F.explode("members").alias("node")), "units"), 8
+    while units.head(1):
+        rows = mixed(units).join(sketches, "node").select("unit", "node", "component", "size", "sketch")
+        rivals = stage(rows.repartition(parallel, "unit").sortWithinPartitions("unit", "node").mapInArrow(partial(_rivals, most, percent), "a long, b long"), "rivals")
+        todo = stage(rivals.where(F.col("a").isNotNull()).distinct().join(tested, ["a", "b"], "left_anti"), "todo")
+        left = rivals.where(F.col("a").isNull()).select(F.col("b").alias("unit")).distinct()
         if todo.head(1):
-            tested = todo if tested is None else tested.unionByName(todo)
-            fresh = verified(todo)
-            if fresh.head(1):
-                label = merged(label, fresh)
-        elif tested is None or not found.where(F.col("a").isNull()).head(1):
-            break
-        most *= 16
-    links = label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    edges = links.unionByName(same.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")))
-    label = components(edges)
-    named = known.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+            tested = tested.unionByName(todo)
+            label = merged(label, verified(todo))
+        again = stage(units.join(_sized(left), "unit", "left_semi"), "units")
+        for spent in (units, rivals):
+            unstage(spent)
+        units, most = again, most * 16
+    for spent in (groups, crowd, sketches, units):
+        unstage(spent)
+    # A copy's component is its lead's. Documents whose rows copy several others, or one besides a text of their own, link.
+    label, to = label.where("node <> component"), copies.groupBy("doc_id").agg(F.min("lead").alias("lead"), F.count("*").alias("rows"))
+    plain = to.where("rows = 1").join(gone, "doc_id", "left_semi").select("doc_id", "lead")
+    odd = stage(copies.select("doc_id", "lead").join(plain, "doc_id", "left_anti"), "odd")
+    if odd.head(1):
+        label = components(odd.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b")))).where("node <> component")
+    follow = _looked_up(plain, label.select(F.col("node").alias("lead"), "component"), ["lead"], "doc_id", "left").select("doc_id", F.coalesce("component", "lead").alias("component"))
+    found = stage(label.select(F.col("node").alias("doc_id"), "component").unionByName(follow), "found")
+    return known.join(_sized(found), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, text: str = "text") -> DataFrame:
