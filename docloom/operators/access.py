@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.storage import broadcast_small
+
 #: Fixed values: (role, resource glob, method) policies; a group names the role that it inherits.
 POLICIES = [
     ("viewer", "/documents/*", "GET"),
@@ -18,20 +20,30 @@ POLICIES = [
 INHERITS = [("editor", "viewer"), ("admin", "editor")]
 
 
-def visible(documents: DataFrame, users: DataFrame, membership: DataFrame, grants: DataFrame) -> DataFrame:
-    """(user_id, document_id, via) by the object rule: admin, then owner, then grant, then shared group, else nothing.
+def rules(documents: DataFrame, users: DataFrame, membership: DataFrame, grants: DataFrame) -> DataFrame:
+    """(user_id, scope, target, via): who sees what by the object rule: admin, then owner, then grant, then shared group.
 
-    documents: document_id, owner_id, group_id. users: user_id, is_admin. membership: user_id, group_id. grants:
-    document_id, user_id, permission. Each branch is an equi-join, so no pair of user and document is made that isn't
-    visible but for admins, who see all.
+    documents: document_id, owner_id. users: user_id, is_admin. membership: user_id, group_id. grants: document_id,
+    user_id. An admin is one row of scope "all" (target 0), a membership one of scope "group", so only owned and granted documents
+    are listed one by one, each with its first reason; admins have no other rows.
     """
-    ranked = lambda df, rank, via: df.select("user_id", "document_id", F.lit(rank).alias("rank"), F.lit(via).alias("via"))
-    admins = ranked(users.where("is_admin").select("user_id", F.lit(1).alias("one")).join(documents.select("document_id", F.lit(1).alias("one")), "one"), 1, "admin")
-    owners = ranked(documents.where(F.col("owner_id").isNotNull()).select(F.col("owner_id").alias("user_id"), "document_id"), 2, "owner")
-    given = ranked(grants.select("user_id", "document_id"), 3, "grant")
-    grouped = ranked(documents.join(membership, "group_id"), 4, "group")
-    every = admins.unionByName(owners).unionByName(given).unionByName(grouped)
-    return every.groupBy("user_id", "document_id").agg(F.min_by("via", "rank").alias("via"))
+    row = lambda df, scope, target, via: df.select("user_id", F.lit(scope).alias("scope"), target.cast("long").alias("target"), via.alias("via"))
+    admins = users.where("is_admin").select("user_id")
+    owners = documents.where(F.col("owner_id").isNotNull()).select(F.col("owner_id").alias("user_id"), "document_id", F.lit(2).alias("rank"), F.lit("owner").alias("via"))
+    given = grants.select("user_id", "document_id", F.lit(3).alias("rank"), F.lit("grant").alias("via"))
+    listed = owners.unionByName(given).groupBy("user_id", "document_id").agg(F.min_by("via", "rank").alias("via"))
+    some = row(membership.select("user_id", "group_id").distinct(), "group", F.col("group_id"), F.lit("group")).unionByName(row(listed, "document", F.col("document_id"), F.col("via")))
+    return row(admins, "all", F.lit(0), F.lit("admin")).unionByName(some.join(admins, "user_id", "left_anti"))
+
+
+def visible_to(user_id: int, documents: DataFrame, users: DataFrame, membership: DataFrame, grants: DataFrame) -> DataFrame:
+    """(document_id, via) of the documents that one user sees: the rules above expanded for who asks."""
+    admin = bool(users.where((F.col("user_id") == user_id) & F.col("is_admin")).head(1))
+    mine = grants.where(F.col("user_id") == user_id).select("document_id", F.lit(True).alias("granted")).distinct()
+    groups = membership.where(F.col("user_id") == user_id).select("group_id", F.lit(True).alias("shared")).distinct()
+    d = documents.join(mine, "document_id", "left").join(broadcast_small(groups), "group_id", "left")
+    via = F.when(F.lit(admin), "admin").when(F.col("owner_id") == user_id, "owner").when(F.col("granted"), "grant").when(F.col("shared"), "group")
+    return d.select("document_id", via.alias("via")).where(F.col("via").isNotNull())
 
 
 def glob_pattern(glob: str) -> str:
@@ -45,5 +57,5 @@ def enforce(requests: DataFrame, policies: DataFrame, inherits: DataFrame) -> Da
     own = policies.select(F.col("role").alias("r1")).distinct().select("r1", F.col("r1").alias("p1"))
     reach = own.unionByName(edge).unionByName(second).distinct()
     effective = reach.join(policies, F.col("p1") == F.col("role")).select(F.col("r1").alias("policy_role"), F.concat(F.lit("^"), F.replace("glob", F.lit("*"), F.lit(".*")), F.lit("$")).alias("pattern"), F.col("method").alias("policy_method"))
-    hit = requests.join(F.broadcast(effective), (F.col("role") == F.col("policy_role")) & (F.col("method") == F.col("policy_method")) & F.expr("resource RLIKE pattern"), "left")
+    hit = requests.join(broadcast_small(effective), (F.col("role") == F.col("policy_role")) & (F.col("method") == F.col("policy_method")) & F.expr("resource RLIKE pattern"), "left")
     return hit.groupBy(*requests.columns).agg(F.coalesce(F.bool_or(F.col("policy_role").isNotNull()), F.lit(False)).alias("allowed"))

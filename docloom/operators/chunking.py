@@ -15,19 +15,17 @@ RECURSIVE = "doc_id long, chunk_index int, content string"
 
 
 def fixed_windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
-    """(start, end, stripped text) of windows; a window ends at its last space if that lies in its second half."""
+    """(start, end, stripped text) of windows; one ends behind the last space of its second half, if that has any.
+
+    The last windows' ends may lie past the text; a window that only repeats the end of the one before is one too.
+    """
     start, n = 0, len(text)
     while start < n:
-        end = min(start + size, n)
-        if end < n:
-            cut = text.rfind(" ", start, end)
-            if cut > start + size // 2:
-                end = cut
-        content = text[start:end].strip()
-        if content:
+        end = start + size
+        if end < n and (cut := text.rfind(" ", start + size // 2, end)) >= 0:
+            end = cut + 1
+        if content := text[start:end].strip():
             yield start, end, content
-        if end >= n:
-            return
         start = end - overlap
 
 

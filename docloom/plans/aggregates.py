@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import experiments, latest
+from docloom.operators import experiments, latest, sequences
+from docloom.operators.graph import aggregate_folds
 from docloom.plans._catalog import VIEW_SQL, query
 from docloom.plans.views import v_document, v_entity, v_log, v_mention, v_page, v_point, v_qa, v_relation
 from docloom.storage import read_table
@@ -47,17 +48,13 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT name, type, round(list_reduce(list(confidence ORDER BY doc_id, chunk_seq, confidence), lambda a, x: (a + x) / 2), 6) AS confidence FROM v_mention GROUP BY name, type""")
 def entity_confidence_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: confidence after each mention is the mean of the one before and the new one, in order."""
-    m = v_mention(spark, sf_dir)
-    seq = F.array_sort(F.collect_list(F.struct("doc_id", "chunk_seq", "confidence")))
-    fold = lambda s: F.aggregate(F.slice(s, 2, F.size(s)), s[0]["confidence"], lambda a, x: (a + x["confidence"]) / 2)
-    return m.groupBy("name", "type").agg(seq.alias("s")).select("name", "type", F.round(fold(F.col("s")), 6).alias("confidence"))
+    return aggregate_folds(v_mention(spark, sf_dir)).select("name", "type", F.round("confidence", 6).alias("confidence"))
 
 
-@query("SELECT name, type, md5(string_agg(DISTINCT CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR))) AS docs_md5, count(DISTINCT doc_id) AS n_docs FROM v_mention GROUP BY name, type")
+@query("SELECT DISTINCT name, type, doc_id FROM v_mention")
 def entity_source_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The set of documents behind an entity; its order is that of the text."""
-    docs = F.array_sort(F.collect_set(F.col("doc_id").cast("string")))
-    return v_mention(spark, sf_dir).groupBy("name", "type").agg(F.md5(F.array_join(docs, ",")).alias("docs_md5"), F.size(docs).cast("long").alias("n_docs"))
+    """The set of documents behind an entity, one row for each, as an entity may be in a third of all."""
+    return v_mention(spark, sf_dir).select("name", "type", "doc_id").distinct()
 
 
 @query("""SELECT field, count(*) AS occurrences, count(DISTINCT value) AS n_values, min(value) AS sample FROM (
@@ -230,7 +227,7 @@ def rate_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT kind, round(quantile_cont(value, 0.95), 6) AS p95 FROM v_log GROUP BY kind")
 def p95_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact 95th percentile of each kind."""
-    return v_log(spark, sf_dir).groupBy("kind").agg(F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    return sequences.exact_percentile(v_log(spark, sf_dir), "kind", "value", 0.95).select("kind", F.round("percentile", 6).alias("p95"))
 
 
 @query("""SELECT strftime(ts, '%Y-%m-%d') AS day, done, total, round(100.0 * done / total, 4) AS percent, CAST(ceil((total - done) / greatest(1, per_day)) AS BIGINT) AS days_left FROM (

@@ -9,7 +9,7 @@ from docloom.functions import text as T
 from docloom.operators import access
 from docloom.plans._catalog import VIEW_SQL, query
 from docloom.plans.views import v_document, v_entity, v_log, v_page, v_point
-from docloom.storage import read_table
+from docloom.storage import broadcast_small, read_table
 
 VIEW_SQL["v_user"] = "SELECT c_custkey AS user_id, c_custkey % 100 = 0 AS is_admin, c_nationkey AS n FROM customer"
 VIEW_SQL["v_owned"] = "SELECT o_orderkey AS document_id, o_custkey AS owner_id, o_orderkey % 25 AS group_id FROM orders"
@@ -135,16 +135,26 @@ def news_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v_page(spark, sf_dir).where(F.col("host").endswith(".example.com") & F.lower("title").contains("en")).select("page_id", "title")
 
 
-@query("""SELECT user_id, document_id, arg_min(via, rank) AS via FROM (
-SELECT u.user_id, d.document_id, 1 AS rank, 'admin' AS via FROM v_user u, v_owned d WHERE u.is_admin
-UNION ALL SELECT owner_id, document_id, 2, 'owner' FROM v_owned WHERE owner_id IS NOT NULL
-UNION ALL SELECT user_id, document_id, 3, 'grant' FROM v_grant
-UNION ALL SELECT u.user_id, d.document_id, 4, 'group' FROM v_user u JOIN v_owned d ON d.group_id = u.n WHERE u.user_id % 50 = 1) GROUP BY user_id, document_id""")
-def acl_visible_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which user sees which document, and why. Members are the users who signed up for a group."""
+def _access(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents, users, memberships (every user's nation is a group of theirs) and grants."""
     users = v_user(spark, sf_dir)
-    members = users.where("user_id % 50 = 1").select("user_id", F.col("n").cast("long").alias("group_id"))
-    return access.visible(v_owned(spark, sf_dir), users, members, v_grant(spark, sf_dir))
+    return v_owned(spark, sf_dir), users, users.select("user_id", F.col("n").cast("long").alias("group_id")), v_grant(spark, sf_dir)
+
+
+@query("""SELECT user_id, 'all' AS scope, CAST(0 AS BIGINT) AS target, 'admin' AS via FROM v_user WHERE is_admin
+UNION ALL SELECT user_id, 'group', CAST(n AS BIGINT), 'group' FROM v_user WHERE NOT is_admin
+UNION ALL SELECT user_id, 'document', document_id, arg_min(via, rank) FROM (SELECT owner_id AS user_id, document_id, 2 AS rank, 'owner' AS via FROM v_owned WHERE owner_id IS NOT NULL UNION ALL SELECT user_id, document_id, 3, 'grant' FROM v_grant)
+WHERE user_id NOT IN (SELECT user_id FROM v_user WHERE is_admin) GROUP BY user_id, document_id""")
+def acl_visible_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who sees which documents, and why, as rules: all, those of a group, or one."""
+    return access.rules(*_access(spark, sf_dir))
+
+
+@query("""SELECT d.document_id, CASE WHEN d.owner_id = 1 THEN 'owner' WHEN g.document_id IS NOT NULL THEN 'grant' ELSE 'group' END AS via FROM v_owned d
+LEFT JOIN (SELECT DISTINCT document_id FROM v_grant WHERE user_id = 1) g USING (document_id) WHERE d.owner_id = 1 OR g.document_id IS NOT NULL OR d.group_id = (SELECT n FROM v_user WHERE user_id = 1)""")
+def acl_user_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that one user sees: own, granted and of a shared group."""
+    return access.visible_to(1, *_access(spark, sf_dir))
 
 
 @query("SELECT document_id, group_id FROM v_owned WHERE group_id IS NULL OR group_id IN (SELECT n FROM v_user WHERE user_id = 1)")
@@ -152,7 +162,7 @@ def acl_list_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In lists, a document without a group is public; else a group must be the user's."""
     mine = v_user(spark, sf_dir).where("user_id = 1").select(F.col("n").cast("long").alias("group_id")).distinct()
     d = v_owned(spark, sf_dir)
-    return d.where(F.col("group_id").isNull()).unionByName(d.join(F.broadcast(mine), "group_id", "left_semi")).select("document_id", "group_id")
+    return d.where(F.col("group_id").isNull()).unionByName(d.join(broadcast_small(mine), "group_id", "left_semi")).select("document_id", "group_id")
 
 
 @query("""SELECT DISTINCT user_id, document_id FROM (SELECT owner_id AS user_id, document_id FROM v_owned UNION ALL SELECT user_id, document_id FROM v_grant WHERE permission = 'edit')""")

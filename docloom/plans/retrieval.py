@@ -12,12 +12,12 @@ from docloom.plans.views import v_document, v_point
 from docloom.storage import read_table
 
 SIZE, OVERLAP = 1000, 200
+_END = f"CASE WHEN s + {SIZE} < n AND r > 0 AND {SIZE} - r >= {SIZE // 2} THEN s + {SIZE} - r + 1 ELSE s + {SIZE} END"
 VIEW_SQL["v_chunk"] = f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_pos) - 1 AS INTEGER) AS chunk_index, start_pos, end_pos, content FROM (
   WITH RECURSIVE cut(doc_id, n, start_pos, end_pos, text) AS (
-    SELECT doc_id, length(text), 0, CASE WHEN length(text) <= {SIZE} THEN length(text) ELSE CASE WHEN r > 0 AND {SIZE} - r > {SIZE // 2} THEN {SIZE} - r ELSE {SIZE} END END, text
-      FROM (SELECT doc_id, text, strpos(reverse(substr(text, 1, {SIZE})), ' ') AS r FROM documents WHERE length(text) > 0)
-    UNION ALL SELECT doc_id, n, s, CASE WHEN s + {SIZE} >= n THEN n ELSE CASE WHEN r > 0 AND {SIZE} - r > {SIZE // 2} THEN s + {SIZE} - r ELSE s + {SIZE} END END, text
-      FROM (SELECT doc_id, n, end_pos - {OVERLAP} AS s, strpos(reverse(substr(text, end_pos - {OVERLAP} + 1, {SIZE})), ' ') AS r, text FROM cut WHERE end_pos < n))
+    SELECT doc_id, n, s, {_END}, text FROM (SELECT doc_id, length(text) AS n, 0 AS s, strpos(reverse(substr(text, 1, {SIZE})), ' ') AS r, text FROM documents WHERE length(text) > 0)
+    UNION ALL SELECT doc_id, n, s, {_END}, text
+      FROM (SELECT doc_id, n, end_pos - {OVERLAP} AS s, strpos(reverse(substr(text, end_pos - {OVERLAP} + 1, {SIZE})), ' ') AS r, text FROM cut WHERE end_pos - {OVERLAP} < n))
   SELECT doc_id, CAST(start_pos AS INTEGER) AS start_pos, CAST(end_pos AS INTEGER) AS end_pos, regexp_replace(substr(text, start_pos + 1, end_pos - start_pos), '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g') AS content FROM cut) WHERE content <> ''"""
 _COS = "CASE WHEN list_dot_product(p.dense, p.dense) = 0 THEN 0.0 ELSE round(list_dot_product(p.dense, q.dense) / (sqrt(list_dot_product(p.dense, p.dense)) * sqrt(list_dot_product(q.dense, q.dense))), 6) END"
 _BM25 = r"""d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f]+'), lambda x: x <> '') AS ws FROM documents),

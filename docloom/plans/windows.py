@@ -108,10 +108,10 @@ def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT page_id, title FROM (SELECT page_id, title, row_number() OVER (PARTITION BY substr(title, 1, 8) || substr(html, 1, 80) ORDER BY page_id) AS place FROM v_page) WHERE place = 1")
+@query("SELECT page_id, title FROM (SELECT page_id, title, row_number() OVER (PARTITION BY substr(title, 1, 80) || substr(html, 1, 80) ORDER BY page_id) AS place FROM v_page) WHERE place = 1")
 def dedup_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One news item of each beginning of title and text."""
-    key = F.concat(F.substring("title", 1, 8), F.substring("html", 1, 80))
+    key = F.concat(F.substring("title", 1, 80), F.substring("html", 1, 80))
     return latest.first_per(v_page(spark, sf_dir), [key], [F.col("page_id")]).select("page_id", "title")
 
 
@@ -195,12 +195,11 @@ def latest_wins_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("key", "status").join(o.groupBy("key").agg(F.max("o_orderkey").alias("top")), "key")
 
 
-@query("SELECT p_type AS category, count(*) AS keys, md5(string_agg(p_partkey || '=' || p_name, ',' ORDER BY p_partkey)) AS backup_md5 FROM part GROUP BY p_type")
+@query("""SELECT p_type AS category, p_partkey AS key, '{"key":' || p_partkey || ',"value":"' || p_name || '"}' AS entry FROM part""")
 def config_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A category's keys and values as one backup entry."""
-    kv = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name")))
-    text = F.array_join(F.transform(kv, lambda x: F.concat(x["p_partkey"].cast("string"), F.lit("="), x["p_name"])), ",")
-    return read_table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("category")).agg(F.count("*").alias("keys"), F.md5(text).alias("backup_md5"))
+    """Each category's keys and values as backup entries, one line of JSON for each."""
+    p = read_table(spark, sf_dir, "part")
+    return p.select(F.col("p_type").alias("category"), F.col("p_partkey").alias("key"), F.to_json(F.struct(F.col("p_partkey").alias("key"), F.col("p_name").alias("value"))).alias("entry"))
 
 
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS transcript FROM conversations GROUP BY conv_id")

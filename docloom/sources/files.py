@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -109,15 +110,43 @@ def unpack(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInPandas(_unpack, "archive string, path string, content binary")
 
 
+#: The nodes of parsed plans that only read.
+READING = set(
+    "Project Filter Aggregate Join LateralJoin Sort GlobalLimit LocalLimit Offset Distinct Union Intersect Except SubqueryAlias UnresolvedSubqueryColumnAliases "
+    "UnresolvedRelation UnresolvedInlineTable OneRowRelation UnresolvedWith UnresolvedHaving WithWindowDefinition Window Generate Pivot Unpivot Sample".split()
+)
+_CALLS_OUT = re.compile(r"\b(reflect|try_reflect|java_method)\b", re.I)
+
+
 def read_only_sql(spark: SparkSession, sql: str, limit: int = 100) -> DataFrame:
-    """The rows of one query over the session's views; anything that isn't a query is rejected by its parsed plan."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    names, todo = [], [plan]
+    """The rows of one query over the session's views. Every node of the parsed plan, subqueries included, must be one
+    that only reads; functions that call foreign code are rejected too."""
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
     while todo:
         node = todo.pop()
-        names.append(node.getClass().getName())
-        kids = node.children()
-        todo += [kids.apply(i) for i in range(kids.size())]
-    if any("Command" in n or ".Create" in n or ".Drop" in n or ".Insert" in n or ".Set" in n for n in names):
-        raise ValueError("only queries are allowed")
+        if (kind := node.getClass().getSimpleName().rstrip("$")) not in READING:
+            raise ValueError(f"only queries are allowed, not {kind}")
+        for more in (node.children(), node.innerChildren(), node.subqueries()):
+            todo += [more.apply(i) for i in range(more.size())]
+    if _CALLS_OUT.search(sql):
+        raise ValueError("functions that call foreign code aren't allowed")
     return spark.sql(sql).limit(limit)
+
+
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """(response_id, metric, score) of annotation files: JSON objects, each response's metrics by name."""
+    raw = spark.read.schema("response_id string, scores map<string,double>").option("multiLine", True).json(path)
+    return raw.select("response_id", F.explode("scores").alias("metric", "score"))
+
+
+def read_backup(spark: SparkSession, path: str) -> DataFrame:
+    """(namespace, key, value) of backup files: a JSON object of namespaces, each an object of keys and values."""
+    raw = spark.read.text(path, wholetext=True)
+    spaces = F.from_json("value", "map<string,map<string,string>>")
+    return raw.select(F.explode(spaces).alias("namespace", "held")).select("namespace", F.explode("held").alias("key", "value"))
+
+
+def restore(current: DataFrame, backup: DataFrame) -> DataFrame:
+    """current (namespace, key, value) with the backup's entries put in or over its own."""
+    rows = current.select("namespace", "key", "value", F.lit(0).alias("at")).unionByName(backup.select("namespace", "key", "value", F.lit(1).alias("at")))
+    return rows.groupBy("namespace", "key").agg(F.max_by("value", "at").alias("value"))

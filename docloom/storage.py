@@ -10,14 +10,19 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SET_HERE = "docloom.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a new temporary one where it is unset (tests)."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Where it is unset, a local session gets a new
+    temporary one; executors elsewhere couldn't read that, so any other session is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_SET_HERE, None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(_SET_HERE, named)
     return named.rstrip("/")
@@ -45,5 +50,10 @@ def unstage(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def broadcast_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, marked for broadcast if it has at most ``most`` rows (counted up to there); otherwise as it is."""
+    return F.broadcast(df) if len(df.select(F.lit(1)).head(most + 1)) <= most else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
