@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import chunking, classify, latest
 from docloom.operators import retrieval as R
 from docloom.plans._catalog import VIEW_SQL, query
-from docloom.plans.views import v_document, v_point
-from docloom.storage import read_table
+from docloom.plans.views import v_document, v_mention, v_point
+from docloom.storage import broadcast_small, read_table, stage
 
 SIZE, OVERLAP = 1000, 200
 _END = f"CASE WHEN s + {SIZE} < n AND r > 0 AND {SIZE} - r >= {SIZE // 2} THEN s + {SIZE} - r + 1 ELSE s + {SIZE} END"
@@ -39,9 +39,16 @@ def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(v_point(spark, sf_dir).orderBy("id").select("dense").first()[0])
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     questions = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.bm25(read_table(spark, sf_dir, "documents").select("doc_id", "text"), questions)
+    return R.bm25_topk(read_table(spark, sf_dir, "documents").select("doc_id", "text"), questions, k)
+
+
+def _near(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Documents by vector for each question; a question's vector is that of its number."""
+    p = v_point(spark, sf_dir)
+    asked = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).join(p, F.col("id") == F.col("query_id")).select("query_id", "dense")
+    return R.vector_topk_each(p, asked, k)
 
 
 @query("SELECT doc_id, chunk_index, start_pos, end_pos, md5(content) AS content_md5 FROM v_chunk")
@@ -119,35 +126,56 @@ def embedding_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_BM25} SELECT query_id, doc_id, rank, score FROM ranked WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents for each benchmark question by BM25."""
-    return R.top_per_query(_ranked(spark, sf_dir), 10).select("query_id", "doc_id", "rank", "score")
+    return _ranked(spark, sf_dir, 10)
 
 
-@query(f"""WITH {_BM25}, long AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY length(text) DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, text FROM ranked JOIN documents USING (doc_id) WHERE rank <= 50))
-SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 8) AS score FROM (SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, rank FROM long) GROUP BY query_id, doc_id""")
-def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V8: two rankings fused by reciprocal ranks."""
-    first = R.top_per_query(_ranked(spark, sf_dir), 50)
-    sized = first.join(read_table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
-    second = R.top_per_query(sized.select("query_id", "doc_id", F.col("n").alias("score")), 50)
-    return R.reciprocal_rank_fusion([first, second])
+_NEAR = f"""near AS MATERIALIZED (SELECT item_id AS query_id, p.id AS doc_id, {_COS} AS score FROM benchmark JOIN v_point q ON q.id = item_id, v_point p),
+nearest AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM near)"""
 
 
-@query(f"""WITH {_BM25}, hit AS (SELECT query_id, doc_id, score, text, CASE WHEN contains(text, 'License') THEN 0.3 ELSE 0 END AS boost, row_number() OVER (PARTITION BY query_id, substr(text, 1, 100) ORDER BY score DESC, doc_id) AS place FROM ranked JOIN documents USING (doc_id) WHERE rank <= 20 AND score >= 0.4)
-SELECT query_id, doc_id, round(score + boost, 4) AS score, substr(text, 1, 500) AS snippet FROM hit WHERE place = 1""")
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threshold, one hit of each beginning, a boost for the phrase, snippets."""
-    hits = R.top_per_query(_ranked(spark, sf_dir), 20).where("score >= 0.4").join(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    one = latest.first_per(hits, [F.col("query_id"), F.substring("text", 1, 100)], [F.desc("score"), F.col("doc_id")])
-    boosted = F.col("score") + F.when(F.col("text").contains("License"), 0.3).otherwise(0.0)
-    return one.select("query_id", "doc_id", F.round(boosted, 4).alias("score"), F.substring("text", 1, 500).alias("snippet"))
+@query(f"""WITH {_BM25}, {_NEAR}
+SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 8) AS score FROM (SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, rank FROM nearest WHERE rank <= 50) GROUP BY query_id, doc_id""")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8: the sparse and the dense ranking fused by reciprocal ranks."""
+    return R.reciprocal_rank_fusion([_ranked(spark, sf_dir, 50), _near(spark, sf_dir, 50)])
 
 
-@query(f"""WITH {_BM25} SELECT query_id, string_agg('[' || rank || '] ' || filename || ': ' || substr(v.text, 1, 300), chr(10) ORDER BY rank) AS context FROM ranked JOIN v_document v USING (doc_id) WHERE rank <= 10 GROUP BY query_id""")
+@query(f"""WITH {_BM25}, asked AS (SELECT item_id AS query_id, text AS phrase FROM benchmark UNION ALL SELECT 1000000 + row_number() OVER (ORDER BY p_brand), p_brand FROM (SELECT DISTINCT p_brand FROM part)),
+named AS MATERIALIZED (SELECT query_id, name FROM asked JOIN (SELECT DISTINCT p_brand AS name FROM part) ON contains(name, phrase)),
+graph AS MATERIALIZED (SELECT query_id, chunk_id AS id, CAST(count(DISTINCT (name, type)) AS DOUBLE) AS score FROM named JOIN v_mention USING (name) GROUP BY query_id, chunk_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY count(DISTINCT (name, type)) DESC, chunk_id) <= 20),
+hit AS (SELECT query_id, doc_id, score, text, CASE WHEN contains(text, phrase) THEN 0.3 ELSE 0 END AS boost, row_number() OVER (PARTITION BY query_id, substr(text, 1, 100) ORDER BY score DESC, doc_id) AS place FROM ranked JOIN documents USING (doc_id) JOIN asked USING (query_id) WHERE rank <= 20 AND score >= 0.4)
+SELECT query_id, 'graph' AS found_by, id, score, '' AS snippet FROM graph UNION ALL
+SELECT query_id, 'text', doc_id, round(score + boost, 4), substr(text, 1, 500) FROM hit WHERE place = 1 AND text <> '' AND query_id NOT IN (SELECT query_id FROM graph)""")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of entities that a query names; where there are none, texts over a threshold, one of each
+    beginning, with a boost for those that hold the query's own phrase."""
+    brands = read_table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct()
+    order = Window.orderBy("name")  # of the names of a query set
+    asked = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase")).unionByName(brands.select((F.row_number().over(order) + 1_000_000).cast("long").alias("query_id"), F.col("name").alias("phrase")))
+    named = stage(brands.join(broadcast_small(asked), F.expr("contains(name, phrase)")).select("query_id", "name"), "named")
+    counted = named.join(v_mention(spark, sf_dir), "name").groupBy("query_id", F.col("chunk_id").alias("id")).agg(F.countDistinct("name", "type").cast("double").alias("score"))
+    graph = latest.last_n(counted, ["query_id"], [F.desc("score"), F.col("id")], 20).select("query_id", F.lit("graph").alias("found_by"), "id", "score", F.lit("").alias("snippet"))
+    hits = _ranked(spark, sf_dir, 20).where("score >= 0.4").join(named.select("query_id").distinct(), "query_id", "left_anti").join(asked, "query_id").join(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    one = latest.first_per(hits.where("text <> ''"), [F.col("query_id"), F.substring("text", 1, 100)], [F.desc("score"), F.col("doc_id")])
+    boosted = F.round(F.col("score") + F.when(F.expr("contains(text, phrase)"), 0.3).otherwise(0.0), 4)
+    return graph.unionByName(one.select("query_id", F.lit("text").alias("found_by"), F.col("doc_id").alias("id"), boosted.alias("score"), F.substring("text", 1, 500).alias("snippet")))
+
+
+@query(f"""WITH {_NEAR}, hit AS MATERIALIZED (SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM nearest WHERE rank <= 10),
+line AS (SELECT query_id, '[' || lpad(CAST(rank AS VARCHAR), 2, '0') || '] ' || filename || ': ' || substr(v.text, 1, 300) AS line FROM hit JOIN v_document v USING (doc_id)
+UNION ALL SELECT query_id, 'entity ' || lpad(CAST(place AS VARCHAR), 2, '0') || ': ' || name || ' (' || n || ')' FROM (SELECT query_id, name, count(*) AS n, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, name) AS place FROM hit JOIN v_mention USING (doc_id) WHERE rank <= 5 GROUP BY query_id, name) WHERE place <= 5)
+SELECT query_id, string_agg(line, chr(10) ORDER BY line) AS context FROM line GROUP BY query_id""")
 def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The context of each question: its ten best documents, numbered."""
-    top = R.top_per_query(_ranked(spark, sf_dir), 10).join(v_document(spark, sf_dir).select("doc_id", "filename", "text"), "doc_id")
-    block = F.struct("rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "filename", F.lit(": "), F.substring("text", 1, 300)).alias("line"))
-    return top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["line"]), "\n").alias("context"))
+    """The context of each question: its ten nearest documents, numbered, and the five entities that the first
+    five of them mention most."""
+    hits = stage(_near(spark, sf_dir, 10), "hits")
+    texts = v_document(spark, sf_dir).select("doc_id", "filename", "text")
+    said = texts.join(broadcast_small(hits), "doc_id").select("query_id", F.concat(F.lit("["), F.lpad(F.col("rank").cast("string"), 2, "0"), F.lit("] "), "filename", F.lit(": "), F.substring("text", 1, 300)).alias("line"))
+    counted = v_mention(spark, sf_dir).join(broadcast_small(hits.where("rank <= 5")), "doc_id").groupBy("query_id", "name").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("query_id").orderBy(F.desc("n"), "name")
+    top = counted.withColumn("place", F.row_number().over(by)).where("place <= 5")
+    graph = top.select("query_id", F.concat(F.lit("entity "), F.lpad(F.col("place").cast("string"), 2, "0"), F.lit(": "), "name", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("line"))
+    return said.unionByName(graph).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("context"))  # 15 lines at most
 
 
 @query()

@@ -70,7 +70,18 @@ def test_bm25_by_hand(spark):
     idf = {w: floor if v < 0 else v for w, v in idf.items()}
     avg = sum(map(len, toks.values())) / 4
     want = {i: sum(idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / avg)) for w in "a b b".split() if w in t) for i, t in toks.items()}
-    assert {r.doc_id: r.score for r in got.collect()} == {i: round(s, 6) for i, s in want.items() if set(toks[i]) & {"a", "b"}}
+    want = {i: round(s, 6) for i, s in want.items() if set(toks[i]) & {"a", "b"}}
+    assert {r.doc_id: r.score for r in got.collect()} == want
+    docs = spark.createDataFrame([*docs, *[(10 + i, "g g h") for i in range(30)], (50, None)], "doc_id long, text string")
+    more = spark.createDataFrame([*q, (8, "g zz"), (9, "zz"), (10, None)], "query_id long, text string")
+    every = retrieval.top_per_query(retrieval.bm25(docs, more), 2).select("query_id", "doc_id", "rank", "score")
+    assert rows(retrieval.bm25_topk(docs, more, 2)) == rows(every) and rows(every)[-1][:3] == (8, 11, 2)
+
+
+def test_vectors_for_each_query(spark):
+    p = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(9)] + [(9, [0.0, 0.0])], "id long, dense array<double>")
+    got = rows(retrieval.vector_topk_each(p, p.select(F.col("id").alias("query_id"), "dense").where("id < 2"), 4))
+    assert got == sorted([(q, r.id, i + 1, r.score) for q in (0, 1) for i, r in enumerate(retrieval.vector_topk(p, [float(q % 3), 1.0], 4).collect())])
 
 
 def test_cosine_of_zero_vector(spark):
