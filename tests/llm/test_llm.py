@@ -332,7 +332,7 @@ def test_lm_score_by_brute_force(spark):
                 total += value[at] + math.log10(m.share[:, 0].min())
             else:
                 word = bytes(said[at:end])
-                h = lambda x: words(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[1]
+                h = lambda x: lm_scoring.grams(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0].word[-1:]
                 both, before = lm_scoring.pair_keys(np.concatenate([h(last), h(word)]) if last else h(word), np.zeros(2 if last else 1, np.int64))
                 seen, pair = int(model.pairs(before)[-1]), int(model.pairs(both)[-1])
                 share = m.share[sum(seen >= x for x in (1, 2, 4, 16, 256))]
@@ -360,10 +360,10 @@ def test_lm_pairs_and_blocks_pack_and_add_up():
 def test_ann_equals_brute_force_where_it_probes_all(spark):
     rng = np.random.default_rng(8)
     x = [rng.normal(size=8).tolist() for _ in range(120)]
-    rows = [(i, v, 0) for i, v in enumerate(x)] + [(200 + i, x[0], 0) for i in range(40)] + [(300, None, 0), (301, [0.0] * 8, 0), (302, [float("nan")] * 8, 0), (303, [None] + [1.0] * 7, 0), (5, x[5], 0), (None, x[3], 0)]
+    rows = [(i, v, 0) for i, v in enumerate(x)] + [(200 + i, x[0], 0) for i in range(40)] + [(300, None, 0), (301, [0.0] * 8, 0), (302, [float("nan")] * 8, 0), (303, [None] + [1.0] * 7, 0), (5, x[5], 0), (None, x[3], 0), (320, [1.0, 2.0], 0), (321, [1.0] * 9, 0), (340, [1.0, float("inf")], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
     got = ann.search(df, df.where("vec_id % 20 = 0"), k=20, centroids=4, recall=1.0).collect()
-    live = {i: np.array(v) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and any(v)}
+    live = {i: np.array(v) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and any(v) and len(v) == 8}
     hits = total = 0
     for q in {r.query_id for r in got}:
         mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
@@ -375,6 +375,17 @@ def test_ann_equals_brute_force_where_it_probes_all(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_ann_blocks_split_and_share(spark, monkeypatch):
+    assert ann.block_bounds(np.array([3, 3, 0, 25, 1, 9, 9]), 10).tolist() == [0, 0, 0, 1, 4, 4, 5, 6]
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(200, 6)), 9 + rng.normal(size=(300, 6)) * 0.01])  # one crowded cell
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "SLICE_QUERIES", 7)
+    got = ann.search(df, df.where("vec_id % 20 = 0"), k=5, centroids=4, recall=1.0).collect()
+    hits = [len({r.vec_id for r in got if r.query_id == q} & {i for _, i in sorted((-float(x[q] @ v), i) for i, v in enumerate(x) if i != q)[:5]}) for q in range(0, 500, 20)]
+    assert np.mean(hits) >= 4.75 and len(got) == 125
+
+
 def test_ann_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     x = {r.vec_id: np.array(r.embedding, float) for r in df.collect()}
