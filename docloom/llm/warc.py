@@ -12,8 +12,10 @@ import gzip
 import hashlib
 import html
 import io
+import itertools
 import json
 import re
+import zlib
 import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -182,17 +184,63 @@ def pack(records: DataFrame, records_per_file: int = 2000) -> DataFrame:
     return records.mapInPandas(run, "n_records long, warc binary")
 
 
+class _Inflated(io.RawIOBase):
+    """The members of gzipped bytes, end to end; what comes before damage or a cut is there, then they end."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at, self.member = data, 0, None
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while self.member or self.at < len(self.data):
+            self.member = self.member or zlib.decompressobj(31)
+            piece = self.member.unconsumed_tail
+            if not piece:
+                piece = self.data[self.at : self.at + (1 << 16)]
+                self.at += len(piece)
+            try:
+                out = self.member.decompress(piece, len(into))
+            except zlib.error:
+                break
+            if self.member.eof:
+                self.at, self.member = self.at - len(self.member.unused_data), None
+            if out:
+                into[: len(out)] = out
+                return len(out)
+            if not piece:
+                break
+        self.at, self.member = len(self.data), None
+        return 0
+
+
 def parse(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, gzipped or not: headers in lower case, and block."""
-    stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
-    while line := stream.readline():
+    """Records of a WARC file, gzipped or not, one at a time: headers in lower case, and block.
+
+    A record without a usable Content-Length goes on to the line where the next one begins. A file that is cut short or
+    damaged gives the records before the damage, and what there is of the last block.
+    """
+    stream = io.BufferedReader(_Inflated(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    line = stream.readline()
+    while line:
         if not line.startswith(b"WARC/"):
+            line = stream.readline()
             continue
-        headers = {}
-        while (line := stream.readline().strip()) != b"":
+        headers, ahead = {}, b""
+        while (line := stream.readline()).strip():
             k, _, v = line.decode("utf-8", "replace").partition(":")
             headers[k.strip().lower()] = v.strip()
-        yield headers | {"block": stream.read(int(headers.get("content-length", 0)))}
+        length = headers.get("content-length", "")
+        if length.isascii() and length.isdigit():
+            block = stream.read(min(int(length), len(data) * 1100))  # gzip packs 1,032 times at most
+        else:
+            lines = []
+            while (ahead := stream.readline()) and not ahead.startswith(b"WARC/"):
+                lines.append(ahead)
+            block = b"".join(lines).removesuffix(b"\r\n\r\n")
+        yield headers | {"block": block}
+        line = ahead or stream.readline()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -202,8 +250,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         names = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "warc_date": "warc-date", "refers_to": "warc-refers-to", "content_type": "content-type", "block_digest": "warc-block-digest", "payload_digest": "warc-payload-digest", "source_id": "x-source-id"}
         for part in batches:
             for data in part["content"]:
-                rows = [{c: r.get(h) for c, h in names.items()} | {"content_length": len(r["block"]), "block": r["block"]} for r in parse(bytes(data))]
-                if rows:
+                found = parse(bytes(data))
+                while some := list(itertools.islice(found, 256)):
+                    rows = [{c: r.get(h) for c, h in names.items()} | {"content_length": len(r["block"]), "block": r["block"]} for r in some]
                     yield pd.DataFrame(rows)[[c.split()[0] for c in RECORD.split(", ")]]
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RECORD)

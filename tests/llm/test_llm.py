@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with nulls, empties, ties, repeats and odd columns."""
 
 import collections
+import gzip
 import hashlib
 import math
 import random
@@ -237,6 +238,19 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(map(key, back), key=str) == sorted(map(key, recs), key=str)
 
 
+def test_warc_odd_records_and_texts(spark):
+    record = lambda length, block: b"WARC/1.0\r\nWARC-Type: response\r\n" + length + b"\r\n" + block + b"\r\n\r\n"
+    data = record(b"Content-Length: x\r\n", b"one") + record(b"", b"two\nlines") + record(b"Content-Length: -4\r\n", b"") + record(b"Content-Length: 5\r\n", b"three") + b"junk\n" + record(b"Content-Length: 99999999999999999999\r\n", b"rest")
+    assert [r["block"] for r in warc.parse(data)] == [b"one", b"two\nlines", b"", b"three", b"rest\r\n\r\n"]
+    packed = gzip.compress(record(b"Content-Length: 3\r\n", b"abc")) + gzip.compress(record(b"Content-Length: 3\r\n", b"def"))
+    assert [r["block"] for r in warc.parse(packed)] == [b"abc", b"def"] and [r["block"] for r in warc.parse(packed[:-30])][:1] == [b"abc"]
+    assert list(warc.parse(b"")) == [] and list(warc.parse(b"\x1f\x8bxx")) == []
+    pages = spark.createDataFrame([(1, "u", "<p>" + "long text " * 200_000 + "</p>", "x"), (2, "u", "<p>no end <b", None), (3, "u", "\x00<", None)], "page_id long, url string, html string, refers_to string")
+    assert warc.derive(warc.responses(pages.limit(0))).count() == 0
+    found = {r.source_id: bytes(r.block) for r in warc.derive(warc.responses(pages)).collect() if r.record_type == "conversion"}
+    assert len(found) == 3 and found["1"].count(b"long text") == 200_000
+
+
 def test_mixing_reaches_its_marginals(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice(["a", "b", None]), rng.choice(["x", "y"]), rng.randrange(1, 50)) for i in range(4000)] + [(None, "a", "x", 0)]
