@@ -48,3 +48,20 @@ def apply(rows: DataFrame, column: str, into: str, service: Service, kind: str)
             yield service(batch)
 
     return rows.withColumn(into, run(F.col(column)))
+
+
+HANDLERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def register_handler(kind: str, handler: Callable[[DataFrame], DataFrame]) -> None:
+    """Tasks of a kind go to handler, which maps the rows (task_id, kind, payload) to (task_id, result)."""
+    HANDLERS[kind] = handler
+
+
+def run_tasks(tasks: DataFrame) -> DataFrame:
+    """(task_id, result, error) of tasks (task_id, kind, payload), each kind by its handler; a kind without one is an error."""
+    shape = lambda df, result, error: df.select("task_id", result.cast("string").alias("result"), error.cast("string").alias("error"))
+    out = shape(tasks.where(~F.coalesce(F.col("kind").isin(*HANDLERS), F.lit(False))), F.lit(None), F.concat(F.lit("no handler for "), F.coalesce("kind", F.lit("null"))))
+    for kind, handler in sorted(HANDLERS.items()):
+        out = out.unionByName(shape(handler(tasks.where(F.col("kind") == kind)), F.col("result"), F.lit(None)))
+    return out

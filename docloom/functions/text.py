@@ -89,3 +89,24 @@ def json_object(text: Column) -> Column:
 
 def histogram_bucket(value: Column, bounds: list[float]) -> Column:
     return reduce(lambda c, b: c.when(value <= b, F.lit(float(b))), bounds[1:], F.when(value <= bounds[0], F.lit(float(bounds[0]))))
+
+
+#: Elements of a page that hold no main text.
+ASIDE = ("script", "style", "noscript", "nav", "header", "footer", "aside", "form")
+
+
+def main_text(html: Column) -> Column:
+    """A page's main text: its article, else its main element, else its body, without what stands aside, tags as spaces."""
+    c = F.regexp_replace(html, "(?s)<!--.*?-->", " ")
+    for tag in ASIDE:
+        c = F.regexp_replace(c, f"(?is)<{tag}\\b[^>]*>.*?</{tag}>", " ")
+    inner = [F.regexp_extract(c, f"(?is)<{tag}\\b[^>]*>(.*)</{tag}>", 1) for tag in ("article", "main", "body")]
+    c = F.coalesce(*[F.when(i != "", i) for i in inner], c)
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), "[ \\t\\r\\n\\f]+", " "))
+
+
+def regional_hash(c: Column, bits: int = 256) -> Column:
+    """The digest that stands in where the regional algorithm isn't installed: SHA-2 of the same length."""
+    if bits not in (256, 512):
+        raise ValueError("256 or 512 bits")
+    return F.sha2(c, bits)

@@ -83,3 +83,26 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 def delete_document(mentions: DataFrame, gone: DataFrame) -> DataFrame:
     """What is left of the entities without some documents: their mentions go, and entities without mentions too."""
     return merge_entities(mentions.join(gone, "doc_id", "left_anti"))
+
+
+def rebuild(current: DataFrame, extracted: DataFrame, again: DataFrame, first_chunks: int) -> DataFrame:
+    """Entities after the mentions of some documents (again: doc_id) are cleared and taken anew from what is extracted of
+    their first chunks: (name, type, n_mentions, n_docs, rebuilt)."""
+    ids = again.select("doc_id").distinct()
+    kept = current.join(ids, "doc_id", "left_anti").select("name", "type", "doc_id", F.lit(False).alias("rebuilt"))
+    new = extracted.where(F.col("chunk_seq") <= first_chunks).join(ids, "doc_id", "left_semi").select("name", "type", "doc_id", F.lit(True).alias("rebuilt"))
+    return kept.unionByName(new).groupBy("name", "type").agg(F.count("*").alias("n_mentions"), F.countDistinct("doc_id").alias("n_docs"), F.bool_or("rebuilt").alias("rebuilt"))
+
+
+def merge_into_lowest(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """Edges (src, dst, type) after entities equal in normalised name and type are merged into the one of least id.
+
+    An edge into an entity that went is a MENTIONS edge of its keeper, an edge out of one RELATED_TO; loops go.
+    """
+    key = [normalized(F.col("name")).alias("k_name"), F.col("type").alias("k_type")]
+    least = entities.groupBy(*key).agg(F.min("id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
+    moved = entities.select("id", *key).join(least, ["k_name", "k_type"]).where("id <> keeper").select("id", "keeper")
+    a, b = moved.select(F.col("id").alias("src"), F.col("keeper").alias("s")), moved.select(F.col("id").alias("dst"), F.col("keeper").alias("d"))
+    kind = F.when(F.col("d").isNotNull(), "MENTIONS").when(F.col("s").isNotNull(), "RELATED_TO").otherwise(F.col("type"))
+    out = edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"), kind.alias("type"))
+    return out.where("src <> dst").distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import graph
 from docloom.plans._catalog import VIEW_SQL, query
-from docloom.plans.views import v_document, v_entity, v_log, v_mention, v_relation
+from docloom.plans.views import v_document, v_entity, v_log, v_mention, v_point, v_relation
 from docloom.storage import read_table
 
 VIEW_SQL["v_named"] = "SELECT c_custkey AS id, CASE c_custkey % 2 WHEN 0 THEN ' ' ELSE '' END || CASE c_custkey % 3 WHEN 0 THEN 'ENTITY ' ELSE 'Entity ' END || (c_custkey % 40) AS name, c_mktsegment AS type, round(c_acctbal / 10000, 4) AS confidence FROM customer"
@@ -209,8 +209,28 @@ def extract_entities_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("doc_id", F.col("e.kind").alias("kind"), F.col("e.value").alias("value")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT d.doc_id, d.filename, l.quality FROM v_document d JOIN labels l USING (doc_id)")
+@query("""SELECT p.id, p.label, CASE WHEN l.quality IS NULL THEN 'unknown' WHEN l.quality = 1 THEN 'good' ELSE 'poor' END AS doc_type, l.quality IS NOT NULL AS updated FROM v_point p LEFT JOIN labels l ON l.doc_id = p.id""")
 def doc_type_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V9: a document's type put on all its points: a join that updates."""
-    lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return v_document(spark, sf_dir).join(lab, "doc_id").select("doc_id", "filename", "quality")
+    """V9: documents' types put on their points: a join that updates; other points keep the type they have."""
+    found = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "good").otherwise("poor").alias("new_type"))
+    p = v_point(spark, sf_dir).select("id", "label", F.lit("unknown").alias("doc_type")).join(found, "id", "left")
+    return p.select("id", "label", F.coalesce("new_type", "doc_type").alias("doc_type"), F.col("new_type").isNotNull().alias("updated"))
+
+
+@query("""SELECT name, type, count(*) AS n_mentions, count(DISTINCT doc_id) AS n_docs, max(rebuilt) AS rebuilt FROM (SELECT name, type, doc_id, FALSE AS rebuilt FROM v_mention WHERE doc_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
+UNION ALL SELECT name, type, doc_id, TRUE FROM v_mention WHERE doc_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') AND chunk_seq <= 2) GROUP BY name, type""")
+def graph_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some documents' part of the graph cleared and extracted anew from their first chunks; running it again
+    changes nothing."""
+    again = read_table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("doc_id"))
+    return graph.rebuild(v_mention(spark, sf_dir), v_mention(spark, sf_dir), again, 2)
+
+
+@query("""WITH k AS (SELECT id, min(id) OVER (PARTITION BY lower(trim(name)), type) AS keeper FROM v_named), e AS (SELECT o_custkey AS src, (o_orderkey * 7) % (SELECT count(*) FROM customer) AS dst, 'KNOWS' AS type FROM orders)
+SELECT DISTINCT coalesce(a.keeper, src) AS src, coalesce(b.keeper, dst) AS dst, CASE WHEN b.keeper <> dst THEN 'MENTIONS' WHEN a.keeper <> src THEN 'RELATED_TO' ELSE type END AS type
+FROM e LEFT JOIN k a ON a.id = src LEFT JOIN k b ON b.id = dst WHERE coalesce(a.keeper, src) <> coalesce(b.keeper, dst)""")
+def entity_merge_lowest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicates merged into the one of least id; edges into a merged entity become MENTIONS, edges out RELATED_TO."""
+    n = read_table(spark, sf_dir, "customer").agg(F.count("*").alias("n"))
+    e = read_table(spark, sf_dir, "orders").join(F.broadcast(n)).select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 7) % F.col("n")).alias("dst"), F.lit("KNOWS").alias("type"))  # one row: a count
+    return graph.merge_into_lowest(e, v_named(spark, sf_dir))

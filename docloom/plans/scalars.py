@@ -198,3 +198,33 @@ def encrypt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", sealed.alias("sealed"))
     opened = F.aes_decrypt(F.unbase64("sealed"), key, F.lit("GCM")).cast("string")
     return c.select("c_custkey", opened.alias("plain"), (opened == F.col("c_name")).alias("same"))
+
+
+_ASIDE_SQL = "regexp_replace(html, '<!--.*?-->', ' ', 'gs')"
+for _tag in T.ASIDE:
+    _ASIDE_SQL = f"regexp_replace({_ASIDE_SQL}, '<{_tag}\\b[^>]*>.*?</{_tag}>', ' ', 'gsi')"
+_INNER_SQL = ", ".join(f"nullif(regexp_extract(c, '<{t}\\b[^>]*>(.*)</{t}>', 1, 'si'), '')" for t in ("article", "main", "body"))
+
+
+@query(f"""SELECT page_id, md5(t) AS text_md5, CAST(length(t) AS BIGINT) AS n_chars FROM (SELECT page_id, trim(regexp_replace(regexp_replace(coalesce({_INNER_SQL}, c), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n\\f]+', ' ', 'g')) AS t FROM (SELECT page_id, {_ASIDE_SQL} AS c FROM pages))""")
+def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
+    t = read_table(spark, sf_dir, "pages").select("page_id", T.main_text(F.col("html")).alias("t"))
+    return t.select("page_id", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("n_chars"))
+
+
+@query("""SELECT page_id, nullif(regexp_extract(html, '<html[^>]*\\blang="([^"]*)"', 1), '') AS lang, nullif(regexp_extract(html, '<meta[^>]*charset="([^"]*)"', 1), '') AS charset, len(regexp_extract_all(html, '<h[1-6][ >]')) AS headings, len(regexp_extract_all(html, '<link[^>]*type="application/(?:rss|atom)[+]xml"')) AS feeds, contains(html, 'sitemap') AS has_sitemap FROM pages""")
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a page says of itself: language, character set, headings, feeds, a site map."""
+    one = lambda pattern: F.nullif(F.regexp_extract("html", pattern, 1), F.lit(""))
+    many = lambda pattern: F.regexp_count("html", F.lit(pattern)).cast("long")
+    return read_table(spark, sf_dir, "pages").select(
+        "page_id", one('<html[^>]*\\blang="([^"]*)"').alias("lang"), one('<meta[^>]*charset="([^"]*)"').alias("charset"), many("<h[1-6][ >]").alias("headings"),
+        many('<link[^>]*type="application/(?:rss|atom)[+]xml"').alias("feeds"), F.col("html").contains("sitemap").alias("has_sitemap"),
+    )
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def regional_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the regional digest's stand-in."""
+    return read_table(spark, sf_dir, "documents").select("doc_id", T.regional_hash(F.col("text")).alias("digest"))

@@ -35,3 +35,10 @@ def export_report(rows: DataFrame, path: str) -> None:
 def store_by_prefix(files: DataFrame, path: str, id_column: str = "document_id") -> None:
     """Content-addressed storage: partitioned by the first two characters of the id."""
     files.withColumn("prefix", F.substring(id_column, 1, 2)).write.mode("append").partitionBy("prefix").parquet(path)
+
+
+def insert_notifications(rows: DataFrame, path: str) -> None:
+    """Notifications (user_id, kind, message), appended as unread; an id names user, kind, message and time."""
+    at = F.current_timestamp()
+    new = rows.select(F.sha2(F.concat_ws("|", "user_id", "kind", "message", at.cast("string")), 256).alias("id"), "user_id", "kind", "message", F.lit(False).alias("read"), at.alias("created_at"))
+    new.write.mode("append").parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,3 +21,24 @@ def page_changes(snapshots: DataFrame, key: str, order: str, content: str) -> Da
     by = Window.partitionBy(key).orderBy(order)
     hashed = snapshots.withColumn("new_hash", F.sha2(content, 256)).withColumn("old_hash", F.lag("new_hash").over(by))
     return hashed.where(F.col("old_hash").isNull() | (F.col("old_hash") != F.col("new_hash")))
+
+
+def read_feed(feeds: DataFrame, url: str = "url", xml: str = "xml") -> DataFrame:
+    """(url, title, link, published, description, enclosure) of the items of RSS and Atom texts, in order.
+
+    Ampersands that begin no entity are repaired first. An item without text fields has nulls; a text that isn't XML
+    gives no items.
+    """
+    repaired = F.regexp_replace(xml, "&(?!(?:#[0-9]+|#x[0-9A-Fa-f]+|[A-Za-z]+);)", "&amp;")
+    items = F.regexp_extract_all(repaired, F.lit("(?s)<(?:item|entry)[ >].*?</(?:item|entry)>"), F.lit(0))
+    i = feeds.select(F.col(url).alias("url"), F.posexplode(items).alias("place", "item"))
+
+    def text(*tags: str) -> Column:
+        found = [F.regexp_extract("item", f"(?s)<{t}(?: [^>]*)?>(?:<!\\[CDATA\\[)?(.*?)(?:\\]\\]>)?</{t}>", 1) for t in tags]
+        value = F.coalesce(*[F.nullif(F.trim(f), F.lit("")) for f in found])
+        for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+            value = F.replace(value, F.lit(code), F.lit(char))
+        return value
+
+    attribute = lambda tag, name: F.nullif(F.regexp_extract("item", f'<{tag}[^>]*\\b{name}="([^"]*)"', 1), F.lit(""))
+    return i.select("url", "place", text("title").alias("title"), F.coalesce(text("link"), attribute("link", "href")).alias("link"), text("pubDate", "published", "updated").alias("published"), text("description", "summary", "content").alias("description"), attribute("enclosure", "url").alias("enclosure"))

@@ -45,44 +45,105 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "1 day") -> DataF
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+def _in_order(batches: Iterator[pd.DataFrame], state: GroupState) -> pd.DataFrame:
+    """A key's rows of one batch in order, without those that the watermark has passed."""
+    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+    return rows[rows["ts"].astype("int64") // 1_000_000 >= state.getCurrentWatermarkMs()]
+
+
+def _keep(state: GroupState, value: tuple, last_ms: int) -> None:
+    """Keep the state until the watermark passes last_ms; then the key is forgotten."""
+    state.update(value)
+    state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs() + 1))
+
+
 def admit(events: DataFrame, most: int, seconds: int, late: str = "10 minutes") -> DataFrame:
     """(event_id, user_id, admitted): a client's events while fewer than ``most`` admitted ones lie in the last seconds.
 
-    Rejected events don't count, so this is state and no window frame. State holds at most ``most`` times a client.
+    Rejected events don't count, so this is state and no window frame. State holds at most ``most`` times a client and
+    goes when the watermark has passed the last of them by ``seconds``. A batch's events are judged in order; events
+    behind the watermark are dropped.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
+        rows, out = _in_order(batches, state), []
         for event, at in zip(rows["event_id"], rows["ts"].astype("int64") // 1000, strict=True):
             times = [t for t in times if t > at - seconds * 1_000_000]
             ok = len(times) < most
             if ok:
                 times.append(int(at))
             out.append((int(event), int(key[0]), ok))
-        state.update((times,))
+        if times:
+            _keep(state, (times,), max(times) // 1000 + seconds * 1000)
         yield pd.DataFrame(out, columns=["event_id", "user_id", "admitted"])
 
-    e = events.withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "user_id", "ts")
-    return e.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, admitted boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "user_id", "ts").withWatermark("ts", late)
+    return e.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, admitted boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
 
+def consecutive_failures(events: DataFrame, limit: int = 3, late: str = "10 minutes", idle_seconds: int = 86_400) -> DataFrame:
+    """(user_id, event_id): the event at which a backend's breaker opens, after ``limit`` failures in a row.
 
-def consecutive_failures(events: DataFrame, limit: int = 3) -> DataFrame:
-    """(user_id, event_id): the event at which a backend's breaker opens, after ``limit`` failures in a row."""
+    A backend that the watermark has passed by ``idle_seconds`` is forgotten. Order and late events: as in admit.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         run = state.get[0] if state.exists else 0
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
+        rows, out = _in_order(batches, state), []
+        for r in rows.itertuples():
             run = run + 1 if r.event_type == "error" else 0
             if run == limit:
                 out.append((int(key[0]), int(r.event_id)))
-        state.update((run,))
+        if len(rows):
+            _keep(state, (run,), int(rows["ts"].astype("int64").max()) // 1_000_000 + idle_seconds * 1000)
         yield pd.DataFrame(out, columns=["user_id", "event_id"])
 
-    e = events.select("user_id", "event_id", "ts", "event_type")
-    return e.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long", "run long", "append", GroupStateTimeout.NoTimeout)
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "event_id", "ts", "event_type").withWatermark("ts", late)
+    return e.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long", "run long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def ttl_cache(requests: DataFrame, seconds: int, late: str = "10 minutes") -> DataFrame:
+    """(event_id, user_id, hit): whether a request finds an answer that a miss of its key put in the cache less than
+    ``seconds`` before; a miss puts a new one. The state of a key goes with its answer."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        filled = state.get[0] if state.exists else None
+        rows, out = _in_order(batches, state), []
+        for event, at in zip(rows["event_id"], rows["ts"].astype("int64") // 1000, strict=True):
+            hit = filled is not None and at < filled + seconds * 1_000_000
+            filled = filled if hit else int(at)
+            out.append((int(event), int(key[0]), hit))
+        if filled is not None:
+            _keep(state, (filled,), filled // 1000 + seconds * 1000)
+        yield pd.DataFrame(out, columns=["event_id", "user_id", "hit"])
+
+    e = requests.withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "user_id", "ts").withWatermark("ts", late)
+    return e.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, hit boolean", "filled long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def ingest(files: DataFrame, checkpoint: str, callbacks: list[Callable[[DataFrame, int], None]]) -> None:
+    """Give each batch of new files to the callbacks in turn, as (files, batch number). A batch whose callback fails comes
+    again as a whole, so callbacks should write by key."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for callback in callbacks:
+                callback(batch, number)
+        finally:
+            batch.unpersist()
+
+    run_available(files, checkpoint, each)
 
 
 def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:

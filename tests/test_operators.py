@@ -213,10 +213,10 @@ def test_streams_equal_batches(spark, tmp_path):
     want = e.groupBy("event_type", F.window("ts", "1 hour").start.alias("start")).count().collect()
     assert sum(last.values()) == 1000 and last == {(r.event_type, r.start): r["count"] for r in want}
     seen = []
-    streaming.run_available(streaming.admit(stream, 2, 3600), str(tmp_path / "c2"), lambda df, _: seen.extend(df.collect()))
+    streaming.run_available(streaming.admit(stream, 2, 3600, "40 days"), str(tmp_path / "c2"), lambda df, _: seen.extend(df.collect()))
     assert len({r.event_id for r in seen}) == 1000 and any(r.admitted for r in seen)
     opened = []
-    streaming.run_available(streaming.consecutive_failures(stream, 2), str(tmp_path / "c3"), lambda df, _: opened.extend(df.collect()))
+    streaming.run_available(streaming.consecutive_failures(stream, 2, "40 days"), str(tmp_path / "c3"), lambda df, _: opened.extend(df.collect()))
     first = []
     streaming.run_available(streaming.first_seen(stream, ["user_id"], "40 days"), str(tmp_path / "c4"), lambda df, _: first.extend(df.collect()))
     assert len(first) == e.select("user_id").distinct().count()
@@ -227,3 +227,48 @@ def test_adapters(spark):
     got = adapters.apply(df, "t", "v", adapters.hash_embedding, "array<double>").collect()
     assert abs(sum(x * x for x in got[0].v) - 1) < 1e-9 and not any(got[1].v)
     assert [r.a for r in adapters.apply(df, "t", "a", adapters.extractive_answer, "string").collect()] == ["a b", ""]
+
+
+def test_handlers_feeds_and_pages(spark, tmp_path):
+    from docloom.sources import web
+
+    adapters.register_handler("upper", lambda t: t.select("task_id", F.upper("payload").alias("result")))
+    tasks = spark.createDataFrame([(1, "upper", "a"), (2, "none", "b"), (3, None, "c")], "task_id long, kind string, payload string")
+    assert rows(adapters.run_tasks(tasks)) == [(1, "A", None), (2, None, "no handler for none"), (3, None, "no handler for null")]
+    rss = "<rss><channel><item><title>A & B &lt;c&gt;</title><link>http://x/?a=1&b=2</link><pubDate>Mon</pubDate><enclosure url=\"http://x/f.pdf\"/></item><item><title><![CDATA[ D ]]></title></item></channel></rss>"
+    atom = "<feed><entry><title type=\"text\">E</title><link href=\"http://y/\"/><updated>Tue</updated><summary>s</summary></entry></feed>"
+    got = web.read_feed(spark.createDataFrame([("r", rss), ("a", atom), ("n", None), ("z", "no xml")], "url string, xml string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("r", 0, "A & B <c>", "http://x/?a=1&b=2", "Mon", None, "http://x/f.pdf"), ("r", 1, "D", None, None, None, None), ("a", 0, "E", "http://y/", "Tue", "s", None)], key=str)
+    pages = [("<body><nav>n</nav><article><p>One<b>two</b></p><script>x</script> three</article></body>", "One two three"), ("<p>a</p>", "a"), (None, None)]
+    assert [r[0] for r in spark.createDataFrame([(h,) for h, _ in pages], "h string").select(T.main_text(F.col("h"))).collect()] == [t for _, t in pages]
+    sinks.insert_notifications(spark.createDataFrame([(1, "k", "m")], "user_id long, kind string, message string"), str(tmp_path / "n"))
+    assert [(r.user_id, r.read) for r in spark.read.parquet(str(tmp_path / "n")).collect()] == [(1, False)]
+
+
+def test_merges_and_rebuilds(spark):
+    e = spark.createDataFrame([(1, " Acme", "org"), (2, "ACME ", "org"), (3, "x", "org")], "id long, name string, type string")
+    edges = spark.createDataFrame([(3, 2, "K"), (2, 3, "K"), (1, 2, "K"), (1, 3, "K")], "src long, dst long, type string")
+    assert rows(graph.merge_into_lowest(edges, e)) == [(1, 3, "K"), (1, 3, "RELATED_TO"), (3, 1, "MENTIONS")]
+    m = spark.createDataFrame([("a", "t", 1, 1), ("a", "t", 1, 5), ("b", "t", 1, 5), ("b", "t", 2, 1)], "name string, type string, doc_id long, chunk_seq long")
+    assert rows(graph.rebuild(m, m, spark.createDataFrame([(1,)], "doc_id long"), 2)) == [("a", "t", 1, 1, True), ("b", "t", 1, 1, False)]
+
+
+def test_cache_with_a_time_to_live(spark, tmp_path):
+    import datetime
+
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    spark.createDataFrame([(i, at(s), u) for i, (s, u) in enumerate([(0, 1), (3, 1), (10, 1), (11, 1), (25, 1), (3, 2)])], "event_id long, ts timestamp, user_id long").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_id long, ts timestamp, user_id long").parquet(str(tmp_path / "in"))
+    got = []
+    streaming.run_available(streaming.ttl_cache(stream, 10), str(tmp_path / "c"), lambda df, _: got.extend(map(tuple, df.collect())))
+    assert sorted(got) == [(0, 1, False), (1, 1, True), (2, 1, False), (3, 1, True), (4, 1, False), (5, 2, False)]
+
+
+def test_classifier_on_held_out_texts(spark):
+    from docloom.operators import classify
+
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality"), "doc_id")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0
+    got = classify.train_tfidf(d.where(~held), "quality").transform(d.where(held)).select("quality", "prediction").collect()
+    most = max(sum(r.quality == y for r in got) for y in (0, 1)) / len(got)
+    assert sum(r.quality == r.prediction for r in got) / len(got) > most
