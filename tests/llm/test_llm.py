@@ -121,6 +121,23 @@ def test_join_keeps_all_links_of_an_original_with_many_edits(spark):
     assert {r.doc_id: r.component_id for r in jaccard_join.join(table(spark, texts, ids)).collect()} == want
 
 
+def test_join_of_a_large_mixed_group(spark, monkeypatch):
+    """Many texts share a passage, and so signatures; blocks and several rounds are needed to part and to link them."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng = random.Random(9)
+    base = [f"p{i}" for i in range(60)]
+    texts = []
+    for k in range(12):
+        own = base + [f"{k}x{i}" for i in range(13 + k % 3)]
+        texts += [" ".join(own), " ".join([*own, "tail"]), " ".join(own[1:])]
+    texts += [" ".join([*base, *(f"z{rng.randrange(99)}" for _ in range(2))]) for _ in range(15)] + ["once more " * 30] * 9
+    ids = rng.sample(range(1000), len(texts))
+    for small in (2_000_000, 3):  # joins by broadcast, then all by shuffle
+        monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", small)
+        want = by_force(shingle_sets(texts), ids)
+        assert {r.doc_id: r.component_id for r in jaccard_join.join(table(spark, texts, ids)).collect()} == want
+
+
 def test_components_of_chains_and_cycles(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (200, 200), (5, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -423,6 +440,19 @@ def test_token_counts_equal_the_unigram_tokenizer(spark):
     assert small.count("aaa") == 3 and small.count("bb") == 2
 
 
+def test_empty_tables_repeats_and_long_texts(spark):
+    docs = table(spark, ["a b", "a b", "a b", None, "word " * 200_000], [1, 1, None, 2, 3])
+    got = token_counts.count_tokens(docs).collect()
+    assert len(got) == 5 and len({r.n_tokens for r in got if r.text == "a b"}) == 1 and max(r.n_tokens for r in got) >= 200_000
+    assert token_counts.count_tokens(docs.limit(0)).count() == 0
+    said = spark.createDataFrame([(1, 0, "user", "long " * 200_000), (1, 1, "user", None), (1, 1, "user", None), (2, 0, "user", "long " * 200_000)], "conv_id long, turn long, role string, text string")
+    out = chat.render(said).collect()
+    assert [(r.conv_id, r.n_turns) for r in out] == [(1, 3)] and out[0].rendered.count("long ") == 200_000
+    same = spark.createDataFrame([(7, "a", 10)] * 5 + [(8, "b", 10)] * 5, "doc_id long, source string, w long")
+    mixed = mixing.mix(same, ["source"], F.col("w"), share=0.5).collect()
+    assert len(mixed) == 10 and {r.prob for r in mixed} == {0.5} and len({(r.doc_id, r.sampled) for r in mixed}) == 2
+
+
 def test_language_held_out_accuracy(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.learn(df)
