@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.storage import broadcast_small
+
 
 def last_n(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each key in the order given; Spark limits groups before the shuffle."""
@@ -26,3 +28,15 @@ def first_per(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataF
     """One row for each value of the key expressions: the first in the order given."""
     by = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("__place", F.row_number().over(by)).where("__place = 1").drop("__place")
+
+
+def look_up(rows: DataFrame, found: DataFrame, keys: list[str], spread: str, salts: int = 16, most: int = 100_000) -> DataFrame:
+    """rows joined with what found says of their keys, one row a key; a key may hold a third of rows.
+
+    A small table (counted) is broadcast. Otherwise rows are dealt by key and a hash of spread, and found is repeated for
+    each of the ``salts``, so a key's rows meet in that many tasks.
+    """
+    if (small := broadcast_small(found, most)) is not found:
+        return rows.join(small, keys)
+    copies = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(copies, [*keys, "__salt"]).drop("__salt")

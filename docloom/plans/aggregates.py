@@ -57,12 +57,15 @@ def entity_source_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v_mention(spark, sf_dir).select("name", "type", "doc_id").distinct()
 
 
-@query("""SELECT field, count(*) AS occurrences, count(DISTINCT value) AS n_values, min(value) AS sample FROM (
-SELECT unnest(['kind', 'ok', 'k']) AS field, unnest([kind, CASE WHEN ok THEN 'true' ELSE 'false' END, CAST(k AS VARCHAR)]) AS value FROM v_log) WHERE value IS NOT NULL GROUP BY field""")
+@query("""SELECT field, count(*) AS occurrences, string_agg(DISTINCT kind_of, ',' ORDER BY kind_of) AS types, array_to_string(list_sort(list(DISTINCT value))[1:3], ',') AS samples FROM (
+SELECT field, value, CASE WHEN regexp_full_match(value, '-?[0-9]+([.][0-9]+)?') THEN 'number' WHEN value IN ('true', 'false') THEN 'boolean' ELSE 'string' END AS kind_of FROM (
+SELECT unnest(['kind', 'ok', 'k']) AS field, unnest([kind, CASE WHEN ok THEN 'true' ELSE 'false' END, CAST(k AS VARCHAR)]) AS value FROM (SELECT * FROM v_log ORDER BY event_id LIMIT 100))) WHERE value IS NOT NULL GROUP BY field""")
 def payload_field_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occurrences and values of each payload field."""
-    flat = v_log(spark, sf_dir).select(F.explode(F.map_from_arrays(F.array(F.lit("kind"), F.lit("ok"), F.lit("k")), F.array("kind", F.col("ok").cast("string"), F.col("k").cast("string")))).alias("field", "value"))
-    return flat.where(F.col("value").isNotNull()).groupBy("field").agg(F.count("*").alias("occurrences"), F.countDistinct("value").alias("n_values"), F.min("value").alias("sample"))
+    """Of the first 100 points, each payload field's occurrences, types and three samples: a look at the shape of it."""
+    flat = v_log(spark, sf_dir).orderBy("event_id").limit(100).select(F.explode(F.map_from_arrays(F.array(F.lit("kind"), F.lit("ok"), F.lit("k")), F.array("kind", F.col("ok").cast("string"), F.col("k").cast("string")))).alias("field", "value"))
+    kind = F.when(F.col("value").rlike("^-?[0-9]+([.][0-9]+)?$"), "number").when(F.col("value").isin("true", "false"), "boolean").otherwise("string")
+    some = lambda c, n: F.array_join(F.slice(F.array_sort(F.collect_set(c)), 1, n), ",")
+    return flat.where(F.col("value").isNotNull()).groupBy("field").agg(F.count("*").alias("occurrences"), some(kind, 3).alias("types"), some(F.col("value"), 3).alias("samples"))
 
 
 @query("SELECT label, count(*) AS n_points, CAST(max(len(dense)) AS INTEGER) AS dims FROM v_point GROUP BY label")
@@ -263,4 +266,4 @@ def quality_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with how many their host has."""
     p = v_page(spark, sf_dir)
-    return p.join(p.groupBy("host").agg(F.count("*").alias("n_host")), "host").select("page_id", "host", "n_host")
+    return latest.look_up(p, p.groupBy("host").agg(F.count("*").alias("n_host")), ["host"], "page_id").select("page_id", "host", "n_host")

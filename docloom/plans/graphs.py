@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import graph
+from docloom.operators import graph, latest
 from docloom.plans._catalog import VIEW_SQL, query
 from docloom.plans.views import v_document, v_entity, v_log, v_mention, v_point, v_relation
 from docloom.storage import read_table
@@ -19,10 +19,14 @@ def v_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "customer").select(c.alias("id"), name.alias("name"), F.col("c_mktsegment").alias("type"), F.round(F.col("c_acctbal") / 10000, 4).alias("confidence"))
 
 
-@query("SELECT doc_id, chunk_seq, name, type, count(*) AS n FROM v_mention GROUP BY ALL")
+@query("""SELECT o.o_orderkey AS doc_id, o.o_orderstatus AS status, c.l_linenumber AS chunk_seq, p.p_brand AS name, p.p_type AS type, count(*) AS n
+FROM orders o JOIN lineitem c ON c.l_orderkey = o.o_orderkey JOIN part p ON p.p_partkey = c.l_partkey GROUP BY ALL""")
 def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities by document and chunk."""
-    return v_mention(spark, sf_dir).groupBy("doc_id", "chunk_seq", "name", "type").agg(F.count("*").alias("n"))
+    """Entities by document and chunk: documents to their chunks, chunks to what they mention."""
+    d = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("status"))
+    has_chunk = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("chunk_seq"), F.col("l_partkey").alias("p_partkey"))
+    mentions = read_table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("name"), F.col("p_type").alias("type"))
+    return d.join(has_chunk, "doc_id").join(mentions, "p_partkey").groupBy("doc_id", "status", "chunk_seq", "name", "type").agg(F.count("*").alias("n"))
 
 
 @query("""WITH m AS (SELECT DISTINCT doc_id, name, type FROM v_mention) SELECT a.name AS name_a, a.type AS type_a, b.name AS name_b, b.type AS type_b, count(*) AS n_docs
@@ -82,7 +86,7 @@ def duplicate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     d = v_document(spark, sf_dir).select("doc_id", "file_hash")
     many = d.groupBy("file_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
-    return d.join(many, "file_hash").select("doc_id", "file_hash", "first_id", "copies")
+    return latest.look_up(d, many, ["file_hash"], "doc_id").select("doc_id", "file_hash", "first_id", "copies")
 
 
 @query("SELECT o_orderkey, coalesce(c_name, 'unknown') AS username FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0")

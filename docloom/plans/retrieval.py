@@ -82,6 +82,13 @@ def reassemble_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v_chunk(spark, sf_dir).groupBy("doc_id").agg(F.md5(F.array_join(F.transform(seq, lambda x: x["content"]), "\n\n")).alias("text_md5"))
 
 
+@query("SELECT doc_id, chunk_index, content_md5 FROM (SELECT doc_id, chunk_index, md5(content) AS content_md5, row_number() OVER (PARTITION BY substr(content, 1, 100) ORDER BY length(content) DESC, doc_id, chunk_index) AS place FROM v_chunk) WHERE place = 1")
+def dedup_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U4: of chunks that begin with the same 100 characters, the longest."""
+    c = v_chunk(spark, sf_dir)
+    return latest.first_per(c, [F.substring("content", 1, 100)], [F.desc(F.length("content")), F.col("doc_id"), F.col("chunk_index")]).select("doc_id", "chunk_index", F.md5("content").alias("content_md5"))
+
+
 @query("SELECT doc_id, chunk_index, substr(content, 1, 600) AS head FROM v_chunk WHERE chunk_index < 2")
 def first_n_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What typing looks at: the first two chunks, 600 characters of each."""
@@ -120,7 +127,7 @@ def embedding_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: documents whose embedding an earlier equal text has put in the cache."""
     d = v_document(spark, sf_dir).select("doc_id", F.substring("file_hash", 1, 16).alias("cache_key"))
     first = d.groupBy("cache_key").agg(F.min("doc_id").alias("cached_from"))
-    return d.join(first, "cache_key").where("doc_id > cached_from").select("doc_id", "cached_from")
+    return latest.look_up(d, first, ["cache_key"], "doc_id").where("doc_id > cached_from").select("doc_id", "cached_from")
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, rank, score FROM ranked WHERE rank <= 10")

@@ -272,3 +272,11 @@ def test_classifier_on_held_out_texts(spark):
     got = classify.train_tfidf(d.where(~held), "quality").transform(d.where(held)).select("quality", "prediction").collect()
     most = max(sum(r.quality == y for r in got) for y in (0, 1)) / len(got)
     assert sum(r.quality == r.prediction for r in got) / len(got) > most
+
+
+def test_look_up_by_broadcast_and_by_salt(spark):
+    r = spark.createDataFrame([(i, i % 3 if i % 2 else 0) for i in range(60)], "i long, k long")
+    f = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
+    want = sorted((k, i, "ab"[k]) for i, k in ((i, i % 3 if i % 2 else 0) for i in range(60)) if k < 2)
+    for most in (10, 1):
+        assert rows(latest.look_up(r, f, ["k"], "i", most=most).select("k", "i", "v")) == want
