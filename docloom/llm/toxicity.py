@@ -14,6 +14,7 @@ Learning takes a bounded sample of labelled rows (``per_label`` of each label);
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import partial
@@ -191,14 +192,15 @@ class _Pooling:
         return out
 
 
-def choose_landmarks(counted: list[Counter], toxic: np.ndarray, model: ToxicityModel, most: int) -> list[str]:
+def choose_landmarks(said: list[str | None], toxic: np.ndarray, model: ToxicityModel, most: int) -> list[str]:
     """Units that mark toxic texts, best first: each by its log odds and the toxic texts that earlier ones reach least."""
     n1 = max(1, int(toxic.sum()))
     n0 = max(1, len(toxic) - n1)
-    texts = [{v for u in c if 2 < len(v := letters(u)) <= WIDTH // 2 + 2} for c in counted]
-    rows = [Counter(), Counter()]
-    for t, y in zip(texts, toxic, strict=True):
-        rows[int(y)].update(t)
+    texts, rows = [], [Counter(), Counter()]
+    for t, y in zip(said, toxic, strict=True):
+        mine = {v for u in units(t) if 2 < len(v := letters(u)) <= WIDTH // 2 + 2}
+        rows[int(y)].update(mine)
+        texts.append(tuple(map(sys.intern, mine)) if y else ())  # of texts, only the toxic ones' units are kept
     gain = {}
     for u, p in rows[1].items():
         odds = ((p + 0.5) / (n1 + 1)) / ((rows[0][u] + 0.5) / (n0 + 1))
@@ -208,7 +210,7 @@ def choose_landmarks(counted: list[Counter], toxic: np.ndarray, model: ToxicityM
     holds = {u: [] for u in first}
     for i, t in enumerate(texts):
         if toxic[i]:
-            for u in t & holds.keys():
+            for u in holds.keys() & t:
                 holds[u].append(i)
     open_, chosen = np.ones(len(texts)), []
     near = ToxicityModel(model.order, model.decay, model.floor, landmarks=first)
@@ -250,14 +252,14 @@ def fit(texts: list[str | None], toxic: list[int], landmarks: int = 40, cost: fl
         model.bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else -3.0
         model.weights = np.zeros(0)
         return model
-    counted = [units(t) for t in texts]
-    model.landmarks = choose_landmarks(counted, y, model, landmarks)
+    model.landmarks = choose_landmarks(texts, y, model, landmarks)
     m = len(model.landmarks)
     if not m:
         model.bias, model.weights = float(np.log(y.mean() / (1 - y.mean()))), np.zeros(0)
         return model
     pool = _Pooling(model)
-    x = pool.features(texts).astype(float)
+    x = np.vstack([pool.features(texts[at : at + 250]) for at in range(0, len(texts), 250)]).astype(float)
+    pool.known.clear()
     full = ToxicityModel(model.order, model.decay, -1.0, landmarks=model.landmarks)
     gram = np.zeros((m, m))
     i, j, v = similarities(model.landmarks, full, gate=False)
