@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm import decontaminate, jaccard_join, language_id, toxicity
 from docloom.llm._split import free_name
-from docloom.llm.queries import mixed
-from docloom.storage import new_path, read_table, stage
-
+from docloom.llm.queries import sampled
+from docloom.storage import new_path, read_table
 
 
 def _plain(docs: DataFrame, added: list[str]) -> tuple[DataFrame, dict[str, str]]:
@@ -52,9 +51,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def sample_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by raked probabilities, all columns."""
-    taken = mixed(docs).where("sampled").select(F.col("doc_id").alias("__taken")).distinct()
-    return docs.join(stage(taken, "taken"), docs["doc_id"].eqNullSafe(F.col("__taken")), "left_semi")
+    """Documents sampled by raked probabilities, all columns; each row is judged in place."""
+    return sampled(docs)
 
 
 STAGES = [
