@@ -72,12 +72,12 @@ def chunks(texts: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[in
         first = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, length in bytes) of each word, in text order; A-Z count as a-z."""
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACED, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, length in bytes) of each word, in text order; A-Z count as a-z unless fold is off."""
     none = np.zeros(0, np.int64)
     if not len(data):
         return none, none.astype(np.uint64), none
-    data = LOWER[data]
+    data = LOWER[data] if fold else data
     here = inside[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True

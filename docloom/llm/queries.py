@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import ann, chat, decontaminate, jaccard_join, language_id, lm_scoring, mixing, token_counts, toxicity, warc
+from docloom.llm import ann, chat, decontaminate, exact_dedup, jaccard_join, language_id, lm_scoring, merkle, mixing, periodic_runs, token_counts, toxicity, warc
 from docloom.llm._split import remainder
 from docloom.storage import read_table
 
@@ -15,6 +15,7 @@ DIMS = ["source", "lang", "topic"]
 POWER = {"source": 0.7, "lang": 0.5, "topic": 0.7}
 SHARE, ROUNDS, SEED = 0.5, 30, 7
 SPACED = r"[^\x20\x09-\x0D]+"
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
 def held_out(modulus: int) -> Column:
@@ -91,6 +92,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out(5), "score", "predicted")
 
 
+def tampered(docs: DataFrame) -> Column:
+    """The leaf of a document whose text had its A-Z lower-cased: where 5 divides the crc32 of its id; null for others."""
+    text = F.translate(docs["text"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fields = [text if c == "text" else docs[c] for c in LEAF]
+    return F.when(remainder(docs["doc_id"], 5) == 0, merkle.leaf_hash(fields))
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    proofs = merkle.build(docs, LEAF, carried={"tampered": tampered(docs)}).proofs()
+    folded = proofs.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "hash"), F.col("proof")))
+    return folded.select(
+        F.col("key").alias("doc_id"), F.col("hash").alias("leaf"), "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(read_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
@@ -163,10 +189,76 @@ SELECT d.doc_id, CAST(coalesce(len(d.ws), 0) AS BIGINT) AS n_words, CAST(coalesc
 FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN named i USING (doc_id)"""
 
 
+def _crc32_sql(value: str) -> str:
+    """Unsigned crc32 of a string of ASCII characters, bit by bit."""
+    bits = f"flatten(list_transform(range(1, length({value}) + 1), lambda i: list_transform(range(0, 8), lambda b: (ascii(substr({value}, i, 1)) >> b) & 1)))"
+    step = "CASE WHEN xor(c, b) & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {bits}), lambda c, b: {step}))"
+
+
+def _leaf_sql(fields: dict[str, str]) -> str:
+    return "sha256(concat(" + ", ".join(f"coalesce(concat(strlen(CAST({x} AS VARCHAR)), ':') || CAST({x} AS VARCHAR), '-')" for x in fields.values()) + "))"
+
+
+def _levels_sql(name: str, leaves: str) -> str:
+    """name(tree, level, i, h): the nodes of all trees of leaves (tree, i, h); siblings are nodes of one tree, level and i // 16."""
+    return f"""{name}(tree, level, i, h) AS (SELECT tree, 0, i, h FROM {leaves} UNION ALL
+  SELECT tree, level + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS held FROM {name}) WHERE held > 1 GROUP BY tree, level, i // 16)"""
+
+
+_PLAIN = {c: c for c in LEAF}
+_LOWERED = _PLAIN | {"text": "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"}
+#: Proofs are folded step by step in one recursion: through the source's tree, then from its root through the last tree.
+_MERKLE = f"""WITH RECURSIVE leaves AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce('s' || source, '') AS tree, {_leaf_sql(_PLAIN)} AS h,
+  CASE WHEN {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {_leaf_sql(_LOWERED)} END AS tampered FROM documents),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM leaves),
+{_levels_sql("low", "placed")},
+low_nodes AS MATERIALIZED (SELECT * FROM low),
+subroots AS MATERIALIZED (SELECT '' AS tree, tree AS name, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, h FROM (SELECT *, max(level) OVER (PARTITION BY tree) AS top FROM low_nodes) WHERE level = top),
+{_levels_sql("high", "subroots")},
+nodes AS MATERIALIZED (SELECT 0 AS part, * FROM low_nodes UNION ALL SELECT 1, * FROM high),
+steps AS MATERIALIZED (SELECT a.part, a.tree, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after
+  FROM nodes a JOIN (SELECT part, tree, max(level) AS top FROM nodes GROUP BY part, tree) t ON t.part = a.part AND t.tree = a.tree AND a.level < t.top
+  JOIN nodes b ON b.part = a.part AND b.tree = a.tree AND b.level = a.level AND b.i // 16 = a.i // 16 GROUP BY ALL),
+walk(row, part, tree, name, level, i, proof, folded, going) AS (
+  SELECT row, 0, tree, tree, 0, i, '', coalesce(tampered, h), true FROM placed UNION ALL
+  SELECT w.row, CASE WHEN s.tree IS NULL THEN w.part + 1 ELSE w.part END, CASE WHEN s.tree IS NULL THEN '' ELSE w.tree END, w.name,
+    CASE WHEN s.tree IS NULL THEN 0 ELSE w.level + 1 END, CASE WHEN s.tree IS NULL THEN r.i ELSE w.i // 16 END,
+    w.proof || coalesce(s.before || s.after, ''), CASE WHEN s.tree IS NULL THEN w.folded ELSE sha256(s.before || w.folded || s.after) END, w.part = 0 OR s.tree IS NOT NULL
+  FROM walk w LEFT JOIN steps s ON s.part = w.part AND s.tree = w.tree AND s.level = w.level AND s.i = w.i LEFT JOIN subroots r ON r.name = w.name WHERE w.going)
+SELECT p.doc_id, p.h AS leaf, r.h AS subroot, t.h AS root, sha256(w.proof) AS proof_sha256, w.folded AS folded_root, w.folded = t.h AS verified
+FROM placed p JOIN (SELECT * FROM walk WHERE NOT going) w ON w.row = p.row JOIN subroots r ON r.name = p.tree, (SELECT h FROM high ORDER BY level DESC LIMIT 1) t"""
+
+_COPIES = r"""WITH plain AS (SELECT row_number() OVER () AS row, doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[ 	-]', '', 'g')) AS text_sha256 FROM documents),
+ranked AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM plain
+  WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST, row))
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS kept, text_sha256 FROM ranked"""
+
+#: Runs are the stretches in which words q apart agree, for each q; of stretches with the same ends the smallest q is the period.
+_RUNS = f"""WITH said AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, {_crc32_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+rule AS (SELECT *, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS made, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM said),
+d AS MATERIALIZED (SELECT row, doc_id, n, CASE WHEN made THEN list_transform(range(0, n), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END) ELSE ws END AS ws FROM rule),
+w AS MATERIALIZED (SELECT row, n, unnest(range(0, n)) AS i, unnest(ws) AS word FROM d),
+pairs AS (SELECT a.row, a.i, b.i - a.i AS q FROM w a JOIN w b ON a.row = b.row AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+stretches AS (SELECT row, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM pairs) GROUP BY row, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS MATERIALIZED (SELECT row, start, length, min(q) AS period FROM stretches GROUP BY row, start, length),
+ranked AS (SELECT a.row, a.start, a.length, a.period, count(b.row) AS ahead FROM runs a LEFT JOIN runs b ON a.row = b.row AND
+  (b.length * a.period > a.length * b.period OR b.length * a.period = a.length * b.period AND (b.start < a.start OR b.start = a.start AND b.period < a.period)) GROUP BY ALL),
+listed AS (SELECT row, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM runs GROUP BY row),
+gone AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS words FROM w ANTI JOIN gone USING (row, i) GROUP BY row)
+SELECT d.doc_id, CAST(coalesce(l.n_runs, 0) AS BIGINT) AS n_runs, CAST(r.start AS BIGINT) AS start, CAST(r.length AS BIGINT) AS length, CAST(r.period AS BIGINT) AS period,
+  CAST(1000 * r.length // r.period AS BIGINT) AS exponent_milli, sha256(coalesce(l.runs, '')) AS runs_sha256, sha256(coalesce(k.words, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed l USING (row) LEFT JOIN (SELECT * FROM ranked WHERE ahead = 0) r USING (row) LEFT JOIN kept k USING (row)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_ngram_jaccard_join": _JACCARD,
         "op3_chat_formatting": _TURNS,
         "op5_mixing": f"{_raked_sql()}\nSELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(prob, 6) AS prob, {_SAMPLED} AS sampled FROM priced",
         "op7_benchmark_decontamination": _CONTAMINATED,
+        "op11_merkle_manifest": _MERKLE,
+        "op12_exact_dedup": _COPIES,
+        "op13_periodic_runs": _RUNS,
     }
