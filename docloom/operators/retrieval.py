@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -13,9 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.latest import first_per, last_n
-from docloom.storage import stage
-
-_SPACE = re.compile(r"[ \t\n\r\f]+")
+from docloom.operators.postings import QUERY_BLOCK, PostingIndex
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -69,9 +65,6 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), 6).alias("score"))
 
 
-QUERY_BLOCK = 500
-
-
 def _best(scores: np.ndarray, allowed: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, item) places of each query's k best allowed items of a batch; ties go to smaller ids. scores: items x queries."""
     scores = np.where(allowed, scores, -np.inf)
@@ -95,50 +88,9 @@ def _blocks(queries: DataFrame) -> Iterator[list]:
         yield block
 
 
-def _score_texts(sent, k: int, k1: float, b: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The k best texts of each batch for each query of a block: a product of the block's word weights and the texts'."""
-    names, number, weight, mean = sent.value
-    asked = (weight != 0).astype(np.float32)
-    for part in batches:
-        for at in range(0, len(part), 1000):
-            rows = part.iloc[at : at + 1000]
-            gain = np.zeros((len(rows), len(number)))
-            for i, text in enumerate(rows["text"]):
-                words = [w for w in _SPACE.split(text) if w] if text else []
-                scale = k1 * (1 - b + b * len(words) / mean)
-                for w, n in Counter(w for w in words if w in number).items():
-                    gain[i, number[w]] = n * (k1 + 1) / (n + scale)
-            ids = rows["doc_id"].to_numpy()
-            query, item = _best(np.round(gain @ weight, 6), (gain > 0).astype(np.float32) @ asked > 0, ids, k)
-            yield pd.DataFrame({"query_id": names[query], "doc_id": ids[item], "score": np.round(gain @ weight, 6)[item, query]})
-
-
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """(query_id, doc_id, rank, score): the k best of what bm25 gives, without making the other pairs.
-
-    Queries are a stated set; QUERY_BLOCK of them at a time go to all documents as a matrix of word weights, each batch of
-    documents keeps its k best, and only those are shuffled. Rows need a doc_id.
-    """
-    spark, tokens = docs.sparkSession, lambda c: F.filter(F.split(c, r"[ \t\n\r\f]+"), lambda w: w != "")
-    df = docs.select(F.explode(F.array_distinct(tokens("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    n, mean = docs.agg(F.count("*"), F.avg(F.size(tokens("text")))).first()
-    idf = df.select("word", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    asked = queries.select("query_id", F.explode(tokens("text")).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
-    known = stage(idf.join(asked.select("word").distinct(), "word", "right"), "idf")
-    floor = (idf.agg(F.avg("idf")).first()[0] or 0.0) * epsilon
-    weighed = asked.join(known.where("idf is not null"), "word").select("query_id", "word", (F.col("times") * F.when(F.col("idf") < 0, floor).otherwise(F.col("idf"))).alias("weight"))
-    lists = weighed.groupBy("query_id").agg(F.collect_list(F.struct("word", "weight")).alias("words"))
-    shape, found = "query_id long, doc_id long, score double", None
-    for block in _blocks(lists):
-        number = {w: i for i, w in enumerate(sorted({x.word for r in block for x in r.words}))}
-        weight = np.zeros((len(number), len(block)))
-        for q, r in enumerate(block):
-            for x in r.words:
-                weight[number[x.word], q] = x.weight
-        sent = spark.sparkContext.broadcast((np.array([r.query_id for r in block], np.int64), number, weight, mean))
-        part = docs.select("doc_id", "text").mapInPandas(partial(_score_texts, sent, k, k1, b), shape)
-        found = part if found is None else found.unionByName(part)
-    return top_per_query(spark.createDataFrame([], shape) if found is None else found, k).select("query_id", "doc_id", "rank", "score")
+    """(query_id, doc_id, rank, score): the k best of what bm25 gives, from posting lists and without the other pairs."""
+    return PostingIndex.build(docs).topk(queries, k, k1, b, epsilon)
 
 
 def _score_vectors(sent, k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -55,5 +55,12 @@ def broadcast_small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if len(df.select(F.lit(1)).head(most + 1)) <= most else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df for heavy work in each task: a scan of fewer partitions than the session has cores (a small table, a file that
+    can't be split) is dealt out to all of them; a larger one is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
