@@ -50,6 +50,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[^ \t\n\r\f]+"), F.lit(0))
 
 
+#: Fixed value: what counts as a term of a question.
+TERM = r"[A-ZА-ЯЁ]{2,}|[A-Za-z]{3,}|[а-яё]{4,}"
+
+
+def query_terms(text: Column) -> Column:
+    """The terms of a question, in order, repeats too."""
+    return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+
+
 def dangerous(text: Column) -> Column:
     return reduce(lambda a, b: a | b, (text.rlike(p) for p in DANGEROUS))
 

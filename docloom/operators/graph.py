@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.storage import stage
+from docloom.operators.latest import last_n, look_up
+from docloom.operators.substrings import SubstringIndex
+from docloom.storage import broadcast_small, stage
 
 
 def normalized(name: Column) -> Column:
@@ -80,6 +82,61 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def paths(edges: DataFrame, starts: DataFrame, depth: int, most: int = 50) -> DataFrame:
+    """(start, hops, path): paths of 1 to depth undirected hops without a repeated node, at most ``most`` a start.
+
+    Shorter paths come first, then by their nodes in order; a path that was left out isn't walked on. Before each hop a node's
+    neighbours are cut to the first most + depth: of a path's extensions at most ``most`` can be kept, and at most depth are
+    on the path already, so the cut changes nothing and a hub costs no more than any node. What is written is linear in starts.
+    """
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    near = stage(last_n(both, ["src"], [F.col("dst")], most + depth), "near")
+    open_ = starts.select(F.col("node").alias("start")).distinct().select("start", F.array("start").alias("path"), F.lit(0).cast("long").alias("kept"))
+    found = None
+    for hop in range(1, depth + 1):
+        step = open_.join(near, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        step = step.select("start", "kept", F.concat("path", F.array("dst")).alias("path"))
+        by = Window.partitionBy("start").orderBy("path")
+        step = step.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most)
+        step = step.where(F.col("place") <= most - F.col("kept"))
+        n = F.count("*").over(Window.partitionBy("start"))
+        step = stage(step.select("start", "path", (F.col("kept") + n).alias("kept")), "paths")
+        new = step.select("start", F.lit(hop).alias("hops"), "path")
+        found = new if found is None else found.unionByName(new)
+        open_ = step.where(F.col("kept") < most)
+    return found
+
+
+def path_nodes(found: DataFrame) -> DataFrame:
+    """(start, node, hops): the nodes on the paths, the start itself too, with the fewest hops."""
+    places = found.select("start", F.posexplode("path").alias("hops", "node"))
+    return places.groupBy("start", "node").agg(F.min("hops").alias("hops"))
+
+
+def path_edges(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """(start, src, dst, type): the edges that the paths walk, as they are directed."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("a"), F.element_at("path", i + 1).alias("b")))
+    walked = found.select("start", F.explode(pairs).alias("pair")).select("start", "pair.*").distinct()
+    ways = walked.select("start", F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(walked.select("start", F.col("b").alias("src"), F.col("a").alias("dst"))).distinct()
+    return ways.join(edges.select("src", "dst", "type").distinct(), ["src", "dst"]).select("start", "src", "dst", "type")
+
+
+def chunks_by_terms(mentions: DataFrame, terms: DataFrame, index: SubstringIndex, only: DataFrame | None = None, most: int = 20) -> DataFrame:
+    """(query_id, chunk_id, doc_id, entity_count, place): for each query the chunks that mention most entities whose name
+    contains any of its terms (query_id, term), at most ``most``.
+
+    mentions: chunk_id, doc_id, name, type. ``only`` (query_id, doc_id) restricts a query to some documents.
+    """
+    named = index.matches(terms, "term").select("query_id", "name").distinct()
+    if only is None:
+        met = look_up(mentions, named, ["name"], "chunk_id")
+    else:  # documents first: they are few for each query
+        met = mentions.join(broadcast_small(only.select("query_id", "doc_id")), "doc_id").join(broadcast_small(named), ["query_id", "name"])
+    counted = met.groupBy("query_id", "chunk_id").agg(F.countDistinct("name", "type").alias("entity_count"), F.min("doc_id").alias("doc_id"))
+    by = Window.partitionBy("query_id").orderBy(F.desc("entity_count"), "chunk_id")
+    return counted.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most).select("query_id", "chunk_id", "doc_id", "entity_count", "place")
+
+
 def delete_document(mentions: DataFrame, gone: DataFrame) -> DataFrame:
     """What is left of the entities without some documents: their mentions go, and entities without mentions too."""
     return merge_entities(mentions.join(gone, "doc_id", "left_anti"))

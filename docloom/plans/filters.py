@@ -153,10 +153,19 @@ def acl_visible_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT d.document_id, CASE WHEN d.owner_id = 1 THEN 'owner' WHEN g.document_id IS NOT NULL THEN 'grant' ELSE 'group' END AS via FROM v_owned d
 LEFT JOIN (SELECT DISTINCT document_id FROM v_grant WHERE user_id = 1) g USING (document_id) WHERE d.owner_id = 1 OR g.document_id IS NOT NULL OR d.group_id = (SELECT n FROM v_user WHERE user_id = 1)""")
 def acl_user_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that one user sees: own, granted and of a shared group."""
+    """The object rule expanded for one user: own, granted and of a shared group."""
     return access.visible_to(1, *_access(spark, sf_dir))
 
 
+@query("""SELECT asked, document_id FROM (VALUES (1), (2), (-1)) a(asked), v_owned d WHERE coalesce((SELECT bool_or(is_admin) FROM v_user WHERE user_id = asked), FALSE)
+OR NOT EXISTS (SELECT 1 FROM v_user WHERE user_id = asked) OR d.group_id IN (SELECT n FROM v_user WHERE user_id = asked)""")
+def acl_search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What searches of three users may return: groups that overlap only, and everything for a user without groups."""
+    d, users, membership, _ = _access(spark, sf_dir)
+    parts = [access.search_filter(u, d, users, membership).select(F.lit(u).alias("asked"), "document_id") for u in (1, 2, -1)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("SELECT document_id, group_id FROM v_owned WHERE group_id IS NULL OR group_id IN (SELECT n FROM v_user WHERE user_id = 1)")
 def acl_list_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In lists, a document without a group is public; else a group must be the user's."""
@@ -172,18 +181,24 @@ def acl_editable_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(v_grant(spark, sf_dir).where("permission = 'edit'").select("user_id", "document_id")).distinct()
 
 
-@query("""SELECT c_custkey AS user_id, role, method, role = 'admin' OR (method = 'GET') OR (role = 'editor' AND method = 'POST') AS allowed
-FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'viewer' WHEN 1 THEN 'editor' ELSE 'admin' END AS role, CASE c_custkey % 2 WHEN 0 THEN 'GET' ELSE 'POST' END AS method FROM customer)""")
+@query("""WITH asked AS (SELECT c_custkey AS user_id, CASE c_custkey % 5 WHEN 0 THEN 'viewer' WHEN 1 THEN 'editor' WHEN 2 THEN 'admin' WHEN 3 THEN 'auditor' ELSE 'owner' END AS role,
+CASE c_custkey % 3 WHEN 0 THEN '/documents/' || c_custkey WHEN 1 THEN '/search' ELSE '/xsearch' END AS resource, CASE c_custkey % 2 WHEN 0 THEN 'GET' ELSE 'POST' END AS method FROM customer)
+SELECT *, CASE role WHEN 'viewer' THEN method = 'GET' AND resource <> '/xsearch' WHEN 'editor' THEN (method = 'GET' AND resource <> '/xsearch') OR (method = 'POST' AND starts_with(resource, '/documents/'))
+WHEN 'auditor' THEN FALSE ELSE TRUE END AS allowed FROM asked""")
 def rbac_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A role's policies, and those of the roles that it inherits, against each request."""
+    """A role's policies, and those of the roles that it inherits, through any number of others, against each request.
+
+    Owners inherit admins, these editors, these viewers; auditors inherit each other in a circle and may do nothing.
+    """
     c = F.col("c_custkey")
     requests = read_table(spark, sf_dir, "customer").select(
-        c.alias("user_id"), F.when(c % 3 == 0, "viewer").when(c % 3 == 1, "editor").otherwise("admin").alias("role"),
-        F.concat(F.lit("/documents/"), c.cast("string")).alias("resource"), F.when(c % 2 == 0, "GET").otherwise("POST").alias("method"),
+        c.alias("user_id"), F.when(c % 5 == 0, "viewer").when(c % 5 == 1, "editor").when(c % 5 == 2, "admin").when(c % 5 == 3, "auditor").otherwise("owner").alias("role"),
+        F.when(c % 3 == 0, F.concat(F.lit("/documents/"), c.cast("string"))).when(c % 3 == 1, "/search").otherwise("/xsearch").alias("resource"), F.when(c % 2 == 0, "GET").otherwise("POST").alias("method"),
     )
     policies = spark.createDataFrame(access.POLICIES, "role string, glob string, method string")
-    inherits = spark.createDataFrame(access.INHERITS, "role string, parent string")
-    return access.enforce(requests, policies, inherits).select("user_id", "role", "method", "allowed")
+    circle = [("auditor", "reviewer"), ("reviewer", "auditor")]
+    inherits = spark.createDataFrame([*access.INHERITS, ("owner", "admin"), *circle], "role string, parent string")
+    return access.enforce(requests, policies, inherits).select("user_id", "role", "resource", "method", "allowed")
 
 
 @query("SELECT doc_id FROM documents WHERE length(trim(text)) >= 20")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.operators import chunking, classify, latest
+from docloom.functions.text import query_terms, strip
+from docloom.operators import chunking, classify, graph, latest
 from docloom.operators import retrieval as R
+from docloom.operators.substrings import SubstringIndex
 from docloom.plans._catalog import VIEW_SQL, query
 from docloom.plans.views import v_document, v_mention, v_point
 from docloom.storage import broadcast_small, read_table, stage
@@ -147,42 +149,69 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reciprocal_rank_fusion([_ranked(spark, sf_dir, 50), _near(spark, sf_dir, 50)])
 
 
-@query(f"""WITH {_BM25}, asked AS (SELECT item_id AS query_id, text AS phrase FROM benchmark UNION ALL SELECT 1000000 + row_number() OVER (ORDER BY p_brand), p_brand FROM (SELECT DISTINCT p_brand FROM part)),
-named AS MATERIALIZED (SELECT query_id, name FROM asked JOIN (SELECT DISTINCT p_brand AS name FROM part) ON contains(name, phrase)),
+_TERMS = """asked AS MATERIALIZED (SELECT item_id AS query_id, item_id AS vector_id, text AS phrase FROM benchmark UNION ALL SELECT 1000000 + row_number() OVER (ORDER BY p_brand), NULL, p_brand || ', ' || substr(p_brand, 6) || ', ' FROM (SELECT DISTINCT p_brand FROM part)),
+term AS (SELECT DISTINCT query_id, trim(t) AS term FROM (SELECT query_id, unnest(string_split(phrase, ',')) AS t FROM asked) WHERE trim(t) <> ''),
+named AS MATERIALIZED (SELECT DISTINCT query_id, name FROM term JOIN (SELECT DISTINCT p_brand AS name FROM part) ON contains(name, term))"""
+
+
+@query(f"""WITH {_TERMS},
 graph AS MATERIALIZED (SELECT query_id, chunk_id AS id, CAST(count(DISTINCT (name, type)) AS DOUBLE) AS score FROM named JOIN v_mention USING (name) GROUP BY query_id, chunk_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY count(DISTINCT (name, type)) DESC, chunk_id) <= 20),
-hit AS (SELECT query_id, doc_id, score, text, CASE WHEN contains(text, phrase) THEN 0.3 ELSE 0 END AS boost, row_number() OVER (PARTITION BY query_id, substr(text, 1, 100) ORDER BY score DESC, doc_id) AS place FROM ranked JOIN documents USING (doc_id) JOIN asked USING (query_id) WHERE rank <= 20 AND score >= 0.4)
+near AS (SELECT query_id, p.id AS doc_id, {_COS} AS score FROM asked JOIN v_point q ON q.id = vector_id, v_point p WHERE query_id NOT IN (SELECT query_id FROM graph)),
+top AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20),
+hit AS (SELECT query_id, doc_id, score, trim(text, ' ' || chr(9) || chr(10) || chr(12) || chr(13)) AS content, phrase FROM top JOIN documents USING (doc_id) JOIN asked USING (query_id) WHERE score >= 0.4),
+one AS (SELECT * FROM hit WHERE content <> '' QUALIFY row_number() OVER (PARTITION BY query_id, substr(content, 1, 100) ORDER BY score DESC, doc_id) = 1)
 SELECT query_id, 'graph' AS found_by, id, score, '' AS snippet FROM graph UNION ALL
-SELECT query_id, 'text', doc_id, round(score + boost, 4), substr(text, 1, 500) FROM hit WHERE place = 1 AND text <> '' AND query_id NOT IN (SELECT query_id FROM graph)""")
+SELECT query_id, 'vector', doc_id, round(score + CASE WHEN contains(lower(content), lower(phrase)) THEN 0.3 ELSE 0 END, 4), substr(content, 1, 500) FROM one""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of entities that a query names; where there are none, texts over a threshold, one of each
-    beginning, with a boost for those that hold the query's own phrase."""
+    """Chunks of entities that hold any of a query's terms, which commas part; where there are none, the nearest
+    texts by vector over a threshold, one of each beginning, with a boost for those that hold the whole query."""
     brands = read_table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct()
     order = Window.orderBy("name")  # of the names of a query set
-    asked = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase")).unionByName(brands.select((F.row_number().over(order) + 1_000_000).cast("long").alias("query_id"), F.col("name").alias("phrase")))
-    named = stage(brands.join(broadcast_small(asked), F.expr("contains(name, phrase)")).select("query_id", "name"), "named")
-    counted = named.join(v_mention(spark, sf_dir), "name").groupBy("query_id", F.col("chunk_id").alias("id")).agg(F.countDistinct("name", "type").cast("double").alias("score"))
-    graph = latest.last_n(counted, ["query_id"], [F.desc("score"), F.col("id")], 20).select("query_id", F.lit("graph").alias("found_by"), "id", "score", F.lit("").alias("snippet"))
-    hits = _ranked(spark, sf_dir, 20).where("score >= 0.4").join(named.select("query_id").distinct(), "query_id", "left_anti").join(asked, "query_id").join(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    one = latest.first_per(hits.where("text <> ''"), [F.col("query_id"), F.substring("text", 1, 100)], [F.desc("score"), F.col("doc_id")])
-    boosted = F.round(F.col("score") + F.when(F.expr("contains(text, phrase)"), 0.3).otherwise(0.0), 4)
-    return graph.unionByName(one.select("query_id", F.lit("text").alias("found_by"), F.col("doc_id").alias("id"), boosted.alias("score"), F.substring("text", 1, 500).alias("snippet")))
-
-
-@query(f"""WITH {_NEAR}, hit AS MATERIALIZED (SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM nearest WHERE rank <= 10),
+    two = F.concat("name", F.lit(", "), F.substring("name", 6, 1000), F.lit(", "))
+    of_names = brands.select((F.row_number().over(order) + 1_000_000).cast("long").alias("query_id"), F.lit(None).cast("long").alias("vector_id"), two.alias("phrase"))
+    asked = stage(read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("vector_id"), F.col("text").alias("phrase")).unionByName(of_names), "asked")
+    terms = asked.select("query_id", F.explode(F.split("phrase", ",")).alias("term")).select("query_id", F.trim("term").alias("term")).where("term <> ''").distinct()
+    found = stage(graph.chunks_by_terms(v_mention(spark, sf_dir), terms, SubstringIndex.build(brands)), "graph")
+    by_graph = found.select("query_id", F.lit("graph").alias("found_by"), F.col("chunk_id").alias("id"), F.col("entity_count").cast("double").alias("score"), F.lit("").alias("snippet"))
+    points = v_point(spark, sf_dir)
+    left = asked.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    vectors = left.join(points, F.col("vector_id") == F.col("id")).select("query_id", "dense")
+    near = stage(R.vector_topk_each(points, vectors, 20).where("score >= 0.4"), "near")
+    texts = read_table(spark, sf_dir, "documents").select("doc_id", strip(F.col("text")).alias("content")).where("content <> ''")
+    hits = texts.join(broadcast_small(near), "doc_id").join(broadcast_small(asked), "query_id")
+    one = latest.first_per(hits, [F.col("query_id"), F.substring("content", 1, 100)], [F.desc("score"), F.col("doc_id")])
+    boosted = F.round(F.col("score") + F.when(F.expr("contains(lower(content), lower(phrase))"), 0.3).otherwise(0.0), 4)
+    return by_graph.unionByName(one.select("query_id", F.lit("vector").alias("found_by"), F.col("doc_id").alias("id"), boosted.alias("score"), F.substring("content", 1, 500).alias("snippet")))
+
+
+_QUESTION = "SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'Brand ' || text ELSE text END AS message FROM benchmark"
+
+
+@query(f"""WITH {_NEAR}, question AS ({_QUESTION}), hit AS MATERIALIZED (SELECT query_id, doc_id, rank FROM nearest WHERE rank <= 10),
+word AS MATERIALIZED (SELECT query_id, term FROM (SELECT query_id, unnest(w) AS term, unnest(range(len(w))) AS place FROM (SELECT query_id, regexp_extract_all(message, '[A-ZА-ЯЁ]{{2,}}|[A-Za-z]{{3,}}|[а-яё]{{4,}}') AS w FROM question)) GROUP BY query_id, term QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(place)) <= 5),
+m AS MATERIALIZED (SELECT hit.query_id, v_mention.* FROM hit JOIN v_mention USING (doc_id) WHERE rank <= 5),
+by_word AS MATERIALIZED (SELECT query_id, chunk_id, min(doc_id) AS doc_id, count(DISTINCT (name, type)) AS n FROM m WHERE EXISTS (SELECT 1 FROM word w WHERE w.query_id = m.query_id AND contains(m.name, w.term)) GROUP BY query_id, chunk_id),
+by_message AS (SELECT query_id, chunk_id, min(doc_id) AS doc_id, count(DISTINCT (name, type)) AS n FROM m JOIN question USING (query_id) WHERE contains(name, message) AND query_id NOT IN (SELECT query_id FROM by_word) GROUP BY query_id, chunk_id),
+chunk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, chunk_id) AS place FROM (SELECT * FROM by_word UNION ALL SELECT * FROM by_message)),
 line AS (SELECT query_id, '[' || lpad(CAST(rank AS VARCHAR), 2, '0') || '] ' || filename || ': ' || substr(v.text, 1, 300) AS line FROM hit JOIN v_document v USING (doc_id)
-UNION ALL SELECT query_id, 'entity ' || lpad(CAST(place AS VARCHAR), 2, '0') || ': ' || name || ' (' || n || ')' FROM (SELECT query_id, name, count(*) AS n, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, name) AS place FROM hit JOIN v_mention USING (doc_id) WHERE rank <= 5 GROUP BY query_id, name) WHERE place <= 5)
+UNION ALL SELECT query_id, 'graph ' || lpad(CAST(place AS VARCHAR), 2, '0') || ': doc_' || doc_id || '.txt, entities: ' || n FROM chunk WHERE place <= 5)
 SELECT query_id, string_agg(line, chr(10) ORDER BY line) AS context FROM line GROUP BY query_id""")
 def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The context of each question: its ten nearest documents, numbered, and the five entities that the first
-    five of them mention most."""
+    """The context of each question: its ten nearest documents, numbered, and five chunks of the first five of them
+    that mention most entities whose names hold a term of the question, or the whole message where no term does."""
+    question = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("Brand "), "text")).otherwise(F.col("text")).alias("message"))
     hits = stage(_near(spark, sf_dir, 10), "hits")
+    mentions = v_mention(spark, sf_dir)
+    index = SubstringIndex.build(read_table(spark, sf_dir, "part"), "p_brand")
+    only = hits.where("rank <= 5")
+    terms = question.select("query_id", F.explode(F.slice(F.array_distinct(query_terms(F.col("message"))), 1, 5)).alias("term"))
+    by_term = stage(graph.chunks_by_terms(mentions, terms, index, only, 5), "by-term")
+    rest = question.join(by_term.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.col("message").alias("term"))
+    chunks = by_term.unionByName(graph.chunks_by_terms(mentions, rest, index, only, 5))
     texts = v_document(spark, sf_dir).select("doc_id", "filename", "text")
     said = texts.join(broadcast_small(hits), "doc_id").select("query_id", F.concat(F.lit("["), F.lpad(F.col("rank").cast("string"), 2, "0"), F.lit("] "), "filename", F.lit(": "), F.substring("text", 1, 300)).alias("line"))
-    counted = v_mention(spark, sf_dir).join(broadcast_small(hits.where("rank <= 5")), "doc_id").groupBy("query_id", "name").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("query_id").orderBy(F.desc("n"), "name")
-    top = counted.withColumn("place", F.row_number().over(by)).where("place <= 5")
-    graph = top.select("query_id", F.concat(F.lit("entity "), F.lpad(F.col("place").cast("string"), 2, "0"), F.lit(": "), "name", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("line"))
-    return said.unionByName(graph).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("context"))  # 15 lines at most
+    seen = chunks.select("query_id", F.concat(F.lit("graph "), F.lpad(F.col("place").cast("string"), 2, "0"), F.lit(": doc_"), F.col("doc_id").cast("string"), F.lit(".txt, entities: "), F.col("entity_count").cast("string")).alias("line"))
+    return said.unionByName(seen).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("context"))  # 15 lines at most
 
 
 @query()

@@ -140,11 +140,10 @@ def news_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v_page(spark, sf_dir).select("page_id", T.news_key(F.col("title"), F.lit("2024-01-01T00:00:00")).alias("news_key"))
 
 
-@query("SELECT item_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Z]{2,}|[A-Za-z]{3,}|[а-яё]{4,}'))), ',') AS terms FROM benchmark")
+@query("SELECT item_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-ZА-ЯЁ]{2,}|[A-Za-z]{3,}|[а-яё]{4,}'))), ',') AS terms FROM benchmark")
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct terms of a question, sorted."""
-    terms = F.regexp_extract_all("text", F.lit("[A-Z]{2,}|[A-Za-z]{3,}|[а-яё]{4,}"), F.lit(0))
-    return read_table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.array_sort(F.array_distinct(terms)), ",").alias("terms"))
+    return read_table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.array_sort(F.array_distinct(T.query_terms(F.col("text")))), ",").alias("terms"))
 
 
 @query("""SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'has_date' END, CASE WHEN regexp_matches(text, '[0-9]{4,}') THEN 'has_amounts' END,

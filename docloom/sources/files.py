@@ -118,16 +118,41 @@ READING = set(
 _CALLS_OUT = re.compile(r"\b(reflect|try_reflect|java_method)\b", re.I)
 
 
+def _only_reads(spark: SparkSession, node, views: set[str]) -> None:
+    """Raise unless every node of a parsed plan only reads, and reads nothing but the views named, or what the query names by WITH."""
+    kind = node.getClass().getSimpleName().rstrip("$")
+    if kind not in READING:
+        raise ValueError(f"only queries are allowed, not {kind}")
+    if kind == "UnresolvedRelation":
+        parts = node.multipartIdentifier()
+        if parts.size() != 1 or parts.apply(0).lower() not in views:
+            raise ValueError("only temporary views of this session can be read")
+        return
+    inner = node.innerChildren()
+    if kind == "UnresolvedWith":  # each part sees those before it, and itself if it recurs; the query sees all
+        seen = set(views)
+        for i in range(inner.size()):
+            part = inner.apply(i)
+            seen |= {part.alias().lower()}
+            _only_reads(spark, part, seen)
+        views = seen
+    else:
+        for i in range(inner.size()):
+            _only_reads(spark, inner.apply(i), views)
+    for more in (node.children(), node.subqueries()):
+        for i in range(more.size()):
+            _only_reads(spark, more.apply(i), views)
+
+
 def read_only_sql(spark: SparkSession, sql: str, limit: int = 100) -> DataFrame:
-    """The rows of one query over the session's views. Every node of the parsed plan, subqueries included, must be one
-    that only reads; functions that call foreign code are rejected too."""
-    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
-    while todo:
-        node = todo.pop()
-        if (kind := node.getClass().getSimpleName().rstrip("$")) not in READING:
-            raise ValueError(f"only queries are allowed, not {kind}")
-        for more in (node.children(), node.innerChildren(), node.subqueries()):
-            todo += [more.apply(i) for i in range(more.size())]
+    """The rows of one query over the session's temporary views.
+
+    Every node of the parsed plan, subqueries included, must be one that only reads. A relation must be a temporary view by
+    its plain name, or a part that WITH names where it is in sight: files by path and tables of catalogs are rejected.
+    Functions that call foreign code are rejected too.
+    """
+    views = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    _only_reads(spark, spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), views)
     if _CALLS_OUT.search(sql):
         raise ValueError("functions that call foreign code aren't allowed")
     return spark.sql(sql).limit(limit)
