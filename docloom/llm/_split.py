@@ -9,27 +9,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.operators.latest import look_up
+from docloom.storage import stage
+
 
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of doc_id as text, mod modulus; a null doc_id counts as 1, so its row is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(1))
 
 
-def bounded_sample(rows: DataFrame, stratum: str, per_stratum: int, key: list[str], max_strata: int = 2000) -> DataFrame:
+def bounded_sample(rows: DataFrame, stratum: str, per_stratum: int, key: list[str]) -> DataFrame:
     """Rows of about per_stratum distinct keys of each value of ``stratum``, chosen by a hash; all where there are fewer.
 
     The share of keys is set from an estimate of their number (a sketch of fixed size, 2 % off at most as a rule), so no
     value of stratum is lost, and a key that many rows repeat counts as one. The choice depends on the rows alone, so a
-    task that runs again chooses the same ones. Repeats of a chosen key all come back: drop them before collecting.
+    task that runs again chooses the same ones. Repeats of a chosen key all come back: drop them before collecting. The
+    shares are a table that is joined, so stratum may have any number of values; rows without one are left out.
     """
     place = F.xxhash64(*key, F.lit(17))
-    counts = rows.groupBy(stratum).agg(F.approx_count_distinct(place, 0.02).alias("n")).limit(max_strata + 1).collect()
-    if len(counts) > max_strata:
-        raise ValueError(f"{stratum} has over {max_strata} values; it isn't a label")
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(stratum).eqNullSafe(F.lit(r[stratum])), F.lit(1.0 if r["n"] <= 1.1 * per_stratum else per_stratum / r["n"])).otherwise(share)
-    return rows.where(F.pmod(place, F.lit(1 << 30)) / float(1 << 30) < share)
+    counts = rows.where(F.col(stratum).isNotNull()).groupBy(stratum).agg(F.approx_count_distinct(place, 0.02).alias("n"))
+    whole = F.col("n") <= int(1.1 * per_stratum)
+    shares = stage(counts.select(stratum, F.when(whole, 1.0).otherwise(F.lit(float(per_stratum)) / F.col("n")).alias("__share")), "shares")
+    chosen = look_up(rows, shares, [stratum], key[0])
+    return chosen.where(F.pmod(place, F.lit(1 << 30)) / float(1 << 30) < F.col("__share")).select(*rows.columns)
 
 
 def free_name(columns: list[str], wanted: str) -> str:

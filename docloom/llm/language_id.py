@@ -35,14 +35,20 @@ _LETTER[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 @dataclass
 class LanguageModel:
-    """Bucket rows of the folded table (embedding times softmax), one column a language: 2**14 x languages floats."""
+    """Bucket rows of the folded table (embedding times softmax), one column a language; with more languages than the
+    embedding has dimensions the two stay apart, so the table has 2**14 x 16 floats at most, for any number of languages."""
 
     languages: list[str] = field(default_factory=list)
     table: np.ndarray | None = None
+    soft: np.ndarray | None = None
     bias: np.ndarray | None = None
     temperature: float = 1.0
     least: float = 0.0
 
+    def logits(self, means: np.ndarray) -> np.ndarray:
+        """Of the means of the table's rows."""
+        return (means if self.soft is None else means @ self.soft) + self.bias
+
 
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
@@ -109,7 +115,7 @@ def predict(texts: list[str | None], model: LanguageModel) -> tuple[list[str], n
     for a, b in _groups(texts):
         part = texts[a:b]
         total, count = _sums(part, model.table)
-        logits = (total / np.maximum(count, 1)[:, None] + model.bias) / model.temperature
+        logits = model.logits(total / np.maximum(count, 1)[:, None]) / model.temperature
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
@@ -159,9 +165,13 @@ def fit(rows: list[tuple[str, bytes, bytes]], dims: int = 16, epochs: int = 6, r
             embedding[at] -= 20 * share[:, None] * (soft @ p)[None, :]
             soft -= np.outer(h, p)
             bias -= 0.1 * p
-    model.table = np.vstack([embedding @ soft, np.zeros((1, n))]).astype(np.float32)
+    if n > dims:
+        model.soft = soft.astype(np.float32)
+    else:
+        embedding = embedding @ soft
+    model.table = np.vstack([embedding, np.zeros((1, embedding.shape[1]))]).astype(np.float32)
     model.bias = bias
-    z = np.array([share @ model.table[at] + bias for _, at, share in test])
+    z = model.logits(np.array([share @ model.table[at] for _, at, share in test]))
     y = np.array([number[r[0]] for r in test])
 
     def loss(t: float) -> float:

@@ -126,16 +126,22 @@ def _most(shared: np.ndarray, b: np.ndarray, own: np.ndarray, order: int, decay:
     return np.stack([most[a + back] for a, back in zip(cuts[:-1], backs, strict=True)], axis=1)
 
 
+def pieces_of(string: str) -> list[str]:
+    """The string, or, over WIDTH letters, overlapping pieces of it, so that no part goes unseen."""
+    return [string[at : at + WIDTH] for at in range(0, max(1, len(string) - WIDTH // 2), WIDTH // 2)]
+
+
 def similarities(strings: list[str], model: ToxicityModel, gate: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, landmark, normalised kernel) where the kernel is at least model.floor.
 
-    With ``gate``, a pair is computed only if the letters that it shares allow the floor, which changes no result. Strings over WIDTH letters are taken in overlapping pieces, so no part goes unseen.
+    With ``gate``, a pair is computed only if the letters that it shares allow the floor, which changes no result. Strings
+    over WIDTH letters are taken in their pieces.
     """
     pieces, owner = [], []
     for i, s in enumerate(strings):
-        for at in range(0, max(1, len(s) - WIDTH // 2), WIDTH // 2):
-            pieces.append(s[at : at + WIDTH])
-            owner.append(i)
+        mine = pieces_of(s)
+        pieces += mine
+        owner += [i] * len(mine)
     if not pieces or not model.landmarks:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0)
@@ -193,12 +199,16 @@ class _Pooling:
 
 
 def choose_landmarks(said: list[str | None], toxic: np.ndarray, model: ToxicityModel, most: int) -> list[str]:
-    """Units that mark toxic texts, best first: each by its log odds and the toxic texts that earlier ones reach least."""
+    """Units that mark toxic texts, best first: each by its log odds and the toxic texts that earlier ones reach least.
+
+    A unit over WIDTH letters stands as its pieces. A unit is a candidate if toxic texts hold it over four times as often as
+    others, and two of them do (one, where there are under eight); all candidates take part.
+    """
     n1 = max(1, int(toxic.sum()))
     n0 = max(1, len(toxic) - n1)
     texts, rows = [], [Counter(), Counter()]
     for t, y in zip(said, toxic, strict=True):
-        mine = {v for u in units(t) if 2 < len(v := letters(u)) <= WIDTH // 2 + 2}
+        mine = {v for u in units(t) for v in pieces_of(letters(u)) if len(v) > 2}
         rows[int(y)].update(mine)
         texts.append(tuple(map(sys.intern, mine)) if y else ())  # of texts, only the toxic ones' units are kept
     gain = {}
@@ -206,24 +216,22 @@ def choose_landmarks(said: list[str | None], toxic: np.ndarray, model: ToxicityM
         odds = ((p + 0.5) / (n1 + 1)) / ((rows[0][u] + 0.5) / (n0 + 1))
         if odds > 4 and (p >= 2 or n1 < 8):
             gain[u] = np.log(odds)
-    first = sorted(gain, key=lambda u: (-gain[u] * rows[1][u] ** 0.5, u))[: 20 * most]
+    first = sorted(gain)
     holds = {u: [] for u in first}
     for i, t in enumerate(texts):
         if toxic[i]:
             for u in holds.keys() & t:
                 holds[u].append(i)
     open_, chosen = np.ones(len(texts)), []
-    near = ToxicityModel(model.order, model.decay, model.floor, landmarks=first)
-    like = {u: set() for u in first}
-    for i, j, v in zip(*similarities(first, near), strict=True):
-        like[first[j]].add(first[i])
     while first and len(chosen) < most:
         best = max(first, key=lambda u: (gain[u] * open_[holds[u]].sum(), u))
         if gain[best] * open_[holds[best]].sum() < 0.5:
             break
+        near = ToxicityModel(model.order, model.decay, model.floor, landmarks=[best])
+        like = np.unique(similarities(first, near)[0])
+        reached = {i for k in like for i in holds[first[k]]}
         first.remove(best)
         chosen.append(best)
-        reached = {i for u in like[best] for i in holds[u]}
         open_[list(reached)] *= 0.6
     return chosen
 
