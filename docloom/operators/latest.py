@@ -21,7 +21,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column])
 
 def delete(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """rows whose key isn't among the gone."""
-    return rows.join(gone.select(key).distinct(), key, "left_anti")
+    return rows.join(gone.select(key).distinct(), key, "left_anti").select(*rows.columns)
 
 
 def first_per(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:

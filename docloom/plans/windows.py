@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.operators import experiments, latest, sequences
+from docloom.operators import breaker, experiments, fetching, latest, sequences
 from docloom.plans._catalog import VIEW_SQL, query
 from docloom.plans.aggregates import v_metric
 from docloom.plans.views import v_document, v_log, v_page, v_qa
@@ -62,6 +62,93 @@ def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.groupBy("user_id", "island").agg(F.count("*").alias("failures")).where("failures >= 3")
 
 
+_WAIT = 12 * 3600
+
+
+@query(f"""WITH RECURSIVE c AS MATERIALIZED (SELECT user_id, event_id, ok, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM v_log WHERE user_id IS NOT NULL),
+walk(user_id, event_id, place, failures, since, change) AS (SELECT user_id, CAST(NULL AS BIGINT), CAST(0 AS BIGINT), 0, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM (SELECT DISTINCT user_id FROM c) UNION ALL
+  SELECT w.user_id, c.event_id, c.place, CASE WHEN since IS NOT NULL AND t - since < {_WAIT}000000 THEN failures WHEN c.ok THEN 0 WHEN since IS NOT NULL THEN failures ELSE failures + 1 END,
+    CASE WHEN since IS NOT NULL AND t - since < {_WAIT}000000 THEN since WHEN c.ok THEN NULL WHEN since IS NOT NULL OR failures + 1 >= 3 THEN t END,
+    CASE WHEN since IS NOT NULL AND t - since < {_WAIT}000000 THEN 'refused' WHEN since IS NOT NULL THEN CASE WHEN c.ok THEN 'closed' ELSE 'reopened' END WHEN NOT c.ok AND failures + 1 >= 3 THEN 'opened' END
+  FROM walk w JOIN c ON c.user_id = w.user_id AND c.place = w.place + 1)
+SELECT user_id, event_id, change FROM walk WHERE change IS NOT NULL""")
+def breaker_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breakers with a half-open period (of half a day here, as calls are hours apart): what each call changes."""
+    return breaker.changes(v_log(spark, sf_dir), "user_id", "ts", "event_id", "ok", 3, _WAIT)
+
+
+@query("""SELECT kind, count(*) AS n, max_by(event_id, (ts, event_id)) AS last_event FROM (SELECT *, sum(fresh) OVER (PARTITION BY kind ORDER BY ts, event_id) AS s FROM (
+SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY kind ORDER BY ts, event_id)) < 300000000 THEN 0 ELSE 1 END AS fresh FROM v_log)) GROUP BY kind, s""")
+def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A burst of changes stands as its last one, once it has been quiet (for five minutes here)."""
+    last = F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event")
+    return v_log(spark, sf_dir).groupBy("kind", F.session_window("ts", "5 minutes")).agg(F.count("*").alias("n"), last).select("kind", "n", "last_event")
+
+
+_LISTED = "SELECT user_id AS path, length(kind) - 4 AS size, CAST(NULL AS BIGINT) AS modified, ts AS listed_at FROM v_log"
+
+
+@query(f"""WITH l AS (SELECT *, coalesce(size <> lag(size) OVER w, TRUE) AS fresh FROM ({_LISTED}) WINDOW w AS (PARTITION BY path ORDER BY listed_at)),
+s AS (SELECT *, last_value(CASE WHEN fresh THEN listed_at END IGNORE NULLS) OVER (PARTITION BY path ORDER BY listed_at) AS since FROM l)
+SELECT path, CAST(arg_min(size, listed_at) AS INTEGER) AS size, min(listed_at) AS listed_at FROM s WHERE NOT fresh AND size > 0 AND epoch_us(listed_at) - epoch_us(since) >= 3600000000 GROUP BY path, since""")
+def settled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that two listings find alike, and quiet (for an hour here) since their last change."""
+    listed = v_log(spark, sf_dir).select(F.col("user_id").alias("path"), (F.length("kind") - 4).alias("size"), F.lit(None).cast("long").alias("modified"), F.col("ts").alias("listed_at"))
+    return fetching.settled(listed, 3600)
+
+
+VIEW_SQL["v_head"] = """SELECT url, CASE WHEN page_id % 4 <> 3 THEN md5(html) END AS etag, CASE WHEN page_id % 4 <> 2 THEN page_id % 50 END AS last_modified, octet_length(encode(html)) AS size, html AS body
+  FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1"""
+VIEW_SQL["v_fetched"] = """SELECT url, CASE WHEN length(body) % 5 = 0 THEN 'old' ELSE etag END AS etag, CASE WHEN length(body) % 7 = 0 THEN -1 ELSE last_modified END AS last_modified, size,
+  CASE WHEN length(body) % 3 = 0 THEN sha256(body || 'old') ELSE sha256(body) END AS page_hash FROM v_head WHERE length(body) % 11 <> 0"""
+
+
+def v_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, n = read_table(spark, sf_dir, "pages"), F.col("page_id")
+    heads = p.select(n, "url", F.when(n % 4 != 3, F.md5("html")).alias("etag"), F.when(n % 4 != 2, n % 50).alias("last_modified"), F.octet_length("html").cast("long").alias("size"), F.col("html").alias("body"))
+    return latest.last_n(heads, ["url"], [F.col("page_id")], 1).drop("page_id")
+
+
+def v_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("body")
+    known = v_head(spark, sf_dir).where(n % 11 != 0)
+    return known.select(
+        "url", F.when(n % 5 == 0, "old").otherwise(F.col("etag")).alias("etag"), F.when(n % 7 == 0, -1).otherwise(F.col("last_modified")).alias("last_modified"), "size",
+        F.sha2(F.when(n % 3 == 0, F.concat("body", F.lit("old"))).otherwise(F.col("body")), 256).alias("page_hash"),
+    )
+
+
+@query("""SELECT url, page_hash, CASE WHEN same THEN 'skip' WHEN new_hash IS NOT DISTINCT FROM old_hash THEN 'same' ELSE 'changed' END AS action FROM (
+SELECT h.url, coalesce(h.etag = f.etag, h.last_modified = f.last_modified AND h.size = f.size, FALSE) AS same, sha256(h.body) AS new_hash, f.page_hash AS old_hash,
+CASE WHEN same THEN old_hash ELSE new_hash END AS page_hash FROM v_head h LEFT JOIN v_fetched f USING (url))""")
+def conditional_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that are skipped by ETag, time and size, and of those fetched, which have changed by their hash."""
+    heads = v_head(spark, sf_dir)
+    decisions = fetching.decide(v_fetched(spark, sf_dir), heads.drop("body"))
+    return fetching.fetched(decisions, heads.select("url", "body")).select("url", "page_hash", "action")
+
+
+@query("""SELECT source, tick FROM (SELECT s_suppkey AS source, greatest(1, s_nationkey) AS every FROM supplier), LATERAL (SELECT unnest(range(0, 145)) AS tick) WHERE tick % every = 0""")
+def source_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The beats of a day, one each ten minutes, at which each source is polled by its own interval."""
+    sources = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), F.col("s_nationkey").alias("beats"))
+    return fetching.polls(spark.range(145).withColumnRenamed("id", "tick"), sources, F.col("beats"))
+
+
+_CHECKS = "SELECT user_id AS job, event_id AS \"check\", k // 34 AS entities, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS documents, 60 AS total FROM v_log WHERE user_id IS NOT NULL"
+
+
+@query(f"""WITH c AS ({_CHECKS}), r AS (SELECT *, documents >= 0.9 * total AS ready FROM c), open_ AS (SELECT *, lag(entities) OVER (PARTITION BY job ORDER BY "check") AS before FROM (SELECT *, coalesce(max(ready::INT) OVER (PARTITION BY job ORDER BY "check" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM r) WHERE ended = 0),
+i AS (SELECT *, sum(CASE WHEN entities = before THEN 0 ELSE 1 END) OVER (PARTITION BY job ORDER BY "check") AS island FROM open_),
+e AS (SELECT *, row_number() OVER (PARTITION BY job, island ORDER BY "check") - 1 AS n FROM i)
+SELECT job, "check", CASE WHEN ready THEN 'done' ELSE 'restart' END AS action FROM e WHERE ready OR n > 0 AND n % 5 = 0""")
+def rebuild_watchdog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that are restarted after five checks without new entities, and done at nine tenths of their documents."""
+    by = Window.partitionBy("job").orderBy("check")
+    checks = v_log(spark, sf_dir).where("user_id IS NOT NULL").select(F.col("user_id").alias("job"), F.col("event_id").alias("check"), F.floor(F.col("k") / 34).alias("entities"))
+    return fetching.watchdog(checks.withColumn("documents", F.row_number().over(by)).withColumn("total", F.lit(60)))
+
+
 @query("SELECT doc_id, row_number() OVER w AS version, lag(file_hash) OVER w AS previous_hash FROM v_document WINDOW w AS (PARTITION BY group_id, lang ORDER BY doc_id)")
 def version_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions with the hash before."""
