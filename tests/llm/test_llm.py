@@ -383,7 +383,7 @@ def test_lm_pairs_and_blocks_pack_and_add_up():
         data = lm_scoring._pack(n) + b"rest"
         back, read = lm_scoring._unpack(data)
         assert (back == n).all() and data[read:] == b"rest"
-    key = np.unique(rng.integers(0, 1 << 24, 5000))
+    key = np.unique(rng.integers(0, 1 << (16 + lm_scoring.CHECK_BITS), 5000))
     n = rng.integers(1, 900, len(key))
     assert all((x == y).all() for x, y in zip(lm_scoring._unpack_pairs(lm_scoring._pack_pairs(key, n)), (key, n), strict=True))
 

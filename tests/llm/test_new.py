@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import exact_dedup, language_id, merkle, periodic_runs, queries, toxicity
+from docloom.llm import exact_dedup, language_id, lm_scoring, merkle, periodic_runs, queries, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -247,3 +247,32 @@ def test_long_insults_are_caught():
         assert right.mean() >= 0.97
     assert toxicity.pieces_of("a" * 24) == ["a" * 24] and "".join(toxicity.pieces_of("abc" * 20))[:24] == ("abc" * 8)
     assert re.fullmatch("a+", toxicity.pieces_of("a" * 30)[1])
+
+
+def test_lm_pair_expert_is_a_probability(spark):
+    """After each word, what the pair expert gives to all words of the vocabulary sums to 1 at most, by counting pairs here."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = lm_scoring.train(docs)
+    lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    texts = [re.findall(rb"[^\x20\x09-\x0d]+", (r.text or "").encode().translate(lower)) for r in docs.select("text").collect()]
+    follow = {}
+    for said in texts:
+        for a, b in zip([None, *said], said, strict=False):
+            follow.setdefault(a, {}).setdefault(b, 0)
+            follow[a][b] += 1
+    vocabulary = sorted({w for said in texts for w in said})
+    joined = b" ".join(vocabulary)
+    g, starts = lm_scoring.grams(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]))
+    _, _, end = lm_scoring.cuts_and_words(g, starts)
+    h = g.word[end]
+    number = {w: i for i, w in enumerate(vocabulary)}
+    rng = random.Random(4)
+    for word in [*rng.sample(vocabulary, 60), b"the"]:
+        n = len(h)
+        names = np.stack([np.full(n, h[number[word]]), h], axis=1).ravel()
+        pair, before = lm_scoring.pair_keys(names, np.repeat(np.arange(n), 2))
+        seen, times = model.pairs(before[1::2][:1])[0], model.pairs(pair[1::2])
+        assert seen in (0, sum(follow.get(word, {}).values()))
+        if seen:
+            assert times.sum() <= seen
+            assert all(t in (0, follow[word].get(w, 0)) for t, w in zip(times.tolist(), vocabulary, strict=True))
