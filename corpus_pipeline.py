@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.llm import decontaminate, jaccard_join, language_id, toxicity
 from docloom.llm._split import free_name
 from docloom.llm.queries import sampled
-from docloom.storage import new_path, read_table
+from docloom.storage import new_path, read_table, unstage
 
 
 def _plain(docs: DataFrame, added: list[str]) -> tuple[DataFrame, dict[str, str]]:
@@ -68,9 +68,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that all stages keep, all columns.
+
+    Each stage is written as a table in the shared folder, and the table before it is removed once that is done, so two
+    copies of what is left are held at most. Rows are judged one by one where that is the stage's way: null and repeated
+    ids, null and empty texts (a null text has no language, so the second stage drops it) and an empty table are what each
+    stage's operator says; copies of a row leave together or, as near duplicates, but for one.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for name, step in STAGES:
         path = new_path(spark, f"pipeline-{name}")
         step(spark, docs, sf_dir).write.parquet(path)
+        unstage(docs)  # nothing but tables of this library's own is removed
         docs = spark.read.parquet(path)
     return docs

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 BLANK = r"[ \t\n\r\f]"
 #: What an upload's name may not hold, and the patterns of dangerous input.
 FORBIDDEN_NAME = r"""[<>"'|?*\\]"""
+UPLOADS = [".pdf", ".docx", ".doc", ".xlsx", ".xls", ".csv", ".txt", ".md", ".rtf", ".png", ".jpg", ".jpeg", ".tiff"]
+UPLOAD_BYTES = 100 * 1024 * 1024
 DANGEROUS = [
     r"(?i)<script[^>]*>",
     r"(?i)javascript:",
@@ -19,17 +21,29 @@ DANGEROUS = [
     r"\.\./",
     r"(?i)%2e",
 ]
-#: The weighted patterns of the rule classifier.
+#: The weighted patterns of the rule classifier, by document type; case doesn't count.
 RULES = [
-    ("contract", "(?i)agreement", 0.6),
-    ("contract", "(?i)license", 0.4),
-    ("report", "(?i)report", 0.6),
-    ("report", r"[0-9]{4}-[0-9]{2}", 0.4),
-    ("invoice", "(?i)invoice", 0.7),
-    ("invoice", "[0-9]+[.][0-9]{2}", 0.4),
-    ("letter", "(?i)dear", 0.6),
-    ("letter", "[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z]{2,}", 0.5),
+    ("invoice", r"(сч[её]т\s*[-—]\s*фактур|invoice|сч[её]т\s*№|сч[её]т\s*на\s*оплат)", 0.9),
+    ("invoice", r"(ндс|сумма\s*без\s*ндс|итого\s*к\s*оплат)", 0.7),
+    ("invoice", r"(плат[её]ж|квитанц|чек)", 0.5),
+    ("contract", r"(договор|контракт|contract|agreement)", 0.9),
+    ("contract", r"(стороны|заказчик|исполнитель|подрядчик)", 0.7),
+    ("contract", r"(реквизиты\s*сторон|юридический\s*адрес)", 0.6),
+    ("report", r"(отч[её]т|report|анализ|статистик)", 0.8),
+    ("report", r"(период\s*отч[её]та|показатели|динамика)", 0.6),
+    ("letter", r"(уважаем|здравствуй|письмо|обращение|ходатайств)", 0.8),
+    ("letter", r"(в\s*ответ\s*на|направля|уведомл|извещ)", 0.6),
+    ("form", r"(анкет|заявлени|form|опросный\s*лист)", 0.8),
+    ("form", r"(заполните|отметьте|выберите|укажите)", 0.6),
+    ("identity", r"(паспорт|passport|свидетел|удостоверен)", 0.9),
+    ("identity", r"(серия\s*№|кем\s*выдан|прописк|регистраци)", 0.7),
+    ("medical", r"(диагноз|анализ\s*кров|медицинск|больниц|клиник|пациент)", 0.8),
+    ("medical", r"(врач|рецепт|лечени|симптом)", 0.6),
+    ("legal", r"(иск\s|суд|прокур|адвокат|нотариус)", 0.8),
+    ("legal", r"(статья\s*\d|закон|кодекс|постановлен)", 0.6),
 ]
+#: Fixed value: how many characters of a text the rules look at.
+RULES_READ = 5000
 
 
 def strip(c: Column) -> Column:
@@ -96,6 +110,27 @@ def json_object(text: Column) -> Column:
     return F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
 
 
+def upload_verdict(size: Column, name: Column) -> Column:
+    """empty, too_large, extension, forbidden_character or ok: the first that holds."""
+    known = F.regexp_extract(F.lower(name), "([.][^.]*)$", 1).isin(*UPLOADS)
+    return F.when(size == 0, "empty").when(size > UPLOAD_BYTES, "too_large").when(~known, "extension").when(name.rlike(FORBIDDEN_NAME), "forbidden_character").otherwise("ok")
+
+
+def json_array(text: Column) -> Column:
+    """The first JSON array in a model's answer, up to the first bracket that closes; empty if there is none."""
+    return F.regexp_extract(text, r"(?s)\[.*?\]", 0)
+
+
+def base_name(name: Column) -> Column:
+    """A file's name without its path, with slashes of either kind, and without NUL; "file" where nothing is left."""
+    bare = F.regexp_extract(F.replace(F.replace(name, F.lit("\0"), F.lit("")), F.lit("\\"), F.lit("/")), "([^/]*)$", 1)
+    return F.when(bare.isin("", ".", ".."), "file").otherwise(bare)
+
+
+def suffix(name: Column) -> Column:
+    return F.lower(F.regexp_extract(name, r"[^.]([.][^.]*)$", 1))
+
+
 def histogram_bucket(value: Column, bounds: list[float]) -> Column:
     return reduce(lambda c, b: c.when(value <= b, F.lit(float(b))), bounds[1:], F.when(value <= bounds[0], F.lit(float(bounds[0]))))
 
@@ -119,3 +154,13 @@ def regional_hash(c: Column, bits: int = 256) -> Column:
     if bits not in (256, 512):
         raise ValueError("256 or 512 bits")
     return F.sha2(c, bits)
+
+
+def sealed(text: Column, key: Column) -> Column:
+    """Nonce, cipher text and tag of AES-256-GCM in base64; the key has 32 bytes."""
+    return F.base64(F.aes_encrypt(text, key, F.lit("GCM")))
+
+
+def opened(sealed_text: Column, key: Column) -> Column:
+    """The text, or null where the key is another one or the text was changed."""
+    return F.try_aes_decrypt(F.unbase64(sealed_text), key, F.lit("GCM")).cast("string")

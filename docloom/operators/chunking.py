@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import partial
 
@@ -9,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_BLANK = re.compile(" ")
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
 FIXED = "doc_id long, chunk_index int, start_pos int, end_pos int, content string"
 RECURSIVE = "doc_id long, chunk_index int, content string"
@@ -17,16 +20,19 @@ RECURSIVE = "doc_id long, chunk_index int, content string"
 def fixed_windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
     """(start, end, stripped text) of windows; one ends behind the last space of its second half, if that has any.
 
-    The last windows' ends may lie past the text; a window that only repeats the end of the one before is one too.
+    The last windows' ends may lie past the text; a window that only repeats the end of the one before is one too. The
+    places behind spaces are found once; each window looks up the last of them that is in its reach.
     """
-    start, n = 0, len(text)
-    while start < n:
-        end = start + size
-        if end < n and (cut := text.rfind(" ", start + size // 2, end)) >= 0:
-            end = cut + 1
-        if content := text[start:end].strip():
-            yield start, end, content
-        start = end - overlap
+    behind = [m.end() for m in _BLANK.finditer(text)]
+    begin = 0
+    while begin < len(text):
+        reach = begin + size
+        last = bisect_right(behind, reach) - 1
+        if reach < len(text) and last >= 0 and behind[last] > begin + size // 2:
+            reach = behind[last]
+        if shown := text[begin:reach].strip():
+            yield begin, reach, shown
+        begin = reach - overlap
 
 
 def _pieces(text: str, separators: list[str]) -> tuple[list[str], list[str]]:

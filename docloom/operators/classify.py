@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def by_rules(docs: DataFrame, rules: list[tuple[str, str, float]], text: str = "text", tag_over: float = 0.5) -> DataFrame:
-    """docs with class, confidence and tagged. All rules are tested in one pass over a row; nothing is exploded."""
+def by_rules(docs: DataFrame, rules: list[tuple[str, str, float]], text: str = "text", tag_over: float = 0.5, read: int | None = None) -> DataFrame:
+    """docs with class, confidence and tagged. All rules are tested in one pass over a row; nothing is exploded.
+
+    Patterns ignore case, in every script. ``read``: look at the first so many characters only.
+    """
+    seen = F.col(text) if read is None else F.substring(text, 1, read)
     sums: dict = {}
     for kind, pattern, weight in rules:
-        sums[kind] = sums.get(kind, F.lit(0.0)) + F.when(F.col(text).rlike(pattern), weight).otherwise(0.0)
+        sums[kind] = sums.get(kind, F.lit(0.0)) + F.when(seen.rlike(f"(?iu){pattern}"), weight).otherwise(0.0)
     scores = F.array(*[F.struct(F.round(s, 6).alias("score"), F.lit(-i).alias("first"), F.lit(k).alias("class")) for i, (k, s) in enumerate(sums.items())])
     best = F.array_max(scores)
     out = docs.withColumn("__best", best)

@@ -58,12 +58,13 @@ def remap(edges: DataFrame, keeper: DataFrame) -> DataFrame:
 def colinks(mentions: DataFrame) -> DataFrame:
     """Pairs of entities of different types with the number of documents that mention both.
 
-    Mentions are made distinct per document first; only entities of one document meet.
+    Mentions are made distinct per document first; only entities of one document meet. Those of a document are dealt by
+    their names, so a document with very many is paired by many tasks.
     """
     m = mentions.select("doc_id", "name", "type").distinct()
     a = m.select("doc_id", F.col("name").alias("name_a"), F.col("type").alias("type_a"))
     b = m.select("doc_id", F.col("name").alias("name_b"), F.col("type").alias("type_b"))
-    pairs = a.join(b, "doc_id").where((F.col("type_a") < F.col("type_b")))
+    pairs = look_up(a, b, ["doc_id"], "name_a").where(F.col("type_a") < F.col("type_b"))
     return pairs.groupBy("name_a", "type_a", "name_b", "type_b").agg(F.count("*").alias("n_docs"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docloom.plans import aggregates, filters, graphs, retrieval, scalars, windows
+from docloom.plans import aggregates, filters, graphs, retrieval, scalars, upkeep, windows
 from docloom.plans._catalog import QUERIES, SQL, Query
 
-__all__ = ["aggregates", "filters", "graphs", "retrieval", "scalars", "windows"]
+__all__ = ["aggregates", "filters", "graphs", "retrieval", "scalars", "upkeep", "windows"]
 FLAGSHIP = "rag_context"
 
 

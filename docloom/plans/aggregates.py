@@ -186,17 +186,17 @@ def queue_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v_log(spark, sf_dir).groupBy((F.col("user_id") % 4).alias("worker")).agg(n("click").alias("active"), n("view").alias("reserved"), n("signup").alias("scheduled"))
 
 
-_RULE_SQL = " UNION ALL ".join(f"SELECT {i} AS rule, '{k}' AS class, '{p}' AS pattern, {w} AS weight" for i, (k, p, w) in enumerate(T.RULES))
+_RULE_SQL = " UNION ALL ".join(f"SELECT {i} AS rule, '{k}' AS class, '(?i){p}' AS pattern, {w} AS weight" for i, (k, p, w) in enumerate(T.RULES))
 
 
-@query(f"""WITH scored AS (SELECT doc_id, class, sum(weight) AS score, min(rule) AS first FROM documents, ({_RULE_SQL}) r WHERE regexp_matches(text, r.pattern) GROUP BY doc_id, class),
+@query(f"""WITH scored AS (SELECT doc_id, class, sum(weight) AS score, min(rule) AS first FROM documents, ({_RULE_SQL}) r WHERE regexp_matches(substr(text, 1, {T.RULES_READ}), r.pattern) GROUP BY doc_id, class),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, first) AS place FROM scored)
 SELECT d.doc_id, coalesce(class, 'other') AS class, round(least(1.0, coalesce(score, 0)), 6) AS confidence, coalesce(score, 0) > 0.5 AS tagged FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id AND b.place = 1""")
 def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted rules; the class with the highest sum, the first of equals; confidence 1 at most."""
+    """Weighted rules of eight types; the type with the highest sum, the first of equals; confidence 1 at most."""
     from docloom.operators.classify import by_rules
 
-    return by_rules(read_table(spark, sf_dir, "documents"), T.RULES).select("doc_id", "class", F.round("confidence", 6).alias("confidence"), "tagged")
+    return by_rules(read_table(spark, sf_dir, "documents"), T.RULES, read=T.RULES_READ).select("doc_id", "class", F.round("confidence", 6).alias("confidence"), "tagged")
 
 
 @query("""SELECT event_id, round(CASE WHEN prev_total IS NULL OR total <= prev_total THEN 0 ELSE 100.0 * (used - prev_used) / (total - prev_total) END, 4) AS cpu_percent FROM (

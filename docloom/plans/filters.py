@@ -73,12 +73,16 @@ def recover_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v_document(spark, sf_dir).select("doc_id", "status", action.alias("action"))
 
 
-@query("""SELECT page_id, CASE WHEN length(html) = 0 THEN 'empty' WHEN length(html) > 20000 THEN 'too_large' WHEN regexp_matches(url, '[<>"''|?*\\\\]') THEN 'forbidden_character' ELSE 'ok' END AS verdict FROM pages""")
+_UPLOAD = "SELECT page_id, octet_length(encode(html)) * CASE WHEN page_id % 9 = 0 THEN 0 WHEN page_id % 5 = 0 THEN 100000 ELSE 1 END AS size, 'up' || CASE WHEN page_id % 7 = 0 THEN '?' ELSE '' END || page_id || CASE page_id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.docx' WHEN 2 THEN '.exe' ELSE '.txt' END AS filename FROM pages"
+
+
+@query(f"""SELECT page_id, CASE WHEN size = 0 THEN 'empty' WHEN size > 104857600 THEN 'too_large' WHEN regexp_extract(lower(filename), '([.][^.]*)$', 1) NOT IN ({", ".join(f"'{e}'" for e in T.UPLOADS)}) THEN 'extension' WHEN regexp_matches(filename, '[<>"''|?*\\\\]') THEN 'forbidden_character' ELSE 'ok' END AS verdict FROM ({_UPLOAD})""")
 def validate_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each upload's verdict; none stops the others."""
-    n = F.length("html")
-    verdict = F.when(n == 0, "empty").when(n > 20000, "too_large").when(F.col("url").rlike(T.FORBIDDEN_NAME), "forbidden_character").otherwise("ok")
-    return read_table(spark, sf_dir, "pages").select("page_id", verdict.alias("verdict"))
+    """Each upload's verdict, by size (100 MB at most), extension and name; none stops the others."""
+    n = F.col("page_id")
+    size = F.octet_length("html").cast("long") * F.when(n % 9 == 0, 0).when(n % 5 == 0, 100_000).otherwise(1)
+    name = F.concat(F.lit("up"), F.when(n % 7 == 0, "?").otherwise(""), n.cast("string"), F.when(n % 4 == 0, ".PDF").when(n % 4 == 1, ".docx").when(n % 4 == 2, ".exe").otherwise(".txt"))
+    return read_table(spark, sf_dir, "pages").select("page_id", T.upload_verdict(size, name).alias("verdict"))
 
 
 _DANGER = " OR ".join(f"regexp_matches(html, '{p}')" for p in T.DANGEROUS)

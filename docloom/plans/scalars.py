@@ -27,12 +27,12 @@ def csv_row_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "customer").select("c_custkey", T.pair_text(["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]).alias("row_text"))
 
 
-@query("""SELECT doc_id, CASE WHEN n < 10 THEN TRUE WHEN marks > 0 THEN TRUE WHEN n > 100 THEN FALSE ELSE FALSE END AS needs_ocr
+@query("""SELECT doc_id, n < 50 OR marks > 0 AS needs_ocr
 FROM (SELECT doc_id, length(trim(text)) AS n, len(regexp_extract_all(text, '[�¤]')) AS marks FROM documents)""")
 def needs_ocr_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts too short or garbled to trust need recognition."""
+    """Pages of under fifty characters, and garbled ones, need recognition."""
     t = F.trim("text")
-    flag = F.when(F.length(t) < 10, True).when(F.col("text").rlike("[�¤]"), True).otherwise(False)
+    flag = (F.length(t) < 50) | F.col("text").rlike("[�¤]")
     return read_table(spark, sf_dir, "documents").select("doc_id", flag.alias("needs_ocr"))
 
 
@@ -189,14 +189,17 @@ def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("attempt")).withColumn("delay", F.pow(F.lit(2.0), "attempt"))
 
 
-@query("SELECT c_custkey, c_name AS plain, TRUE AS same FROM customer")
+@query("""SELECT c_custkey, c_name AS plain, 12 + octet_length(encode(c_name)) + 16 AS sealed_bytes, c_custkey % 2 = 0 AS opens_with_other_key, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS other_plain FROM customer""")
 def encrypt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """authenticated encryption (nonce, text, tag; base64) and back. The key comes from the caller."""
-    key = F.lit("0123456789abcdef0123456789abcdef")
-    sealed = F.base64(F.aes_encrypt("c_name", key, F.lit("GCM")))
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", sealed.alias("sealed"))
-    opened = F.aes_decrypt(F.unbase64("sealed"), key, F.lit("GCM")).cast("string")
-    return c.select("c_custkey", opened.alias("plain"), (opened == F.col("c_name")).alias("same"))
+    """authenticated encryption and back, by a key of the caller's; a text sealed with another key doesn't open.
+
+    Each row's key is made of the caller's and, for odd rows, another one; all are opened by the caller's as well.
+    """
+    key, other = F.sha2(F.lit("a key for tests"), 256), F.sha2(F.lit("another one"), 256)
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.substring(key, 1, 32).alias("key"), F.substring(F.when(F.col("c_custkey") % 2 == 0, key).otherwise(other), 1, 32).alias("own"))
+    s = c.select("c_custkey", "key", "own", T.sealed(F.col("c_name"), F.col("own")).alias("sealed"))
+    opened, tried = T.opened(F.col("sealed"), F.col("own")), T.opened(F.col("sealed"), F.col("key"))
+    return s.select("c_custkey", opened.alias("plain"), F.octet_length(F.unbase64("sealed")).alias("sealed_bytes"), tried.isNotNull().alias("opens_with_other_key"), tried.alias("other_plain"))
 
 
 _ASIDE_SQL = "regexp_replace(html, '<!--.*?-->', ' ', 'gs')"
