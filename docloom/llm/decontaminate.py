@@ -13,8 +13,10 @@ need no identity and nothing is shuffled.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ from pyspark.sql import types as T
 
 from docloom.llm._split import append_columns, free_name
 from docloom.llm._text import ALNUM, chunks, words
+from docloom.storage import stage
 
 WINDOW = 10
 MATCH = "array<struct<item_id:string,doc_start:bigint,item_start:bigint,length:bigint>>"
@@ -159,6 +162,20 @@ def _matches(window: int, name: str, sent, texts: pa.Array) -> dict[str, list]:
     return {f"{name}_words": counted, name: found}
 
 
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, str]]]:
+    """The benchmark's items, some at a time; an empty block if there are none."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where(F.col("t").isNotNull())
+    block, size, given = [], 0, False
+    for r in items.toLocalIterator():
+        if block and size + len(r.t) // 2 > block_words:
+            yield block
+            block, size, given = [], 0, True
+        block.append((r.i, r.t))
+        size += len(r.t) // 2
+    if block or not given:
+        yield block
+
+
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 2_000_000, text: str = "text") -> DataFrame:
     """docs with n_words and matches, in place: each row's longest verbatim matches of at least a window.
 
@@ -166,26 +183,37 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     repeat; columns named n_words or matches are replaced. A null text has no words. An item without words matches
     nothing; an item shorter than the window matches whole. Items of a null item_id match like others, with a null there;
     items that repeat an item_id count as one item.
+
+    A benchmark of one block (``block_words``) is one pass over docs. A larger one is a pass for each block: rows are
+    numbered once, each block's matches are written, and its broadcast goes before the next one comes; rows come back in
+    their order.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "matches")]
-    out = docs.select(*[docs[c] for c in kept])
-    block, size, names = [], 0, []
+    source = docs.select(*[docs[c] for c in kept])
+    name = free_name(kept, "__found")
+    kind = T.StructType.fromDDL(f"{name}_words bigint, {name} {MATCH}")
 
-    def against(out: DataFrame, block: list[tuple[str | None, str]]) -> DataFrame:
+    def against(rows: DataFrame, block: list[tuple[str | None, str]]):
         sent = spark.sparkContext.broadcast(build_tests(block, window))
-        names.append(free_name([*kept, *names], f"__found{len(names)}"))
-        kind = T.StructType.fromDDL(f"{names[-1]}_words bigint, {names[-1]} {MATCH}")
-        return append_columns(out, text, partial(_matches, window, names[-1], sent), kind)
-
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where(F.col("t").isNotNull())
-    for r in items.toLocalIterator():
-        if block and size + len(r.t) // 2 > block_words:
-            out, block, size = against(out, block), [], 0
-        block.append((r.i, r.t))
-        size += len(r.t) // 2
-    out = against(out, block)
-    return out.select(*kept, F.col(f"{names[0]}_words").alias("n_words"), F.concat(*names).alias("matches"))
+        return append_columns(rows, text, partial(_matches, window, name, sent), kind), sent
+
+    blocks = _blocks(benchmark, block_words)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        return against(source, block)[0].select(*kept, F.col(f"{name}_words").alias("n_words"), F.col(name).alias("matches"))
+    row = free_name([*kept, name], "__row")
+    rows = stage(source.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    parts = []
+    for number, block in enumerate(itertools.chain([block, after], blocks)):
+        found, sent = against(rows.select(row, text), block)
+        found = found.select(row, F.col(f"{name}_words").alias("n"), F.lit(number).alias("number"), F.col(name).alias("m"))
+        parts.append(stage(found if number == 0 else found.where(F.size("m") > 0), "matches"))
+        sent.destroy()
+    union = reduce(DataFrame.unionByName, parts)
+    held = union.groupBy(row).agg(F.max(F.when(F.col("number") == 0, F.col("n"))).alias(f"{name}_words"), F.sort_array(F.collect_list(F.struct("number", "m"))).alias(name))
+    every = F.flatten(F.transform(name, lambda x: x["m"]))
+    return rows.join(held, row).orderBy(row).select(*kept, F.col(f"{name}_words").alias("n_words"), every.alias("matches"))
 
 
 def _covered(matches: F.Column) -> F.Column:

@@ -130,15 +130,6 @@ def _describe(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["doc_id", "n", "h1", "h2"])
 
 
-def _deal(number: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, places) of numbers dealt by a hash."""
-    bucket = (mix(number.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for k in np.flatnonzero(np.diff(cuts)):
-        yield int(k), order[cuts[k] : cuts[k + 1]]
-
-
 SIGNED = "shard long, ids binary, sigs binary, owner binary"
 
 

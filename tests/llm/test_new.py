@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import exact_dedup, language_id, lm_scoring, merkle, periodic_runs, queries, toxicity
+from docloom.llm import decontaminate, exact_dedup, language_id, lm_scoring, merkle, periodic_runs, queries, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -276,3 +277,33 @@ def test_lm_pair_expert_is_a_probability(spark):
         if seen:
             assert times.sum() <= seen
             assert all(t in (0, follow[word].get(w, 0)) for t, w in zip(times.tolist(), vocabulary, strict=True))
+
+
+def test_many_benchmark_blocks_are_one_live_broadcast_at_a_time(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("matches", F.lit(1))
+    docs = docs.unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    show = lambda df: sorted((str(r.doc_id), r.n_words, sorted(tuple(m) for m in r.matches)) for r in df.collect())
+    one = show(decontaminate.find_matches(docs, bench))
+    many = decontaminate.find_matches(docs, bench, block_words=300)
+    assert show(many) == one and any(m for *_, m in one)
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 0
+
+
+def test_pipeline_run_leaves_one_table(spark, tmp_path):
+    import corpus_pipeline
+    from docloom.storage import shared_dir
+
+    for t in ("documents", "labels", "benchmark"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        if t == "documents":
+            odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (5, None, None, None, None)], rows.schema)
+            rows = rows.unionByName(odd)
+        rows.write.parquet(str(tmp_path / f"{t}.parquet"))
+    tables = lambda: {p.name for p in Path(shared_dir(spark).removeprefix("file://")).glob("docloom-pipeline-*")}
+    before = tables()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == spark.read.parquet(str(tmp_path / "documents.parquet")).columns and 0 < out.count() < 203
+    assert out.where("text IS NULL").count() == 0
+    left = sorted(tables() - before)
+    assert len(left) == 1 and left[0].startswith("docloom-pipeline-mixing")
