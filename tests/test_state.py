@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom import streaming
-from docloom.operators import access, breaker, fetching, graph, postings, retrieval
+from docloom.functions import text as T
+from docloom.operators import access, breaker, classify, execution, fetching, graph, postings, retrieval
 from docloom.operators.substrings import SubstringIndex
 from docloom.sources import files
 from docloom.sources.tableset import Conflict, TableSet
@@ -288,3 +289,33 @@ def test_windows_and_sessions_as_streams(spark, tmp_path):
         streaming.run_available(stream, str(tmp_path / name), lambda df, n, name=name: got.setdefault(name, []).extend(tuple(r) for r in df.collect()))
     assert {(1, 2, 1), (1, 1, 2), (2, 1, 3)} <= set(got["sessions"])
     assert ("view", at(0), 3) in got["sliding"]
+
+
+def test_failures_block_what_depends_on_them(spark):
+    tasks = spark.createDataFrame([(i,) for i in range(1, 10)], "task long")
+    edges = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (6, 5), (7, 8), (8, 7), (8, 1)], "task long, needs long")
+    tries = spark.createDataFrame([(1, i, i == 4) for i in range(1, 5)] + [(3, 1, True), (5, 1, False), (5, 2, True)], "task long, attempt long, ok boolean")
+    want = {1: "failed", 2: "blocked", 3: "done", 4: "blocked", 5: "done", 6: "pending", 7: "blocked", 8: "blocked", 9: "pending"}
+    assert dict(rows(execution.states(tasks, edges, tries))) == want
+    assert {s for _, s in rows(execution.states(tasks, edges, tries.where("ok")))} == {"done", "pending"}
+
+
+def test_settings_in_force(spark):
+    edits = spark.createDataFrame([("a", "k", "old", 1), ("a", "k", "new", 3), ("a", "l", "x", 2), ("b", "k", "other", 9)], "preset string, kind string, value string, at long")
+    switches = spark.createDataFrame([("b", 1), ("a", 2)], "preset string, at long")
+    assert rows(execution.settings_in_force(edits, switches).select("kind", "value")) == [("k", "new"), ("l", "x")]
+
+
+def test_names_arrays_seals_and_rules(spark):
+    names = spark.createDataFrame([("a/b\\c.TXT",), ("\0x",), ("dir/",), ("..",), (".env",)], "n string")
+    got = names.select(T.base_name(F.col("n")).alias("b")).select("b", T.suffix(F.col("b"))).collect()
+    assert [tuple(r) for r in got] == [("c.TXT", ".txt"), ("x", ""), ("file", ""), ("file", ""), (".env", "")]
+    arrays = spark.createDataFrame([("x [1, 2] [3]",), ("none",)], "t string").select(T.json_array(F.col("t"))).collect()
+    assert [r[0] for r in arrays] == ["[1, 2]", ""]
+    keys = spark.createDataFrame([("text", "k" * 32, "l" * 32)], "t string, a string, b string").select("t", "a", "b", T.sealed(F.col("t"), F.col("a")).alias("s"))
+    assert tuple(keys.select(T.opened(F.col("s"), F.col("a")), T.opened(F.col("s"), F.col("b")), T.opened(F.lit("!"), F.col("a"))).first()) == ("text", None, None)
+    docs = spark.createDataFrame([(1, "ДОГОВОР и стороны"), (2, "x" * 5000 + " invoice"), (3, None), (4, "Паспорт"), (5, "a Report on a contract")], "doc_id long, text string")
+    by = classify.by_rules(docs, T.RULES, read=T.RULES_READ)
+    assert {r.doc_id: (r["class"], r.confidence, r.tagged) for r in by.collect()} == {1: ("contract", 1.0, True), 2: ("other", 0.0, False), 3: ("other", 0.0, False), 4: ("identity", 0.9, True), 5: ("contract", 0.9, True)}
+    sizes = spark.createDataFrame([(0, "a.pdf"), (10**9, "a.pdf"), (5, "a.exe"), (5, "a?.pdf"), (5, "A.PDF")], "s long, n string")
+    assert [r[0] for r in sizes.select(T.upload_verdict(F.col("s"), F.col("n"))).collect()] == ["empty", "too_large", "extension", "forbidden_character", "ok"]
