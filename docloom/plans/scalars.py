@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.plans._catalog import query
-from docloom.plans.views import v_document, v_link, v_page
+from docloom.plans.views import v_document, v_link, v_log, v_page
+from docloom.sources.web import since_last_check
 from docloom.storage import read_table
 
 _STRIP = r"regexp_replace({0}, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')"
@@ -109,6 +110,15 @@ def rss_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed_items(items, ["th", "EN"], 23)
 
 
+@query("""SELECT event_id FROM v_log LEFT JOIN (SELECT user_id, max(ts) AS last_check FROM v_log WHERE kind = 'view' AND user_id % 3 > 0 GROUP BY user_id) USING (user_id) WHERE ts >= last_check - INTERVAL 3 DAY""")
+def feed_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items no older than the look-back (three days here) before their source's last check; sources that were never
+    checked take those of the last days, which these tables don't have."""
+    log = v_log(spark, sf_dir)
+    checks = log.where("kind = 'view' AND user_id % 3 > 0").groupBy(F.col("user_id").alias("source")).agg(F.max("ts").alias("last_check"))
+    return since_last_check(log.select(F.col("user_id").alias("source"), F.col("ts").alias("published"), "event_id"), checks, 3).select("event_id")
+
+
 @query("SELECT doc_id, file_hash, 'emb:' || substr(file_hash, 1, 16) AS cache_key, substr(md5(text), 1, 12) AS short_id, substr(md5(text), 1, 16) AS long_id FROM v_document")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """content hash, cache key and short ids."""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +20,13 @@ SEGMENT = "path string, segment_index int, segment_type string, content string,
 #: The kinds of file that are parsed.
 KINDS = (".txt", ".md", ".csv", ".docx")
 ALLOWED_MEMBERS = (".txt", ".md", ".csv", ".docx", ".pdf", ".html", ".json")
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_OFFICE = "http://schemas.openxmlformats.org"
+_W = f"{{{_OFFICE}/wordprocessingml/2006/main}}"
+_NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+#: Fixed value: a page of fewer characters is taken for a picture.
+SCAN_UNDER = 50
+#: The texts of the pages of a file.
+Pages = Callable[[bytes], list[str]]
 
 
 def decode(data: bytes) -> str:
@@ -49,7 +58,7 @@ def _office_text(data: bytes) -> list[tuple[str, str]]:
     return out
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse(pages: Pages | None, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in batches:
         rows = []
         for path, data in zip(part["path"], part["content"], strict=True):
@@ -61,6 +70,8 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     found = _table_text(decode(data))
                 elif low.endswith((".txt", ".md")):
                     found = _paragraphs(decode(data))
+                elif low.endswith(".pdf") and pages is not None:
+                    found = [("page" if len(t.strip()) >= SCAN_UNDER else "scan", t) for t in pages(data)]
                 else:
                     raise ValueError("unsupported file type")
                 rows += [(path, i, k, c, None) for i, (k, c) in enumerate(found)]
@@ -69,9 +80,63 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENT.split(", ")])
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """Segments of files (path, content): paragraphs, table rows, office text. A file that can't be parsed is an error row."""
-    return files.select("path", "content").mapInPandas(_parse, SEGMENT)
+def parse_files(files: DataFrame, pages: Pages | None = None) -> DataFrame:
+    """Segments of files (path, content): paragraphs, table rows, office text. A file that can't be parsed is an error row.
+
+    ``pages`` gives the texts of a .pdf file's pages; a page with too little text to be more than a picture is a "scan",
+    which a recognition service should read. Without it such files are error rows.
+    """
+    return files.select("path", "content").mapInPandas(partial(_parse, pages), SEGMENT)
+
+
+def _core_properties(path: str, data: bytes) -> dict[str, str]:
+    if not path.lower().endswith(".docx"):
+        return {}
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            root = ElementTree.fromstring(z.read("docProps/core.xml"))
+    except (KeyError, zipfile.BadZipFile, ElementTree.ParseError):
+        return {}
+    return {e.tag.rsplit("}", 1)[-1]: e.text.strip() for e in root.iter() if e.text and e.text.strip()}
+
+
+def file_properties(files: DataFrame) -> DataFrame:
+    """(path, filename, extension, size, sha256, title, creator, created, modified) of files (path, content); what a word
+    processor's file says of itself, nulls for others and for broken ones."""
+    names = ["title", "creator", "created", "modified"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            found = [_core_properties(p, bytes(d)) for p, d in zip(part["path"], part["content"], strict=True)]
+            head = {"path": part["path"], "size": [len(d) for d in part["content"]], "sha256": [hashlib.sha256(bytes(d)).hexdigest() for d in part["content"]]}
+            yield pd.DataFrame(head | {n: [f.get(n) for f in found] for n in names}, dtype=object)
+
+    raw = files.select("path", "content").mapInPandas(run, "path string, size long, sha256 string, title string, creator string, created string, modified string")
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    return raw.select("path", name.alias("filename"), F.lower(F.regexp_extract(name, "([.][^.]*)$", 1)).alias("extension"), "size", "sha256", *names)
+
+
+def office_file(lines: list[str]) -> bytes:
+    """A word-processing file with a paragraph for each line."""
+    said = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(_NOT_XML.sub("", x))}</w:t></w:r></w:p>' for x in lines)
+    kinds = '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/>'
+    link = f'<Relationship Id="r1" Type="{_OFFICE}/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/>'
+    head, out = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>', io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{_OFFICE}/package/2006/content-types">{kinds}</Types>')
+        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{_OFFICE}/package/2006/relationships">{link}</Relationships>')
+        z.writestr("word/document.xml", f'{head}<w:document xmlns:w="{_W[1:-1]}"><w:body>{said}</w:body></w:document>')
+    return out.getvalue()
+
+
+def office_files(texts: DataFrame, text: str, into: str = "content") -> DataFrame:
+    """texts with a word-processing file of each text, a paragraph a line; a null text is an empty file."""
+
+    @F.pandas_udf("binary")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: office_file(t.split("\n") if isinstance(t, str) else []))
+
+    return texts.withColumn(into, run(F.col(text)))
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

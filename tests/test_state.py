@@ -1,7 +1,9 @@
 """Timed state, conditional fetching, tables that change together, substrings, paths, roles, posting lists."""
 
+import io
 import random
 import time
+import zipfile
 from datetime import datetime, timedelta
 
 import pytest
@@ -11,7 +13,7 @@ from docloom import streaming
 from docloom.functions import text as T
 from docloom.operators import access, breaker, classify, execution, fetching, graph, postings, retrieval
 from docloom.operators.substrings import SubstringIndex
-from docloom.sources import files
+from docloom.sources import files, web
 from docloom.sources.tableset import Conflict, TableSet
 
 START = datetime(2024, 1, 1)
@@ -319,3 +321,24 @@ def test_names_arrays_seals_and_rules(spark):
     assert {r.doc_id: (r["class"], r.confidence, r.tagged) for r in by.collect()} == {1: ("contract", 1.0, True), 2: ("other", 0.0, False), 3: ("other", 0.0, False), 4: ("identity", 0.9, True), 5: ("contract", 0.9, True)}
     sizes = spark.createDataFrame([(0, "a.pdf"), (10**9, "a.pdf"), (5, "a.exe"), (5, "a?.pdf"), (5, "A.PDF")], "s long, n string")
     assert [r[0] for r in sizes.select(T.upload_verdict(F.col("s"), F.col("n"))).collect()] == ["empty", "too_large", "extension", "forbidden_character", "ok"]
+
+
+def test_office_files_open_again_and_say_what_they_are(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "user: a < b & c\nbot: Ж \x01!"), (2, None), (3, "")], "id long, t string")
+    made = files.office_files(texts, "t").select(F.concat(F.lit("x/"), F.col("id").cast("string"), F.lit(".docx")).alias("path"), "content")
+    assert rows(files.parse_files(made).select("path", "content")) == [("x/1.docx", "bot: Ж !"), ("x/1.docx", "user: a < b & c")]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("docProps/core.xml", '<c:p xmlns:c="urn:c" xmlns:d="urn:d"><d:title>T</d:title><d:creator>A</d:creator></c:p>')
+    some = spark.createDataFrame([("a/B.DOCX", bytearray(data.getvalue())), ("c.docx", bytearray(b"broken")), ("d", bytearray(b""))], "path string, content binary")
+    got = {r.path: (r.filename, r.extension, r.title, r.creator) for r in files.file_properties(some).collect()}
+    assert got == {"a/B.DOCX": ("B.DOCX", ".docx", "T", "A"), "c.docx": ("c.docx", ".docx", None, None), "d": ("d", "", None, None)}
+    pdf = spark.createDataFrame([("p.pdf", bytearray(b"x" * 60 + b"\f" + b"short"))], "path string, content binary")
+    assert [r.segment_type for r in files.parse_files(pdf, lambda b: b.decode().split("\f")).orderBy("segment_index").collect()] == ["page", "scan"]
+    assert files.parse_files(pdf).first().segment_type == "error"
+
+
+def test_feeds_resolve_references_and_pick_the_page(spark):
+    atom = '<feed><entry><title>&#1046;&#x41;&apos;&amp;lt; &#38;</title><link rel="self" href="http://s/"/><link href="http://p/?a=1&amp;b=2" rel="alternate"/></entry><entry><link rel="enclosure" href="http://e/"/></entry></feed>'
+    got = web.read_feed(spark.createDataFrame([("a", atom)], "url string, xml string")).orderBy("place").collect()
+    assert [(r.title, r.link) for r in got] == [("ЖA'&lt; &", "http://p/?a=1&b=2"), (None, "http://e/")]
