@@ -67,14 +67,14 @@ def rebuild_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.withColumn("rebuild", (F.col("in_graph") < 0.8 * F.col("completed")) | (F.col("entities") < 10))
 
 
-@query("""SELECT user_id AS container, round(100.0 * arg_max(k, (ts, event_id)) / 128, 4) AS memory_percent, CAST(sum(k) FILTER (kind = 'view') AS BIGINT) AS received, CAST(sum(k) FILTER (kind = 'click') AS BIGINT) AS sent,
+@query("""SELECT user_id AS container, round(100.0 * arg_max(k, (ts, event_id)) / 128, 4) AS memory_percent, CAST(coalesce(sum(k) FILTER (kind = 'view'), 0) AS BIGINT) AS received, CAST(coalesce(sum(k) FILTER (kind = 'click'), 0) AS BIGINT) AS sent,
 CAST(coalesce(sum(k) FILTER (kind IN ('purchase', 'signup')), 0) AS BIGINT) AS blocks FROM v_log GROUP BY user_id""")
 def container_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memory in percent of its limit at the last sample, and sums of network and block counters."""
-    of = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), F.col("k")))
+    of = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), F.col("k")).otherwise(0))
     last = F.max_by("k", F.struct("ts", "event_id"))
     return v_log(spark, sf_dir).groupBy(F.col("user_id").alias("container")).agg(
-        F.round(100.0 * last / 128, 4).alias("memory_percent"), of("view").alias("received"), of("click").alias("sent"), F.coalesce(of("purchase", "signup"), F.lit(0)).alias("blocks")
+        F.round(100.0 * last / 128, 4).alias("memory_percent"), of("view").alias("received"), of("click").alias("sent"), of("purchase", "signup").alias("blocks")
     )
 
 
