@@ -50,6 +50,32 @@ def apply(rows: DataFrame, column: str, into: str, service: Service, kind: str)
     return rows.withColumn(into, run(F.col(column)))
 
 
+def apply_or(rows: DataFrame, column: str, into: str, service: Service, kind: str, instead, group: int = 10) -> DataFrame:
+    """As ``apply``, in groups of so many values; where the service fails, each value of the group is asked for alone, and
+    one that fails again gets ``instead``. So a value that can't be served costs no other one its result."""
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def alone(value: pd.Series) -> list:
+            try:
+                return list(service(value))
+            except Exception:  # of any service: what it raises isn't known here
+                return [instead]
+
+        for batch in batches:
+            out: list = []
+            for at in range(0, len(batch), group):
+                some = batch.iloc[at : at + group]
+                try:
+                    out += list(service(some))
+                except Exception:
+                    for i in range(len(some)):
+                        out += alone(some.iloc[i : i + 1])
+            yield pd.Series(out, dtype=object)
+
+    return rows.withColumn(into, run(F.col(column)))
+
+
 HANDLERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.adapters import apply_or
 from docloom.functions import text as T
-from docloom.operators import execution, graph, latest
+from docloom.operators import execution, extraction, graph, latest
 from docloom.operators import retrieval as R
 from docloom.plans._catalog import query
 from docloom.plans.views import v_document, v_log, v_mention, v_page, v_point
@@ -127,3 +129,42 @@ def type_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.col("said").isin("economy", "promo", "contract", "other")
     short = F.length("said") < 40
     return d.select("doc_id", F.when(known | short, F.col("said")).otherwise("other").alias("kind"), (~known & short).alias("is_new"))
+
+
+_CORE = {"email": "[A-Za-z0-9._-]{1,64}@[A-Za-z0-9-]+[.][A-Za-z]{2,}", "date": "[0-9]{4}-[0-9]{2}-[0-9]{2}", "number": "[0-9]{4,}"}
+_RELATIONS = {("email", "number"): "REACHED_AT", ("number", "email"): "REACHED_AT", ("date", "number"): "DATED", ("number", "number"): "LISTED_WITH", ("email", "email"): "WRITES_TO"}
+_EXTENDED = {"license": "[Ll]icense", "url": "https?://[A-Za-z0-9./_-]+", "acronym": "[A-Z]{3,}"}
+_CASE = lambda patterns, c: " ".join(["CASE", *(f"WHEN regexp_full_match({c}, '{p}') THEN '{k}'" for k, p in patterns.items()), "END"])
+
+
+@query(rf"""WITH d AS (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')) >= 20 AS long, string_split_regex(coalesce(text, ''), '{extraction.SENTENCE}') AS s FROM documents),
+e AS (SELECT doc_id, unnest(s) AS said, generate_subscripts(s, 1) AS line FROM d WHERE long),
+f AS (SELECT *, regexp_extract_all(said, '{extraction.any_of(_CORE)}') AS found FROM e),
+n AS (SELECT doc_id, line, name, {_CASE(_CORE, "name")} AS kind, place FROM (SELECT doc_id, line, unnest(found) AS name, generate_subscripts(found, 1) AS place FROM f)),
+p AS (SELECT doc_id, name, kind, lead(name) OVER w AS target, lead(kind) OVER w AS target_kind FROM n WINDOW w AS (PARTITION BY doc_id, line ORDER BY place)),
+r AS (SELECT doc_id, CASE kind || '>' || target_kind {" ".join(f"WHEN '{a}>{b}' THEN '{k}'" for (a, b), k in _RELATIONS.items())} END AS kind, name, target FROM p),
+x AS (SELECT doc_id, unnest(regexp_extract_all(said, '{extraction.any_of(_EXTENDED)}')) AS name FROM e)
+SELECT doc_id, what, kind, name, target, count(*) AS times FROM (SELECT doc_id, 'core' AS what, kind, name, NULL::VARCHAR AS target FROM n
+UNION ALL SELECT doc_id, 'fact', NULL, said, NULL FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k FROM f WHERE len(found) > 0) WHERE k <= 3
+UNION ALL SELECT doc_id, 'relation', kind, name, target FROM r WHERE kind IS NOT NULL
+UNION ALL SELECT doc_id, 'extended', {_CASE(_EXTENDED, "name")}, name, NULL FROM x
+UNION ALL SELECT doc_id, 'warning', NULL, 'too short', NULL FROM d WHERE NOT long) GROUP BY ALL""")
+def extract_three_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Core entities and facts, relations of neighbours in a sentence, further entities; by patterns, over whole texts."""
+    return extraction.three_passes(read_table(spark, sf_dir, "documents").select("doc_id", "text"), _CORE, _RELATIONS, _EXTENDED, gate="[0-9@]")
+
+
+def vowel_shares(texts: pd.Series) -> pd.Series:
+    """A small embedding that refuses what is longer than its window, as models do."""
+    if (texts.str.len() > 8000).any():
+        raise ValueError("over 8,000 characters")
+    return pd.Series([[t.count(v) / max(1, len(t)) for v in "aeio"] for t in texts])
+
+
+@query("""SELECT doc_id, length(text) > 8000 OR NOT regexp_matches(text, '[aeio]') AS zero, round(CASE WHEN length(text) > 8000 THEN 0 ELSE (length(text) - length(replace(text, 'a', ''))) / greatest(1, length(text)) END, 6) AS a,
+round(CASE WHEN length(text) > 8000 THEN 0 ELSE (length(text) - length(replace(text, 'e', ''))) / greatest(1, length(text)) END, 6) AS e FROM documents""")
+def embedding_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2: texts embedded in groups of ten; one that the service refuses gets the zero vector and costs no other one its own."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    v = apply_or(d, "text", "v", vowel_shares, "array<double>", [0.0] * 4)
+    return v.select("doc_id", F.forall("v", lambda x: x == 0).alias("zero"), F.round(F.col("v")[0], 6).alias("a"), F.round(F.col("v")[1], 6).alias("e"))
