@@ -12,7 +12,8 @@ from docloom.operators import execution, extraction, graph, latest
 from docloom.operators import retrieval as R
 from docloom.plans._catalog import query
 from docloom.plans.views import v_document, v_log, v_mention, v_page, v_point
-from docloom.storage import broadcast_small, read_table, stage
+from docloom.sources.tableset import TableSet
+from docloom.storage import broadcast_small, new_path, read_table, spread, stage
 
 
 @query("""WITH e AS (SELECT name, type, round(list_reduce(list(confidence ORDER BY doc_id, chunk_seq, confidence), lambda a, x: (a + x) / 2), 6) AS confidence, max(struct_pack(doc_id := doc_id, chunk_seq := chunk_seq)).doc_id * 10 + max(struct_pack(doc_id := doc_id, chunk_seq := chunk_seq)).chunk_seq AS last_chunk FROM v_mention GROUP BY name, type)
@@ -151,7 +152,7 @@ UNION ALL SELECT doc_id, 'extended', {_CASE(_EXTENDED, "name")}, name, NULL FROM
 UNION ALL SELECT doc_id, 'warning', NULL, 'too short', NULL FROM d WHERE NOT long) GROUP BY ALL""")
 def extract_three_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Core entities and facts, relations of neighbours in a sentence, further entities; by patterns, over whole texts."""
-    return extraction.three_passes(read_table(spark, sf_dir, "documents").select("doc_id", "text"), _CORE, _RELATIONS, _EXTENDED, gate="[0-9@]")
+    return extraction.three_passes(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), _CORE, _RELATIONS, _EXTENDED, gate="[0-9@]")
 
 
 def vowel_shares(texts: pd.Series) -> pd.Series:
@@ -168,3 +169,34 @@ def embedding_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     v = apply_or(d, "text", "v", vowel_shares, "array<double>", [0.0] * 4)
     return v.select("doc_id", F.forall("v", lambda x: x == 0).alias("zero"), F.round(F.col("v")[0], 6).alias("a"), F.round(F.col("v")[1], 6).alias("e"))
+
+
+_GONE = "(SELECT doc_id FROM v_document WHERE status = 'failed')"
+
+
+@query(f"""SELECT 'row' AS what, doc_id, 1 AS n FROM v_document WHERE doc_id NOT IN {_GONE} UNION ALL SELECT 'vector', id, 1 FROM v_point WHERE id NOT IN {_GONE}
+UNION ALL SELECT 'mention', doc_id, count(*) FROM v_mention WHERE doc_id NOT IN {_GONE} GROUP BY 2""")
+def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: failed documents deleted from rows, vectors and graph at once, by one manifest; what the three tables hold then."""
+    d = v_document(spark, sf_dir).select("doc_id", "status")
+    first = {"row": d, "vector": v_point(spark, sf_dir).select(F.col("id").alias("doc_id"), "label"), "mention": v_mention(spark, sf_dir).select("doc_id", "name", "type")}
+    tables = TableSet(spark, new_path(spark, "tables"))
+    tables.commit({name: lambda _, rows=rows: rows for name, rows in first.items()})
+    tables.delete_documents(d.where("status = 'failed'").select("doc_id"), dict.fromkeys(first, "doc_id"), "failed")
+    left = {name: tables.read(name) for name in first}
+    counted = left["mention"].groupBy("doc_id").agg(F.count("*").alias("n"))
+    each = [left[k].select(F.lit(k).alias("what"), "doc_id", F.lit(1).cast("long").alias("n")) for k in ("row", "vector")]
+    return each[0].unionByName(each[1]).unionByName(counted.select(F.lit("mention").alias("what"), "doc_id", "n"))
+
+
+@query("""WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1)
+SELECT coalesce(l.doc_id, p.id) AS id, CAST(CASE WHEN l.doc_id IS NULL THEN p.label ELSE l.quality END AS BIGINT) AS label, CAST(CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS version FROM v_point p FULL JOIN l ON l.doc_id = p.id""")
+def points_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: a batch of points put into the collection: known ids are replaced, new ones join; the batch sent again changes nothing."""
+    p = v_point(spark, sf_dir).select("id", F.col("label").cast("long").alias("label"), F.lit(0).cast("long").alias("version"))
+    new = read_table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("long").alias("label")).withColumn("version", F.lit(1).cast("long"))
+    tables, newest = TableSet(spark, new_path(spark, "points")), [F.desc("version")]
+    tables.put("points", p, ["id"], newest)
+    for _ in range(2):
+        tables.put("points", new, ["id"], newest, "relabelled")
+    return tables.read("points")
