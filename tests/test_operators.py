@@ -104,6 +104,40 @@ def test_neighbourhood_survives_cycles(spark):
     assert rows(got) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 1), ("a", "d", 2)]
 
 
+def test_neighbourhood_behind_a_hub_is_whole(spark):
+    pairs = [(f"s{i}", "hub") for i in range(3)] + [("hub", f"x{i:03}") for i in range(120)] + [("x000", "far"), ("far", "end"), ("s9", "x000"), ("s9", "far"), ("s8", "s8")]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    starts = ["s0", "s1", "s2", "s8", "s9", "hub"]
+    for depth in (1, 2, 3):
+        want = set()
+        for s in starts:
+            seen = {s: 0}
+            for hop in range(1, depth + 1):
+                for n in [n for n, h in seen.items() if h == hop - 1]:
+                    for m in near[n]:
+                        seen.setdefault(m, hop)
+            want |= {(s, n, h) for n, h in seen.items()}
+        got = graph.neighbourhood(spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([(s,) for s in starts], "node string"), depth)
+        assert rows(got) == sorted(want)
+
+
+def test_khop_query_leaves_no_neighbour_out(spark):
+    from docloom import plans
+    from docloom.plans.views import v_relation
+
+    edges = [(r.src, r.dst) for r in v_relation(spark, "/root/testdata/sf0.01").collect()]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {(s, n) for s in near if s.startswith("Supplier") for m in near[s] for n in {s, m} | near[m]}
+    got = rows(plans.queries()["khop_neighbors"](spark, "/root/testdata/sf0.01").select("start", "node"))
+    assert got == sorted(want)
+
+
 def test_visibility_order(spark):
     d = spark.createDataFrame([("d1", 1, 5), ("d2", 2, 6), ("d3", None, None)], "document_id string, owner_id long, group_id long")
     u = spark.createDataFrame([(1, False), (2, False), (9, True)], "user_id long, is_admin boolean")
