@@ -10,8 +10,8 @@ refined once more, by its exact count among training words and by how often it f
 averaged by weights that a gate (how often the word before was seen) selects, so that they stay a probability.
 
 All training texts teach all of it. The code comes from all their bytes. Then each task goes through its texts online, in
-chunks: each ``every``-th word of a chunk is predicted from what the chunks before it counted, which moves the mixing
-weights and adds to the adaptive tables; then all of the chunk is counted. Counts and tables are summed over the tasks, weights averaged by how much each task
+chunks: all of a chunk is predicted from what the chunks before it counted, which moves the mixing
+weights and adds to the adaptive tables; then it is counted. Counts and tables are summed over the tasks, weights averaged by how much each task
 saw of their gate. After that all is fixed, so a text's score doesn't depend on the other texts to score. The score is the
 log10 of the probability of all of the text; bits_per_byte is the same, by its bytes and end.
 
@@ -173,8 +173,7 @@ class Code:
             yield level, n, self.node[level].take(symbol[:n]), self.bit[level].take(symbol[:n])
 
 
-def states(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """What a pair of counts tells, as one of STATES: how many there are, and their odds in steps of half a unit."""
+def _states(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     n = n0 + n1
     if len(n) and n.max() > 4095:
         shift = np.maximum(0, np.frexp(n)[1] - 12)
@@ -183,6 +182,17 @@ def states(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return _SURE[np.minimum(n, 61)] + _ODDS[odds].astype(np.uint8)
 
 
+_SMALL = _states(*np.divmod(np.arange(4096), 64))
+
+
+def states(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """What a pair of counts tells, as one of STATES: how many there are, and their odds in steps of half a unit."""
+    out = _SMALL.take(((n0 & 63) << 6) | (n1 & 63))
+    if len(large := np.flatnonzero((n0 | n1) > 63)):
+        out[large] = _states(n0[large], n1[large])
+    return out
+
+
 def cuts_and_words(g: Grams, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first place, place of the cut behind) of each word, in order."""
     cut = _CUT[(g.key & np.uint64(0xFF)).astype(np.int64)]
@@ -255,15 +265,16 @@ class Mixer:
             mixed += x[o] * weights[o].take(gate)
         return gate, x, np.clip(mixed, -12, 12)
 
-    def refined(self, node: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(probability, nearest bucket) of decisions at nodes of the code."""
+    def refined(self, node: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(probability, nearest bucket, probability before it is refined) of decisions at nodes of the code."""
         at = np.clip(mixed, -7.999, 7.999) * 2 + 16
         low = at.astype(np.int64)
         part = at - low
         slot = node.astype(np.int64) * BUCKETS + low
         flat = self.refine.reshape(-1)
-        p = 0.5 / (1 + np.exp(-mixed)) + 0.5 * (flat[slot] * (1 - part) + flat[slot + 1] * part)
-        return np.clip(p, 1e-6, 1 - 1e-6), slot + (part > 0.5)
+        plain = 1 / (1 + np.exp(-mixed))
+        p = 0.5 * plain + 0.5 * (flat[slot] * (1 - part) + flat[slot + 1] * part)
+        return np.clip(p, 1e-6, 1 - 1e-6), slot + (part > 0.5), plain
 
 
 class Pairs:
@@ -290,10 +301,10 @@ class Pairs:
 
 
 class Learner:
-    """One task's counts so far and the mixer that they teach. All is counted; each ``every``-th word is predicted first."""
+    """One task's counts so far and the mixer that they teach. All is predicted, then counted."""
 
-    def __init__(self, code: Code, cut: np.ndarray, every: int) -> None:
-        self.code, self.cut, self.every, self.mixer = code, cut, every, Mixer()
+    def __init__(self, code: Code, cut: np.ndarray) -> None:
+        self.code, self.cut, self.mixer = code, cut, Mixer()
         self.table = np.zeros(2 * SLOTS, np.int32)  # of each slot, how many 0s and 1s
         # word and pair counts of this task alone, by hash: they only teach the experts' shares
         self.word, self.pair, self.n = np.zeros(1 << 20, np.int32), Pairs(21), 0
@@ -310,12 +321,12 @@ class Learner:
                 counts = (both[_slot(o, c[:k], node)].view(np.int32).reshape(-1, 2).T for o, c in enumerate(contexts))
                 state = np.stack([states(*c) for c in counts])
                 gate, x, mixed = m.mix(state, b)
-                p, bucket = m.refined(node, mixed)
+                p, bucket, plain = m.refined(node, mixed)
                 log[:k] += np.log10(np.where(bit == 1, p, 1 - p))
                 n = often[:k]
                 weight = np.bincount(gate, n, GATES)
                 m.seen += weight.astype(np.int64)
-                step = (np.minimum(1.0, 24 / np.maximum(1, weight)) * rate)[gate] * n * (bit - 1 / (1 + np.exp(-mixed)))
+                step = (np.minimum(1.0, 24 / np.maximum(1, weight)) * rate)[gate] * n * (bit - plain)
                 for o in range(ORDERS + 1):
                     m.weights[:, o] += np.bincount(gate, step * x[o], GATES)
                 m.near += np.bincount(bucket * 2 + bit, n, 256 * BUCKETS * 2).astype(np.int64)
@@ -339,13 +350,7 @@ class Learner:
         first, back = distinct(g.names())
         each, times = g[first], np.bincount(back, minlength=len(first))
         row, begin, end = cuts_and_words(g, starts)
-        taken = np.zeros(len(g) + 1, np.int8)  # places of the words that aren't predicted
-        other = np.arange(len(begin)) % self.every > 0
-        taken[begin[other]] += 1
-        taken[end[other] + 1] -= 1
-        asked = np.bincount(back[np.cumsum(taken[:-1]) == 0], minlength=len(first))
-        known = np.zeros(len(first))
-        known[asked > 0] = self.predict(each[asked > 0], asked[asked > 0], 0.02 / (1 + self.n / 400_000) ** 0.5)
+        known = self.predict(each, times, 0.02 / (1 + self.n / 400_000) ** 0.5)
         self.count(each, times)
         value = np.concatenate([[0], np.cumsum(known[back])])
         h = g.word[end]
@@ -357,7 +362,7 @@ class Learner:
             gate = word_gate(seen)
             chance = np.stack([10 ** (value[end + 1] - value[begin]), self.word[at] / max(1, self.n) * q, np.where(seen > 0, np.minimum(1, self.pair.get(pair) / np.maximum(1, seen)), 0) * q])
             chance *= self.mixer.share[gate].T
-            chance = np.where(other, 0, chance / np.maximum(chance.sum(axis=0), 1e-300))
+            chance /= np.maximum(chance.sum(axis=0), 1e-300)
             for k in range(EXPERTS):
                 self.mixer.shares[:, k] += np.bincount(gate, chance[k], WORD_GATES)
             np.add.at(self.word, at, np.ones(len(h), np.int32))
@@ -430,9 +435,9 @@ def _pair_place(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 BLOCKS = "block long, data binary"
 
 
-def _learn(code: Code, cut: np.ndarray, every: int, batches: Iterator[pa.RecordBatch], flush: int = 1_400_000) -> Iterator[pa.RecordBatch]:
+def _learn(code: Code, cut: np.ndarray, batches: Iterator[pa.RecordBatch], flush: int = 1_400_000) -> Iterator[pa.RecordBatch]:
     """One task's counts, a row for each block that has any, and its adaptive tables."""
-    learner, held, size, chunk = Learner(code, cut, every), [], 0, CHUNK >> 3
+    learner, held, size, chunk = Learner(code, cut), [], 0, CHUNK >> 3
     row = lambda block, data: pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["block", "data"])
 
     def pairs() -> Iterator[pa.RecordBatch]:
@@ -540,7 +545,7 @@ class ContextModel:
             contexts, total = _contexts(part), np.zeros(len(part))
             for b, k, node, bit in self.code.decisions(part):
                 state = np.stack([self.state[_slot(o, c[:k], node)] for o, c in enumerate(contexts)])
-                p, _ = self.mixer.refined(node, self.mixer.mix(state, b)[2])
+                p, *_ = self.mixer.refined(node, self.mixer.mix(state, b)[2])
                 total[:k] += np.log10(np.where(bit == 1, p, 1 - p))
             out[order[at : at + 16384]] = total
         return out
@@ -591,8 +596,8 @@ class Scorer:
         return rest, np.log10(both), np.log10(share[:, 1] * q) - np.log10(both)
 
 
-def train(docs: DataFrame, every: int = 8, text: str = "text") -> ContextModel:
-    """A model from all texts of docs: all is counted, and each ``every``-th word of a chunk moves the mixer.
+def train(docs: DataFrame, text: str = "text") -> ContextModel:
+    """A model from all texts of docs: all of them moves the mixer and is counted.
 
     Null texts count as empty ones. Without rows, every decision has even odds.
     """
@@ -606,7 +611,7 @@ def train(docs: DataFrame, every: int = 8, text: str = "text") -> ContextModel:
     cut /= cut.sum()
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     salt = F.pmod(F.xxhash64("data"), F.lit(max(1, n // 16)))  # of the rows alone, so that a repeated task deals as before
-    first = source.mapInArrow(partial(_learn, code, cut, every), BLOCKS).repartition(n, "block", salt).mapInPandas(partial(_sum_blocks, False), BLOCKS)
+    first = source.mapInArrow(partial(_learn, code, cut), BLOCKS).repartition(n, "block", salt).mapInPandas(partial(_sum_blocks, False), BLOCKS)
     summed = stage(first.repartition(n, "block").mapInPandas(partial(_sum_blocks, True), BLOCKS), "model")
     model = ContextModel(code, cut, int(times[256]), {r["block"]: bytes(r["data"]) for r in summed.toLocalIterator()})  # STATS + 1 rows
     unstage(summed)
@@ -757,7 +762,7 @@ def _add_rare(scale: float, n_words: int):
     return run
 
 
-def score(docs: DataFrame, folds: int = 10, every: int = 8, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, text: str = "text") -> DataFrame:
     """For each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
 
     Rows whose crc32 of doc_id mod folds isn't 0 teach the counts and the model. Null texts count as empty: one token,
@@ -767,7 +772,7 @@ def score(docs: DataFrame, folds: int = 10, every: int = 8, text: str = "text")
     spark = docs.sparkSession
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
     taught = remainder(F.col("doc_id"), folds) != 0
-    model = train(source.where(taught), every)
+    model = train(source.where(taught))
     sent = spark.sparkContext.broadcast(model)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     counted = source.select("text", taught.alias("taught")).mapInArrow(_word_counts, "shard long, hash binary, n binary, c binary")

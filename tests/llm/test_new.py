@@ -307,3 +307,16 @@ def test_pipeline_run_leaves_one_table(spark, tmp_path):
     assert out.where("text IS NULL").count() == 0
     left = sorted(tables() - before)
     assert len(left) == 1 and left[0].startswith("docloom-pipeline-mixing")
+
+
+def test_lm_mixer_and_shares_come_from_every_word(spark):
+    """Each decision of each symbol for training takes a step of the mixer, and each word one of the experts' shares."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = lm_scoring.train(docs)
+    data = [((r.text or "").encode(), len((r.text or "").split())) for r in docs.collect()]
+    times = sum((np.bincount(np.frombuffer(t.lower(), np.uint8), minlength=256) for t, _ in data), np.zeros(256, np.int64))
+    times[lm_scoring.END] += len(data)
+    decisions = int((times * model.code.length).sum())
+    assert model.mixer.seen.sum() == decisions
+    assert model.mixer.near.sum() == decisions and model.mixer.met.sum() == lm_scoring.ORDERS * decisions
+    assert abs(model.mixer.shares.sum() - model.n_words) < 1
