@@ -7,7 +7,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,9 @@ _BLANK = re.compile(" ")
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
 FIXED = "doc_id long, chunk_index int, start_pos int, end_pos int, content string"
 RECURSIVE = "doc_id long, chunk_index int, content string"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+#: Characters of chunks that a task holds before it gives them back.
+_HELD = 4_000_000
 
 
 def fixed_windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
@@ -79,23 +82,33 @@ def recursive_chunks(text: str, size: int, overlap: int, separators: list[str] |
     yield from _pack(small, size, overlap)
 
 
-def _run(kind: str, size: int, overlap: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in batches:
-        rows = []
-        for doc, text in zip(part["doc_id"], part["text"], strict=True):
-            found = (fixed_windows if kind == "fixed" else recursive_chunks)(text or "", size, overlap)
-            rows += [(doc, i, *c) if kind == "fixed" else (doc, i, c) for i, c in enumerate(found)]
-            if len(rows) > 20_000:
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in (FIXED if kind == "fixed" else RECURSIVE).split(", ")])
-                rows = []
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in (FIXED if kind == "fixed" else RECURSIVE).split(", ")])
+def _run(kind: str, size: int, overlap: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of each batch's texts, given back whenever so many characters are held; one text at a time is a Python string."""
+    names, find = (FIXED, fixed_windows) if kind == "fixed" else (RECURSIVE, recursive_chunks)
+    schema = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in names.split(", "))])
+    rows, held = [], 0
+
+    def packed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+            doc = doc.as_py()
+            for i, c in enumerate(find(text.as_py() or "", size, overlap)):
+                rows.append((doc, i, *c) if kind == "fixed" else (doc, i, c))
+                held += len(rows[-1][-1])
+                if held > _HELD:
+                    yield packed()
+                    rows, held = [], 0
+    if rows:
+        yield packed()
 
 
 def chunk(docs: DataFrame, kind: str = "recursive", size: int = 1000, overlap: int = 200) -> DataFrame:
     """Chunks of each document (doc_id, text); overlap must be under half of size, or windows might not advance."""
     if not 0 <= 2 * overlap < size:
         raise ValueError("overlap must be at least 0 and under half of size")
-    return docs.select("doc_id", "text").mapInPandas(partial(_run, kind, size, overlap), FIXED if kind == "fixed" else RECURSIVE)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(partial(_run, kind, size, overlap), FIXED if kind == "fixed" else RECURSIVE)
 
 
 def numbered(chunks: DataFrame) -> DataFrame:

@@ -98,6 +98,18 @@ def test_entity_keepers_are_idempotent(spark):
     assert rows(once) == [(2, 3)] and rows(graph.remap(once, k)) == [(2, 3)]
 
 
+def test_chunks_leave_a_task_in_small_batches():
+    import pyarrow as pa
+
+    texts = ["word " * 300_000, "", None] * 4
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(texts)], names=["doc_id", "text"])
+    for kind, find in (("fixed", chunking.fixed_windows), ("recursive", chunking.recursive_chunks)):
+        found = list(chunking._run(kind, 1000, 200, iter([batch])))
+        assert len(found) > 1 and max(sum(map(len, b.column("content").to_pylist())) for b in found) < 5_000_000
+        got = [tuple(r.values()) for b in found for r in b.to_pylist()]
+        assert got == [(d, i, *c) if kind == "fixed" else (d, i, c) for d, t in enumerate(texts) for i, c in enumerate(find(t or "", 1000, 200))]
+
+
 def test_neighbourhood_survives_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     got = graph.neighbourhood(e, spark.createDataFrame([("a",)], "node string"), 2)
