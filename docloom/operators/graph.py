@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators.latest import last_n, look_up
+from docloom.operators.latest import last_n, look_up, salted
 from docloom.operators.substrings import SubstringIndex
-from docloom.storage import broadcast_small, stage
+from docloom.storage import broadcast_small, dealt, stage
 
 
 def normalized(name: Column) -> Column:
@@ -19,8 +19,9 @@ def merge_entities(mentions: DataFrame) -> DataFrame:
 
     Confidences have two decimals; they are summed as whole hundredths, so the mean doesn't depend on the order of rows.
     """
-    mean = F.sum(F.round(F.col("confidence") * 100).cast("long")) / (100.0 * F.count("*"))
-    return mentions.groupBy("name", "type").agg(F.round(mean, 6).alias("confidence"), F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_mentions"))
+    of_doc = mentions.groupBy("doc_id", "name", "type").agg(F.sum(F.round(F.col("confidence") * 100).cast("long")).alias("sum"), F.count("*").alias("n"))
+    mean = F.sum("sum") / (100.0 * F.sum("n"))
+    return of_doc.groupBy("name", "type").agg(F.round(mean, 6).alias("confidence"), F.count("doc_id").alias("n_docs"), F.sum("n").alias("n_mentions"))
 
 
 def aggregate_folds(mentions: DataFrame) -> DataFrame:
@@ -55,17 +56,21 @@ def remap(edges: DataFrame, keeper: DataFrame) -> DataFrame:
     return moved.where(F.col("src") != F.col("dst")).distinct()
 
 
-def colinks(mentions: DataFrame) -> DataFrame:
+def colinks(mentions: DataFrame, rows: int, most: int = 1000) -> DataFrame:
     """Pairs of entities of different types with the number of documents that mention both.
 
-    Mentions are made distinct per document first; only entities of one document meet. Those of a document are dealt by
-    their names, so a document with very many is paired by many tasks.
+    Mentions, of so many rows, are dealt once by document, made distinct and paired where they are. Only documents with over
+    ``most`` entities are dealt again by names, so such a document is paired by many tasks.
     """
-    m = mentions.select("doc_id", "name", "type").distinct()
-    a = m.select("doc_id", F.col("name").alias("name_a"), F.col("type").alias("type_a"))
-    b = m.select("doc_id", F.col("name").alias("name_b"), F.col("type").alias("type_b"))
-    pairs = look_up(a, b, ["doc_id"], "name_a").where(F.col("type_a") < F.col("type_b"))
-    return pairs.groupBy("name_a", "type_a", "name_b", "type_b").agg(F.count("*").alias("n_docs"))
+    m = dealt(mentions.select("doc_id", "name", "type"), rows, "doc_id").distinct()
+    m = m.withColumn("size", F.count("*").over(Window.partitionBy("doc_id")))
+
+    def side(which: str, where: Column) -> DataFrame:
+        return m.where(where).select("doc_id", F.col("name").alias(f"name_{which}"), F.col("type").alias(f"type_{which}"))
+
+    few, many = F.col("size") <= most, F.col("size") > most
+    pairs = side("a", few).join(side("b", few).hint("merge"), "doc_id").unionByName(salted(side("a", many), side("b", many), ["doc_id"], "name_a"))
+    return pairs.where(F.col("type_a") < F.col("type_b")).groupBy("name_a", "type_a", "name_b", "type_b").agg(F.count("*").alias("n_docs"))
 
 
 def neighbourhood(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
@@ -150,9 +155,13 @@ def chunks_by_terms(mentions: DataFrame, terms: DataFrame, index: SubstringIndex
     return counted.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most).select("query_id", "chunk_id", "doc_id", "entity_count", "place")
 
 
-def delete_document(mentions: DataFrame, gone: DataFrame) -> DataFrame:
-    """What is left of the entities without some documents: their mentions go, and entities without mentions too."""
-    return merge_entities(mentions.join(gone, "doc_id", "left_anti"))
+def delete_document(mentions: DataFrame, gone: DataFrame, rows: int) -> DataFrame:
+    """What is left of the entities without some documents: their mentions go, and entities without mentions too.
+
+    Mentions are of so many rows; they are dealt once by document, and only sums by entity are shuffled behind that.
+    """
+    left = dealt(mentions.select("doc_id", "name", "type", "confidence"), rows, "doc_id").join(dealt(gone.select("doc_id"), rows, "doc_id"), "doc_id", "left_anti")
+    return merge_entities(left)
 
 
 def rebuild(current: DataFrame, extracted: DataFrame, again: DataFrame, first_chunks: int) -> DataFrame:

@@ -38,5 +38,10 @@ def look_up(rows: DataFrame, found: DataFrame, keys: list[str], spread: str, sal
     """
     if (small := broadcast_small(found, most)) is not found:
         return rows.join(small, keys)
+    return salted(rows, found, keys, spread, salts)
+
+
+def salted(rows: DataFrame, found: DataFrame, keys: list[str], spread: str, salts: int = 16) -> DataFrame:
+    """rows joined with found, a key's rows in ``salts`` tasks, each with all that found has of the key."""
     copies = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(copies, [*keys, "__salt"]).drop("__salt")

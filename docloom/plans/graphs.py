@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.operators import graph, latest
 from docloom.plans._catalog import VIEW_SQL, query
 from docloom.plans.views import v_document, v_entity, v_log, v_mention, v_point, v_relation
-from docloom.storage import read_table
+from docloom.storage import dealt, read_table
 
 VIEW_SQL["v_named"] = "SELECT c_custkey AS id, CASE c_custkey % 2 WHEN 0 THEN ' ' ELSE '' END || CASE c_custkey % 3 WHEN 0 THEN 'ENTITY ' ELSE 'Entity ' END || (c_custkey % 40) AS name, c_mktsegment AS type, round(c_acctbal / 10000, 4) AS confidence FROM customer"
 
@@ -26,14 +26,16 @@ def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("status"))
     has_chunk = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("chunk_seq"), F.col("l_partkey").alias("p_partkey"))
     mentions = read_table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("name"), F.col("p_type").alias("type"))
-    return d.join(has_chunk, "doc_id").join(mentions, "p_partkey").groupBy("doc_id", "status", "chunk_seq", "name", "type").agg(F.count("*").alias("n"))
+    n = has_chunk.count()
+    named = dealt(has_chunk.join(mentions, "p_partkey").drop("p_partkey"), n, "doc_id")  # entities by document are grouped where documents are joined
+    return dealt(d, n, "doc_id").join(named, "doc_id").groupBy("doc_id", "status", "chunk_seq", "name", "type").agg(F.count("*").alias("n"))
 
 
 @query("""WITH m AS (SELECT DISTINCT doc_id, name, type FROM v_mention) SELECT a.name AS name_a, a.type AS type_a, b.name AS name_b, b.type AS type_b, count(*) AS n_docs
 FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.type < b.type GROUP BY ALL""")
 def colink_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities of different types that documents mention together."""
-    return graph.colinks(v_mention(spark, sf_dir))
+    return graph.colinks(v_mention(spark, sf_dir), read_table(spark, sf_dir, "lineitem").count())
 
 
 _KEEP = "SELECT id, first_value(id) OVER (PARTITION BY lower(trim(name)), type ORDER BY confidence DESC, id) AS keeper FROM v_named"
@@ -199,7 +201,7 @@ def khop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_delete_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph without some documents."""
     gone = read_table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"))
-    return graph.delete_document(v_mention(spark, sf_dir), gone)
+    return graph.delete_document(v_mention(spark, sf_dir), gone, read_table(spark, sf_dir, "lineitem").count())
 
 
 @query("SELECT p_type AS preset, p_brand AS kind, count(*) AS n_keys, count(DISTINCT p_size) AS n_sizes FROM part GROUP BY ALL")

@@ -110,6 +110,29 @@ def test_chunks_leave_a_task_in_small_batches():
         assert got == [(d, i, *c) if kind == "fixed" else (d, i, c) for d, t in enumerate(texts) for i, c in enumerate(find(t or "", 1000, 200))]
 
 
+def test_colinks_of_documents_of_any_size(spark):
+    mentions = [(1, f"n{i}", f"t{i % 3}") for i in range(9)] + [(2, "n1", "t1"), (2, "n2", "t2"), (2, "n2", "t2"), (3, "n1", "t1")]
+    want = {}
+    for d in (1, 2, 3):
+        own = sorted({m[1:] for m in mentions if m[0] == d})
+        for a in own:
+            for b in own:
+                if a[1] < b[1]:
+                    want[(*a, *b)] = want.get((*a, *b), 0) + 1
+    got = graph.colinks(spark.createDataFrame(mentions, "doc_id long, name string, type string"), len(mentions), most=4)
+    assert rows(got) == sorted((*k, n) for k, n in want.items())
+
+
+def test_tasks_of_mentions_grow_in_number_not_in_size(spark):
+    from docloom import plans
+    from docloom.storage import dealt
+
+    assert dealt(spark.range(10), 5_000_001, "id").rdd.getNumPartitions() == 11
+    for name in ("document_entities", "graph_delete_doc", "colink_pairs"):
+        plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan, name
+
+
 def test_neighbourhood_survives_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     got = graph.neighbourhood(e, spark.createDataFrame([("a",)], "node string"), 2)
