@@ -2,25 +2,49 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.storage import spread
+
+_PLAIN = re.compile(r"\([^()|]+(?:\|[^()|]+)*\)")
+
+
+def without_cyrillic(pattern: str) -> str | None:
+    """A pattern that finds the same in texts without a Cyrillic letter; None if it can't find anything there.
+
+    Of a plain list of alternatives those go that hold such a letter outside of brackets and not as an option: no letter of
+    another script equals it when case is ignored. Any other pattern stays as it is.
+    """
+    if not _PLAIN.fullmatch(pattern) or r"\|" in pattern or r"\[" in pattern:
+        return pattern
+    kept = [a for a in pattern[1:-1].split("|") if not re.search(r"[\u0400-\u04FF](?![?*{])", re.sub(r"\[[^\]]*\]", "#", a))]
+    return f"({'|'.join(kept)})" if kept else None
+
 
 def by_rules(docs: DataFrame, rules: list[tuple[str, str, float]], text: str = "text", tag_over: float = 0.5, read: int | None = None) -> DataFrame:
     """docs with class, confidence and tagged. All rules are tested in one pass over a row; nothing is exploded.
 
-    Patterns ignore case, in every script. ``read``: look at the first so many characters only.
+    Patterns ignore case, in every script. ``read``: look at the first so many characters only. Whether a text has a Cyrillic
+    letter is looked up once; patterns that need one aren't tried on others.
     """
+    docs = spread(docs)
     seen = F.col(text) if read is None else F.substring(text, 1, read)
+    docs, names = docs.withColumn("__cyrillic", seen.rlike(r"\p{IsCyrillic}")), docs.columns
     sums: dict = {}
     for kind, pattern, weight in rules:
-        sums[kind] = sums.get(kind, F.lit(0.0)) + F.when(seen.rlike(f"(?iu){pattern}"), weight).otherwise(0.0)
+        met = F.col("__cyrillic") & seen.rlike(f"(?iu){pattern}")
+        if (other := without_cyrillic(pattern)) is not None:
+            met = F.when(F.col("__cyrillic"), seen.rlike(f"(?iu){pattern}")).otherwise(seen.rlike(f"(?iu){other}"))
+        sums[kind] = sums.get(kind, F.lit(0.0)) + F.when(met, weight).otherwise(0.0)
     scores = F.array(*[F.struct(F.round(s, 6).alias("score"), F.lit(-i).alias("first"), F.lit(k).alias("class")) for i, (k, s) in enumerate(sums.items())])
     best = F.array_max(scores)
     out = docs.withColumn("__best", best)
     none = F.coalesce(F.col("__best.score"), F.lit(0.0)) == 0
     return out.select(
-        *docs.columns, F.when(none, "other").otherwise(F.col("__best.class")).alias("class"),
+        *names, F.when(none, "other").otherwise(F.col("__best.class")).alias("class"),
         F.least(F.lit(1.0), F.coalesce("__best.score", F.lit(0.0))).alias("confidence"), (F.coalesce("__best.score", F.lit(0.0)) > tag_over).alias("tagged"),
     )
 

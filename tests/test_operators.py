@@ -133,6 +133,21 @@ def test_tasks_of_mentions_grow_in_number_not_in_size(spark):
         assert "REPARTITION_BY_NUM" in plan, name
 
 
+def test_rules_are_tried_only_where_they_can_match(spark):
+    from docloom.operators import classify
+
+    assert classify.without_cyrillic("(плат[её]ж|чек)") is None and classify.without_cyrillic("(отч[её]т|report|анализ)") == "(report)"
+    assert classify.without_cyrillic("(а?b|c[а-я]d|x)") == "(а?b|c[а-я]d|x)" and classify.without_cyrillic("(?!я)z") == "(?!я)z"
+    texts = ["", None, "ДОГОВОР", "Contract", "Report Чек", "ſform", "REPORT", "статья 5 passport", "ОТЧЁТ", "latin only", "\u1c80чек"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: round(r.confidence, 6) for r in classify.by_rules(docs, T.RULES).collect()}
+    each = {i: {} for i in got}
+    for kind, pattern, weight in T.RULES:
+        for r in docs.where(F.col("text").rlike(f"(?iu){pattern}")).collect():
+            each[r.doc_id][kind] = each[r.doc_id].get(kind, 0) + weight
+    assert got == {i: round(min(1.0, max(s.values(), default=0.0)), 6) for i, s in each.items()}
+
+
 def test_neighbourhood_survives_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     got = graph.neighbourhood(e, spark.createDataFrame([("a",)], "node string"), 2)
