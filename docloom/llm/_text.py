@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,23 @@ ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 _RANDOM = np.random.default_rng(20240501)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
+#: What a Python worker keeps between tasks of one step, and the step that its last task was of.
+KEPT: list[dict] = []
+_STEP_OF: list[str] = [""]
+
+
+def begin(step: str) -> None:
+    """As a task of a step begins: what tasks of other steps left in this Python worker goes, back to the system."""
+    if _STEP_OF[0] == step:
+        return
+    _STEP_OF[0] = step
+    for kept in KEPT:
+        kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # not every C library has it
+        trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
-Each shard (some megabytes of whole documents inside a task) gets a suffix array over its words: its word positions in
+Each shard (half a megabyte of whole documents inside a task) gets a suffix array over its words: its word positions in
 the order of all the words that follow them, up to the document's end or the first word that no test has. Only positions
 that can begin a match are kept, which are those followed by as many benchmark words as the shortest window has. Every
 suffix of every benchmark item that begins a window is binary-searched in every shard's array; each occurrence that can't
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm._split import append_columns, free_name
-from docloom.llm._text import ALNUM, chunks, words
+from docloom.llm._text import ALNUM, begin, chunks, words
 from docloom.storage import stage
 
 WINDOW = 10
@@ -144,6 +144,7 @@ def extend(tests: Tests, which: np.ndarray, at: np.ndarray, numbers: np.ndarray,
 
 
 def _matches(window: int, name: str, sent, texts: pa.Array) -> dict[str, list]:
+    begin("decontaminate")
     tests, counted, found = sent.value, [], []
     least = int(tests.sizes.min()) if len(tests.sizes) else 1
     for a, b, data, offsets in chunks(texts):

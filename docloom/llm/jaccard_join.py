@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm._components import components
-from docloom.llm._text import SPACED, chunks, mix, runs, words
+from docloom.llm._text import SPACED, begin, chunks, mix, runs, words
 from docloom.storage import stage, unstage
 
 WORDS, PERCENT = 5, 80
@@ -120,6 +120,7 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _describe(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin("describe")
     for batch in batches:
         n, h1, h2 = [], [], []
         for _, _, data, offsets in chunks(batch.column(1)):
@@ -135,6 +136,7 @@ SIGNED = "shard long, ids binary, sigs binary, owner binary"
 
 def _sign(size: int, percent: int, shards: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Signatures of texts, packed by shard: entries, the low 32 bits of each signature and whose it is."""
+    begin("sign")
     held: list[tuple[int, np.ndarray]] = []
 
     def packed() -> pa.RecordBatch:
@@ -171,6 +173,7 @@ GROUPS = "gid long, block int, members array<long>"
 
 def _group(rows: pd.DataFrame) -> pd.DataFrame:
     """The distinct groups of two or more entries that share a signature of one shard, in blocks of sorted entries."""
+    begin("group")
     ids, sigs, owner, base = [], [], [], 0
     for r in rows.itertuples(index=False):
         ids.append(np.frombuffer(r.ids, np.int64))
@@ -201,6 +204,7 @@ def _group(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sketched(size: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin("sketch")
     for batch in batches:
         sets = [s for _, _, data, offsets in chunks(batch.column(1)) for s in shingles(data, offsets, size)]
         columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, percent).tobytes() if len(s) else b"" for s in sets], pa.binary())]
@@ -280,6 +284,7 @@ def _rivals(most: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Itera
 
 def _compare(size: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among rows (a, b, part, text) in which texts of a, with a null b, come before those of their partners."""
+    begin("compare")
     leader, own = None, []
     for batch in batches:
         a, b, part = (batch.column(i).to_pylist() for i in range(3))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm._split import append_columns, bounded_sample, remainder
+from docloom.llm._text import begin
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -223,6 +224,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(sent, column: pa.Array) -> dict:
+        begin("language")
         langs, score, rejected = [], [], []
         for at in range(0, len(column), 500):
             a, b, c = predict(column.slice(at, 500).to_pylist(), sent.value)

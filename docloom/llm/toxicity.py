@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm._split import append_columns, bounded_sample, remainder
+from docloom.llm._text import KEPT, begin
 
 WIDTH = 24
 COST = 0.1
@@ -287,6 +288,7 @@ def fit(texts: list[str | None], toxic: list[int], landmarks: int = 40, cost: fl
 
 
 _POOLS: dict[int, _Pooling] = {}
+KEPT.append(_POOLS)
 
 
 def scores(texts: list[str | None], model: ToxicityModel, key: int = 0) -> np.ndarray:
@@ -325,6 +327,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(sent, column: pa.Array) -> dict:
+        begin("toxicity")
         found = np.zeros(len(column))
         for at in range(0, len(column), 500):
             found[at : at + 500] = scores(column.slice(at, 500).to_pylist(), sent.value)
