@@ -131,8 +131,13 @@ def _contexts(g: Grams) -> list[np.ndarray]:
 
 
 def _slot(o: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    h = (context ^ (node * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA6B)
-    return (h >> np.uint32(32 - SLOT_BITS[o])).astype(np.int64) + _FROM[o]
+    h = node * np.uint32(0x9E3779B1)
+    h ^= context
+    h *= np.uint32(0x85EBCA6B)
+    h >>= np.uint32(32 - SLOT_BITS[o])
+    at = h.astype(np.int64)
+    at += _FROM[o]
+    return at
 
 
 class Code:
@@ -252,17 +257,18 @@ class Mixer:
 
     def mix(self, state: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(gate, inputs with a bias, mixed value) of decisions at depth b from the states of their contexts."""
-        gate = _LONGEST[0].take(state[0])
+        state = state.astype(np.intp, copy=False)
+        gate = _LONGEST[0].take(state[0], mode="clip")
         for o in range(1, ORDERS):
-            np.maximum(gate, _LONGEST[o].take(state[o]), out=gate)
+            np.maximum(gate, _LONGEST[o].take(state[o], mode="clip"), out=gate)
         gate += min(b, 7) * (ORDERS + 1) * 4
         x = np.full((ORDERS + 1, state.shape[1]), 0.3, np.float32)
         for o in range(ORDERS):
-            self.stretch[o].take(state[o], out=x[o])
+            self.stretch[o].take(state[o], out=x[o], mode="clip")
         weights = self.weights.T.astype(np.float32, order="C")
         mixed = np.zeros(state.shape[1], np.float32)
         for o in range(ORDERS + 1):
-            mixed += x[o] * weights[o].take(gate)
+            mixed += x[o] * weights[o].take(gate, mode="clip")
         return gate, x, np.clip(mixed, -12, 12)
 
     def refined(self, node: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -306,20 +312,23 @@ class Learner:
     def __init__(self, code: Code, cut: np.ndarray) -> None:
         self.code, self.cut, self.mixer = code, cut, Mixer()
         self.table = np.zeros(2 * SLOTS, np.int32)  # of each slot, how many 0s and 1s
+        self.state, self.touched = np.full(SLOTS, states(np.zeros(1, np.int64), np.zeros(1, np.int64))[0]), np.zeros(SLOTS, bool)  # what the counts tell
+        self.waiting: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]] = []  # slots, branches and times of what was predicted and isn't counted yet
         # word and pair counts of this task alone, by hash: they only teach the experts' shares
         self.word, self.pair, self.n = np.zeros(1 << 20, np.int32), Pairs(21), 0
 
     def predict(self, g: Grams, times: np.ndarray, rate: float) -> np.ndarray:
         """log10 of distinct grams' probability; the mixer learns that they occur so many times."""
-        m, total, lanes = self.mixer, np.zeros(len(g)), np.arange(ORDERS)[:, None] * 512
-        both = self.table.view(np.int64)
+        m, total = self.mixer, np.zeros(len(g))
         for at in range(0, len(g), 16384):
             order = at + self.code.falling(g[at : at + 16384])
-            part, often, log = g[order], times[order], np.zeros(len(order))
+            part, whole, log = g[order], times[order].astype(np.int32), np.zeros(len(order))
+            often = whole.astype(float)
             contexts = _contexts(part)
             for b, k, node, bit in self.code.decisions(part):
-                counts = (both[_slot(o, c[:k], node)].view(np.int32).reshape(-1, 2).T for o, c in enumerate(contexts))
-                state = np.stack([states(*c) for c in counts])
+                slots = [_slot(o, c[:k], node) for o, c in enumerate(contexts)]
+                self.waiting.append((slots, bit, whole[:k]))
+                state = np.stack([self.state.take(s, mode="clip") for s in slots]).astype(np.intp)
                 gate, x, mixed = m.mix(state, b)
                 p, bucket, plain = m.refined(node, mixed)
                 log[:k] += np.log10(np.where(bit == 1, p, 1 - p))
@@ -330,19 +339,22 @@ class Learner:
                 for o in range(ORDERS + 1):
                     m.weights[:, o] += np.bincount(gate, step * x[o], GATES)
                 m.near += np.bincount(bucket * 2 + bit, n, 256 * BUCKETS * 2).astype(np.int64)
-                m.met += np.bincount((state.astype(np.int64) * 2 + (bit + lanes)).ravel(), np.tile(n, ORDERS), ORDERS * 512).astype(np.int64)
+                for o in range(ORDERS):
+                    m.met[o * 512 : (o + 1) * 512] += np.bincount(state[o] * 2 + bit, n, 512).astype(np.int64)
             total[order] = log
         return total
 
-    def count(self, g: Grams, times: np.ndarray) -> None:
-        order = self.code.falling(g)
-        g, times = g[order], times[order].astype(np.int32)
-        for at in range(0, len(g), 16384):
-            part, n = g[at : at + 16384], times[at : at + 16384]
-            contexts = _contexts(part)
-            for _, k, node, bit in self.code.decisions(part):
-                for o, c in enumerate(contexts):
-                    np.add.at(self.table, 2 * _slot(o, c[:k], node) + bit, n[:k])
+    def count(self) -> None:
+        """Count all that was predicted since the last time."""
+        for slots, bit, n in self.waiting:
+            for s in slots:
+                self.touched[s] = True
+                np.add.at(self.table, 2 * s + bit, n)
+        self.waiting.clear()
+        at = np.flatnonzero(self.touched)
+        self.touched[at] = False
+        for part in np.array_split(at, max(1, len(at) >> 16)):
+            self.state[part] = states(*self.table.view(np.int64)[part].view(np.int32).reshape(-1, 2).T)
 
     def chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Learn from some texts; the names of their pairs of words and of the words before."""
@@ -351,7 +363,7 @@ class Learner:
         each, times = g[first], np.bincount(back, minlength=len(first))
         row, begin, end = cuts_and_words(g, starts)
         known = self.predict(each, times, 0.02 / (1 + self.n / 400_000) ** 0.5)
-        self.count(each, times)
+        self.count()
         value = np.concatenate([[0], np.cumsum(known[back])])
         h = g.word[end]
         pair, before = pair_keys(h, row)

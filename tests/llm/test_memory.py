@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 
-from docloom.llm import _text, decontaminate, jaccard_join, toxicity
+from docloom.llm import _text, decontaminate, jaccard_join, lm_scoring, toxicity
 
 
 def test_working_memory_is_some_pieces_of_a_batch():
@@ -34,3 +34,17 @@ def test_a_step_drops_what_other_steps_kept():
     assert toxicity._POOLS
     _text.begin("decontaminate")
     assert not toxicity._POOLS
+
+
+def test_states_beside_counts_are_what_the_counts_tell():
+    said = pa.array([f"the {a} cat saw the {b} dog" for a in ("big", "small", "red") for b in ("old", "young", "tired")] * 20)
+    times = np.zeros(257, np.int64)
+    for r in lm_scoring._count_bytes([pa.RecordBatch.from_arrays([said], names=["text"])]):
+        times += r["n"].to_numpy()
+    learner = lm_scoring.Learner(lm_scoring.Code(times[:256]), np.full(256, 1 / 256))
+    for at in (0, 90):
+        for _, _, data, offsets in _text.chunks(said.slice(at, 90)):
+            learner.chunk(data, offsets)
+        n0, n1 = learner.table.reshape(-1, 2).T
+        assert n0.sum() + n1.sum() and not learner.waiting
+        assert (learner.state == lm_scoring.states(n0, n1)).all()
