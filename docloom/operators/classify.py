@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.storage import spread
+from docloom.storage import spread, stage
 
 _PLAIN = re.compile(r"\([^()|]+(?:\|[^()|]+)*\)")
 
@@ -49,22 +49,45 @@ def by_rules(docs: DataFrame, rules: list[tuple[str, str, float]], text: str = "
     )
 
 
-def train_tfidf(docs: DataFrame, label: str, text: str = "text", features: int = 5000):
-    """A fitted MLlib pipeline: words and word pairs, TF-IDF, multinomial logistic regression. Needs five rows or more."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, VectorAssembler
+def _term_counts(text: str, features: int):
+    """Words and word pairs of a text, counted in hashed places: column tf. Nothing here is fitted."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, VectorAssembler
 
-    stages = [
+    return PipelineModel([
         RegexTokenizer(inputCol=text, outputCol="w1", pattern=r"\s+"),
         NGram(n=2, inputCol="w1", outputCol="w2"),
         HashingTF(inputCol="w1", outputCol="t1", numFeatures=features),
         HashingTF(inputCol="w2", outputCol="t2", numFeatures=features),
         VectorAssembler(inputCols=["t1", "t2"], outputCol="tf"),
-        IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(labelCol=label, maxIter=20, regParam=0.01),
-    ]
-    rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    if len(rows.limit(5).collect()) < 5:
+    ])
+
+
+def _fitted(counted: DataFrame, label: str):
+    """Weights of terms and a logistic regression on rows with tf and a label; each is read some times."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF
+
+    if len(counted.limit(5).collect()) < 5:
         raise ValueError("at least five labelled documents are needed")
-    return Pipeline(stages=stages).fit(rows)
+    return Pipeline(stages=[IDF(inputCol="tf", outputCol="features"), LogisticRegression(labelCol=label, maxIter=20, regParam=0.01)]).fit(counted)
+
+
+def train_tfidf(docs: DataFrame, label: str, text: str = "text", features: int = 5000):
+    """A fitted MLlib pipeline: words and word pairs, TF-IDF, multinomial logistic regression. Needs five rows or more."""
+    from pyspark.ml import PipelineModel
+
+    terms = _term_counts(text, features)
+    rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
+    return PipelineModel([terms, _fitted(stage(terms.transform(spread(rows)).select(label, "tf"), "terms"), label)])
+
+
+def by_tfidf(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", features: int = 5000) -> DataFrame:
+    """key and prediction for each row of docs, by what labels (key, label) teach: train_tfidf, applied to the documents
+    themselves. Each text is cut to terms once; fitting and prediction read the staged counts. A null text has no terms and
+    teaches nothing."""
+    plain = spread(docs.select(key, F.coalesce(text, F.lit("")).alias(text), F.col(text).isNotNull().alias("__said")))
+    counted = stage(_term_counts(text, features).transform(plain).select(key, "__said", "tf"), "terms")
+    taught = counted.where("__said").join(labels.select(key, label).where(F.col(label).isNotNull()), key).select(label, "tf")
+    return _fitted(taught, label).transform(counted).select(key, "prediction")

@@ -217,9 +217,8 @@ def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ml_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF-IDF and logistic regression on labelled documents, applied to all of them."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = d.join(read_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    return classify.train_tfidf(marked, "quality").transform(d).select("doc_id", F.col("prediction").cast("int").alias("quality"))
+    predicted = classify.by_tfidf(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "quality")
+    return predicted.select("doc_id", F.col("prediction").cast("int").alias("quality"))
 
 
 @query("""SELECT doc_id, chunk_index, CAST(coalesce(nullif(CASE WHEN chunk_index % 3 = 0 THEN 0 ELSE chunk_index + 1 END, 0), TRY_CAST(regexp_extract(doc_id || '_chunk_' || lpad(CAST(chunk_index + 1 AS VARCHAR), 5, '0'), '_chunk_([0-9]+)$', 1) AS INTEGER), chunk_index) AS INTEGER) AS place FROM v_chunk""")

@@ -364,3 +364,21 @@ def test_look_up_by_broadcast_and_by_salt(spark):
     want = sorted((k, i, "ab"[k]) for i, k in ((i, i % 3 if i % 2 else 0) for i in range(60)) if k < 2)
     for most in (10, 1):
         assert rows(latest.look_up(r, f, ["k"], "i", most=most).select("k", "i", "v")) == want
+
+
+def test_texts_are_cut_to_terms_once_for_fitting_and_prediction(spark):
+    from docloom.operators import classify
+
+    texts = [(i, None if i == 30 else f"{'good fine' if i % 2 else 'bad poor'} text {i % 5}") for i in range(31)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    d = spark.createDataFrame(texts, "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(25, None), (30, 1)], "doc_id long, quality int")
+    got = {r.doc_id: int(r.prediction) for r in classify.by_tfidf(d, labels, "quality").collect()}
+    assert len(got) == 31 and all(got[i] == i % 2 for i in range(30))
+    assert read.value == 31
