@@ -51,7 +51,7 @@ class _Segment:
             return
         said = _WORD.findall(text)
         self.ids.append(doc_id)
-        self.said.append(np.fromiter(map(self.number.__getitem__, said), np.int64, len(said)))
+        self.said.append(np.fromiter(map(self.number.__getitem__, said), np.int32, len(said)))
         self.words += len(said)
 
     def rows(self, segment: int) -> Iterator[pa.RecordBatch]:
@@ -63,19 +63,28 @@ class _Segment:
         ids, sizes = np.array(self.ids, np.int64)[by_id], np.array([len(self.said[i]) for i in by_id], np.int32)
         names = sorted(self.number)
         place = np.empty(len(names), np.int64)
-        place[[self.number[w] for w in names]] = np.arange(len(names))
-        pairs = place[np.concatenate([self.said[i] for i in by_id])] * len(ids) + np.repeat(np.arange(len(ids)), sizes)
-        pairs, tfs = np.unique(pairs, return_counts=True)
-        word, doc = np.divmod(pairs, len(ids))
-        starts = np.append(np.searchsorted(word, np.arange(len(names))), len(word))
-        lists = {"ids": ids[doc], "tfs": tfs.astype(np.int32), "dls": sizes[doc]}
-        most, least = np.maximum.reduceat(lists["tfs"], starts[:-1]), np.minimum.reduceat(lists["dls"], starts[:-1])
+        place[np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))] = np.arange(len(names))
+        # one array of a number for each word said, worked on in place: its word by name, then its document
+        pairs = place.take(np.concatenate([self.said[i] for i in by_id]))
+        self.said, self.number = [], defaultdict()
+        pairs *= len(ids)
+        pairs += np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        pairs.sort()
+        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        tfs = np.diff(first, append=len(pairs)).astype(np.int32)
+        pairs = pairs[first]
+        del first, place
+        starts = np.searchsorted(pairs, np.arange(len(names) + 1) * len(ids))
+        most = np.maximum.reduceat(tfs, starts[:-1])
         for a in range(0, len(names), _ROWS):
             cut = starts[a : a + _ROWS + 1]
             n = len(cut) - 1
-            packed = [_packed(v[cut[0] : cut[-1]], cut - cut[0]) for v in lists.values()]
+            doc = pairs[cut[0] : cut[-1]] % len(ids)
+            dls = sizes[doc]
+            least = np.minimum.reduceat(dls, cut[:-1] - cut[0])
+            packed = [_packed(v, cut - cut[0]) for v in (ids[doc], tfs[cut[0] : cut[-1]], dls)]
             none = [pa.nulls(n, pa.int64())] * 3
-            columns = [pa.array(names[a : a + n]), pa.array(np.full(n, segment)), pa.array(np.diff(cut).astype(np.int32)), pa.array(most[a : a + n]), pa.array(least[a : a + n])]
+            columns = [pa.array(names[a : a + n]), pa.array(np.full(n, segment)), pa.array(np.diff(cut).astype(np.int32)), pa.array(most[a : a + n]), pa.array(least)]
             yield pa.RecordBatch.from_arrays([*columns, *packed, *none], schema=_ARROW)
 
 

@@ -382,3 +382,35 @@ def test_texts_are_cut_to_terms_once_for_fitting_and_prediction(spark):
     got = {r.doc_id: int(r.prediction) for r in classify.by_tfidf(d, labels, "quality").collect()}
     assert len(got) == 31 and all(got[i] == i % 2 for i in range(30))
     assert read.value == 31
+
+
+def test_chunks_are_counted_behind_one_shuffle_of_mentions(spark):
+    import re
+
+    from docloom.operators.substrings import SubstringIndex
+
+    said = [(c, c // 3, n, t) for c in range(12) for n, t in (("Brand#1", "x"), ("Brand#1", "x"), (f"Brand#{c % 4}", "y"), ("other", "z"))]
+    mentions = spark.createDataFrame(said, "chunk_id long, doc_id long, name string, type string")
+    terms = spark.createDataFrame([(7, "#1"), (7, "Brand#2"), (8, "#3"), (9, "none")], "query_id long, term string")
+    got = graph.chunks_by_terms(mentions, terms, SubstringIndex.build(mentions), most=5)
+    want = []
+    for q, held in ((7, ("#1", "Brand#2")), (8, ("#3",))):
+        count = {c: len({(n, t) for k, _, n, t in said if k == c and any(h in n for h in held)}) for c in range(12)}
+        best = sorted((-n, c) for c, n in count.items() if n)[:5]
+        want += [(q, c, c // 3, -n, i + 1) for i, (n, c) in enumerate(best)]
+    assert rows(got) == sorted(want)
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, chunk_id", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_segment_of_postings_holds_four_bytes_a_word():
+    from docloom.operators.postings import _Segment
+
+    segment = _Segment()
+    for i in range(50):
+        segment.add(90 - i, f"a b b w{i % 7} a")
+    segment.add(5, None)
+    assert sum(x.nbytes for x in segment.said) == 4 * segment.words == 1000
+    head, lists = segment.rows(3)
+    assert head.to_pylist()[0]["words"] == 250 and not segment.said
+    a, b = lists.to_pylist()[:2]
+    assert (a["word"], a["n"], a["max_tf"], a["min_dl"], len(a["ids"])) == ("a", 50, 2, 5, 400) and (b["word"], b["max_tf"]) == ("b", 2)
