@@ -143,11 +143,13 @@ def chunks_by_terms(mentions: DataFrame, terms: DataFrame, index: SubstringIndex
     """(query_id, chunk_id, doc_id, entity_count, place): for each query the chunks that mention most entities whose name
     contains any of its terms (query_id, term), at most ``most``.
 
-    mentions: chunk_id, doc_id, name, type. ``only`` (query_id, doc_id) restricts a query to some documents.
+    mentions: chunk_id, doc_id, name, type. ``only`` (query_id, doc_id) restricts a query to some documents. Without it, mentions
+    are dealt once, by chunk; counting, and each task's best chunks of a query, need no further shuffle of them.
     """
     named = index.matches(terms, "term").select("query_id", "name").distinct()
     if only is None:
-        met = look_up(mentions, named, ["name"], "chunk_id")
+        held = mentions.select("chunk_id", "doc_id", "name", "type").join(broadcast_small(named.select("name").distinct()), "name", "left_semi")
+        met = look_up(held.repartition("chunk_id"), named, ["name"], "chunk_id")
     else:  # documents first: they are few for each query
         met = mentions.join(broadcast_small(only.select("query_id", "doc_id")), "doc_id").join(broadcast_small(named), ["query_id", "name"])
     counted = met.groupBy("query_id", "chunk_id").agg(F.countDistinct("name", "type").alias("entity_count"), F.min("doc_id").alias("doc_id"))
