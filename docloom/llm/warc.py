@@ -29,6 +29,12 @@ RESPONSE = "record_id string, target_uri string, warc_date string, block binary,
 _HIDDEN = {"script", "style", "template", "noscript", "head"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "dfn", "em", "font", "i", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Tags as most are written, which need no further looking at: bare, or with one quoted attribute without references.
+_START = re.compile(r"""<([a-zA-Z][a-zA-Z0-9]*)(?: ([a-zA-Z][a-zA-Z-]*)="([^"&]*)")?>""")
+_CLOSE = re.compile(r"</([a-zA-Z][a-zA-Z0-9]*)>")
+#: What stands in these isn't markup; html.parser sees to them.
+_RAW = {"script", "style", "title", "textarea", "iframe", "xmp", "noembed", "noframes", "noscript", "plaintext"}
+_JSON = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
 def digest(data: bytes) -> str:
@@ -47,6 +53,23 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.title, self.links, self.out, self.hidden, self.in_title = [], [], [], [], False
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # nobody asks for lines and columns
+
+    def parse_starttag(self, i: int) -> int:
+        m = _START.match(self.rawdata, i)
+        if m is None or (tag := m[1].lower()) in _RAW:
+            return super().parse_starttag(i)
+        self.lasttag = tag
+        self.handle_starttag(tag, [(m[2].lower(), m[3])] if m[2] else [])
+        return m.end()
+
+    def parse_endtag(self, i: int) -> int:
+        if self.cdata_elem is not None or (m := _CLOSE.match(self.rawdata, i)) is None or (tag := m[1].lower()) in _RAW:
+            return super().parse_endtag(i)
+        self.handle_endtag(tag)
+        return m.end()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         for name, value in attrs:
             if name in ("href", "src") and value:
@@ -83,7 +106,7 @@ def page(source: str) -> tuple[str, str, list[dict]]:
         p.close()
     except (AssertionError, ValueError):  # html.parser gives up on some broken declarations; what it had stays
         p.out.append("\n" + html.unescape(re.sub(r"<[^>]*>?", " ", p.rawdata)))
-    squeeze = lambda s: re.sub(r"\s+", " ", s).strip()
+    squeeze = lambda s: " ".join(s.split())
     lines = (squeeze(x) for x in "".join(p.out).split("\n"))
     return squeeze("".join(p.title)), "\n".join(x for x in lines if x), p.links
 
@@ -116,7 +139,8 @@ def _responses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             body = b"" if r.html is None else r.html.encode("utf-8", "replace")
             head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n"
             block = head.encode() + body
-            rows.append((_urn(f"response\n{r.page_id}\n{url}\n{digest(block)}"), url, r.date, block, digest(block), digest(body), r.page_id))
+            name = digest(block)
+            rows.append((_urn(f"response\n{r.page_id}\n{url}\n{name}"), url, r.date, block, name, digest(body), r.page_id))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESPONSE.split(", ")])
 
 
@@ -139,7 +163,7 @@ def _derived(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "page": {"title": title, "links": links, "text-length": len(text)},
             }
             for kind, mime, data in (
-                ("metadata", "application/json", json.dumps(about, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode("utf-8", "replace")),
+                ("metadata", "application/json", _JSON.encode(about).encode("utf-8", "replace")),
                 ("conversion", "text/plain", text.encode("utf-8", "replace")),
             ):
                 rows.append((_urn(f"{kind}\n{r.record_id}"), kind, r.target_uri, r.warc_date, r.record_id, mime, len(data), digest(data), r.payload_digest, r.source_id, data))
