@@ -34,6 +34,11 @@ def begin(step: str) -> None:
     _STEP_OF[0] = step
     for kept in KEPT:
         kept.clear()
+    release()
+
+
+def release() -> None:
+    """What this process no longer refers to goes back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # not every C library has it

@@ -10,6 +10,7 @@ prediction is rejected is set (``rejected_share`` of known-good texts at most, a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm._split import append_columns, bounded_sample, remainder
-from docloom.llm._text import begin
+from docloom.llm._text import begin, release
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -137,9 +138,18 @@ def features(texts: pa.Array) -> Iterator[tuple[bytes, bytes]]:
         yield at.astype(np.uint16).tobytes(), (count[at] / max(1, count.sum())).astype(np.float32).tobytes()
 
 
+def packed(at: bytes, share: bytes) -> tuple[bytes, bytes]:
+    """Buckets and shares of a text as they go to the driver: steps between buckets, and shares of which few differ, deflated."""
+    return zlib.compress(np.diff(np.frombuffer(at, np.uint16), prepend=np.uint16(0)).tobytes(), 1), zlib.compress(share, 1)
+
+
+def unpacked(at: bytes, share: bytes) -> tuple[bytes, bytes]:
+    return np.cumsum(np.frombuffer(zlib.decompress(at), np.uint16), dtype=np.uint16).tobytes(), zlib.decompress(share)
+
+
 def fit(rows: list[tuple[str, bytes, bytes]], dims: int = 16, epochs: int = 6, rate: float = 0.6, sure: float = 0.5, rejected_share: float = 0.001) -> LanguageModel:
     """Train on (language, buckets, shares), all but each fifth, and calibrate on those. No rows give no languages."""
-    rows = [(y, np.frombuffer(i, np.uint16).astype(np.int64), np.frombuffer(v, np.float32)) for y, i, v in sorted(set(rows))]
+    rows = [(y, np.frombuffer(i, np.uint16), np.frombuffer(v, np.float32)) for y, i, v in sorted(set(rows))]
     rows = [r for r in rows if len(r[1])]
     model = LanguageModel(sorted({r[0] for r in rows}))
     n = len(model.languages)
@@ -190,7 +200,7 @@ def learn(docs: DataFrame, folds: int = 5, per_language: int = 1500, most: int =
     """Fit on texts with a language whose crc32 of doc_id mod folds isn't 0: per_language distinct ones of each language.
 
     With over most / per_language languages, each gets its part of ``most`` texts (one at least), so what comes to the
-    driver has a bound: the buckets of about ``most`` texts, 6 bytes for each that a text has (98 KB at most). Texts are
+    driver has a bound: the buckets of about ``most`` texts, deflated to some 2 bytes for each that a text has. Texts are
     chosen by their hash; repeated rows count once, whatever their doc_id.
     """
     rows = docs.select(docs["doc_id"].alias("d_id"), docs[text].alias("d_text"), docs["lang"].alias("d_lang"))
@@ -206,13 +216,16 @@ def learn(docs: DataFrame, folds: int = 5, per_language: int = 1500, most: int =
                     seen.add(name)
                     new.append(i)
             batch = batch.take(pa.array(new, pa.int64()))
-            at, share = zip(*features(batch.column(0)), strict=True) if batch.num_rows else ((), ())
+            at, share = zip(*(packed(*x) for x in features(batch.column(0))), strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(at, pa.binary()), pa.array(share, pa.binary())], names=["lang", "at", "share"])
 
     languages = rows.select("d_lang").distinct().count()
     chosen = bounded_sample(rows, "d_lang", max(1, min(per_language, most // max(1, languages))), ["d_text"]).select("d_text", "d_lang", F.xxhash64("d_text").alias("h"))
     got = chosen.mapInArrow(run, "lang string, at binary, share binary").dropDuplicates().collect()
-    return fit([(r.lang, bytes(r["at"]), bytes(r.share)) for r in got])
+    model = fit([(r.lang, *unpacked(bytes(r["at"]), bytes(r.share))) for r in got])
+    del got
+    release()  # of the driver's memory
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm._split import append_columns, bounded_sample, remainder
-from docloom.llm._text import KEPT, begin
+from docloom.llm._text import KEPT, begin, release
 
 WIDTH = 24
 COST = 0.1
@@ -315,7 +315,10 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, per_label: int = 2
     labelled = rows.join(F.broadcast(chosen), F.col("d_id") == F.col("l_id")).select("d_text", "l_toxic")
     got = bounded_sample(labelled, "l_toxic", per_label, ["d_text"]).dropDuplicates().collect()
     got.sort(key=lambda r: (r.d_text or "", r.l_toxic))
-    return fit([r.d_text for r in got], [r.l_toxic for r in got])
+    model = fit([r.d_text for r in got], [r.l_toxic for r in got])
+    del got
+    release()  # of the driver's memory
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
