@@ -88,40 +88,44 @@ class Grams:
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[Grams, np.ndarray]:
     """The grams of texts end to end, each text's end symbol included; and where each text's begin."""
-    n, lengths, back = len(offsets) - 1, np.diff(offsets), max(BYTES)
+    lengths = np.diff(offsets)
     starts = np.concatenate([[0], np.cumsum(lengths + 1)])
-    # so many ends before each text that no context reaches into the one before; and a whole 64-bit word before the first
-    whole = np.full(8 + len(data) + n * back + back, END, np.uint8)
-    padded = whole[8:]
-    at = np.arange(len(data)) + np.repeat(np.arange(1, n + 1) * back, lengths)
-    padded[at] = LOWER[data]
-    real = np.zeros(len(padded), bool)
-    real[at] = True
-    real[offsets[1:] + np.arange(1, n + 1) * back] = True
+    whole = np.full(8 + int(starts[-1]), END, np.uint8)  # a whole 64-bit word before the first
+    symbols, real = whole[8:], np.ones(int(starts[-1]), bool)
+    real[starts[1:] - 1] = False
+    symbols[real] = LOWER.take(data)
     # the eight bytes that end at each place, the last one lowest
-    key = np.ndarray(len(padded), ">u8", whole, 1, (1,))[real].astype(np.uint64) & np.uint64((1 << (8 * back + 8)) - 1)
-    symbols = padded[real]
-    place = np.arange(len(symbols))
-    begin = np.zeros(len(symbols), np.int64)
-    begin[1:] = np.maximum.accumulate(np.where(_CUT[symbols], place + 1, 0))[:-1]
-    inside = place - begin
-    value = _BYTE[symbols]
-    value *= _powers(int(inside.max(initial=0)) + 1)[inside]
+    key = np.ndarray(len(symbols), ">u8", whole, 1, (1,)).astype(np.uint64)
+    key &= np.uint64((1 << (8 * max(BYTES) + 8)) - 1)
+    for inside in range(max(BYTES)):  # no context reaches into the text before: ends stand there
+        key[starts[:-1][lengths >= inside] + inside] |= np.uint64((1 << (8 * max(BYTES) + 8)) - (1 << (8 * inside + 8)))
+    cuts = np.flatnonzero(_CUT.take(symbols))  # the last symbol is one, an end
+    begin = np.concatenate([[0], cuts + 1])[:-1]
+    times = cuts + 1 - begin
+    value = _BYTE.take(symbols)
+    value *= _powers(int(times.max(initial=0)) + 1).take(np.arange(len(symbols)) - np.repeat(begin, times))
     total = np.zeros(len(symbols) + 1, np.uint64)
     np.cumsum(value, out=total[1:])
-    return Grams(key, total[:-1] - total[begin]), starts
+    return Grams(key, np.subtract(total[:-1], np.repeat(total[begin], times), out=value)), starts
 
 
-def distinct(name: np.ndarray, bits: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """(where each name first stands for its like, which of those each one is); names that share a slot may stand twice."""
-    slot, place = (name >> np.uint64(64 - bits)).astype(np.int64), np.arange(len(name), dtype=np.int32)
+def distinct(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each name stands for its like, which of those each one is)"""
+    bits = min(20, len(name).bit_length() + 1)
+    slot = (name >> np.uint64(64 - bits)).view(np.int64)
     table = np.empty(1 << bits, np.int32)
-    table[slot] = place
-    stand = table[slot]
-    stand = np.where(name[stand] == name, stand, place)
-    own = stand == place
-    number = np.cumsum(own) - 1
-    return np.flatnonzero(own), number[stand]
+    table[slot] = np.arange(len(name), dtype=np.int32)
+    stand = table.take(slot, mode="clip")
+    lost = np.flatnonzero(name.take(stand, mode="clip") != name)  # another name stands in their slot
+    if len(lost):
+        _, first, back = np.unique(name[lost], return_index=True, return_inverse=True)
+        stand[lost] = lost[first][back]
+    own = np.zeros(len(name), bool)
+    own[stand] = True
+    at = np.flatnonzero(own)
+    number = np.empty(len(name), np.int64)
+    number[at] = np.arange(len(at))
+    return at, number.take(stand, mode="clip")
 
 
 def _contexts(g: Grams) -> list[np.ndarray]:
@@ -130,8 +134,21 @@ def _contexts(g: Grams) -> list[np.ndarray]:
     return [*out, mix(g.word + np.uint64(5)).astype(np.uint32)]
 
 
+def by_contexts(g: Grams, size: int = 16384) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, numbers of their contexts from 0 on) of some size grams at a time; those of the same contexts come together."""
+    _, number = distinct(Grams(g.key >> np.uint64(8), g.word).names())
+    number = np.sort((number << 32) | np.arange(len(g)))
+    places = number & 0xFFFFFFFF
+    number >>= 32
+    first = np.flatnonzero(np.diff(number, prepend=-1))
+    cuts = np.append(first, len(g))[np.unique(np.searchsorted(first, np.arange(0, len(g) + size, size)))].tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield places[a:b], number[a:b] - number[a]
+
+
 def _slot(o: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    h = node * np.uint32(0x9E3779B1)
+    h = node.astype(np.uint32)
+    h *= np.uint32(0x9E3779B1)
     h ^= context
     h *= np.uint32(0x85EBCA6B)
     h >>= np.uint32(32 - SLOT_BITS[o])
@@ -160,22 +177,36 @@ class Code:
                 at = parent[at]
             paths.append(path[::-1])
         self.length = np.array([len(p) for p in paths])
-        self.node, self.bit = np.zeros((self.length.max(), 256), np.uint32), np.zeros((self.length.max(), 256), np.int64)
+        self.node, self.bit = np.zeros((self.length.max(), 256), np.int64), np.zeros((self.length.max(), 256), np.int64)
         for symbol, path in enumerate(paths):
             for level, (node, bit) in enumerate(path):
                 self.node[level, symbol], self.bit[level, symbol] = node, bit
 
-    def falling(self, g: Grams) -> np.ndarray:
-        """The order of grams in which those whose symbols have long codes come first, so that at each depth some first ones go on."""
-        return np.argsort((255 - self.length).astype(np.uint8)[(g.key & np.uint64(0xFF)).astype(np.int64)], kind="stable")
-
-    def decisions(self, g: Grams) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(depth, how many first ones of grams in falling order go on, their nodes, their branches)"""
-        symbol = (g.key & np.uint64(0xFF)).astype(np.int64)
-        length = self.length[symbol]
-        for level in range(int(length.max(initial=0))):
-            n = int(np.searchsorted(-length, -level, "left"))
-            yield level, n, self.node[level].take(symbol[:n]), self.bit[level].take(symbol[:n])
+    def falling(self, symbol: np.ndarray) -> np.ndarray:
+        """The order of symbols in which those with long codes come first, so that at each depth some first ones go on."""
+        return np.argsort((255 - self.length).astype(np.uint8).take(symbol), kind="stable")
+
+    def decisions(self, symbol: np.ndarray, number: np.ndarray, contexts: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
+        """(depth, contexts and nodes of decisions, twice a decision's number plus the branch for each first symbol that goes on)
+        of symbols in falling order, each in the contexts of its number. What is decided in the same contexts at one node is one decision."""
+        ended = np.cumsum(np.bincount(self.length.take(symbol), minlength=1))
+        for level in range(len(ended) - 1):
+            n = len(symbol) - int(ended[level])
+            if level:
+                side = side[:n]
+                taken = np.zeros(2 * len(node), bool)
+                taken[side] = True
+                of = np.flatnonzero(taken)
+                number = np.empty(2 * len(node), np.int64)
+                number[of] = np.arange(len(of))
+                number = number.take(side, mode="clip")
+                of >>= 1
+                contexts = [c.take(of, mode="clip") for c in contexts]
+            node = np.empty(len(contexts[0]), np.int64)
+            node[number] = self.node[level].take(symbol[:n])
+            side = 2 * number
+            side += self.bit[level].take(symbol[:n])
+            yield level, contexts, node, side
 
 
 def _states(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -200,7 +231,7 @@ def states(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 def cuts_and_words(g: Grams, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first place, place of the cut behind) of each word, in order."""
-    cut = _CUT[(g.key & np.uint64(0xFF)).astype(np.int64)]
+    cut = _CUT.take(g.key.astype(np.uint8))
     before = np.ones(len(cut), bool)
     before[1:] = cut[:-1]
     first, end = np.flatnonzero(~cut & before), np.flatnonzero(cut & ~before)
@@ -255,32 +286,53 @@ class Mixer:
         self.settle()
         return self
 
-    def mix(self, state: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def mix(self, state: list[np.ndarray], b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(gate, inputs with a bias, mixed value) of decisions at depth b from the states of their contexts."""
-        state = state.astype(np.intp, copy=False)
+        state = [s.astype(np.intp, copy=False) for s in state]
         gate = _LONGEST[0].take(state[0], mode="clip")
         for o in range(1, ORDERS):
             np.maximum(gate, _LONGEST[o].take(state[o], mode="clip"), out=gate)
         gate += min(b, 7) * (ORDERS + 1) * 4
-        x = np.full((ORDERS + 1, state.shape[1]), 0.3, np.float32)
-        for o in range(ORDERS):
-            self.stretch[o].take(state[o], out=x[o], mode="clip")
+        x = np.full((ORDERS + 1, len(gate)), 0.3, np.float32)
         weights = self.weights.T.astype(np.float32, order="C")
-        mixed = np.zeros(state.shape[1], np.float32)
-        for o in range(ORDERS + 1):
-            mixed += x[o] * weights[o].take(gate, mode="clip")
-        return gate, x, np.clip(mixed, -12, 12)
+        mixed = weights[ORDERS].take(gate, mode="clip")
+        mixed *= np.float32(0.3)
+        for o in range(ORDERS):
+            part = self.stretch[o].take(state[o], out=x[o], mode="clip") * weights[o].take(gate, mode="clip")
+            mixed += part
+        np.maximum(mixed, np.float32(-12), out=mixed)
+        return gate, x, np.minimum(mixed, np.float32(12), out=mixed)
 
     def refined(self, node: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(probability, nearest bucket, probability before it is refined) of decisions at nodes of the code."""
-        at = np.clip(mixed, -7.999, 7.999) * 2 + 16
-        low = at.astype(np.int64)
-        part = at - low
-        slot = node.astype(np.int64) * BUCKETS + low
+        at = np.minimum(np.maximum(mixed, np.float32(-7.999)), np.float32(7.999))
+        at *= np.float32(2)
+        at += np.float32(16)
+        low = np.floor(at)
+        at -= low
+        slot = node * BUCKETS
+        slot += low.astype(np.intp)
         flat = self.refine.reshape(-1)
-        plain = 1 / (1 + np.exp(-mixed))
-        p = 0.5 * plain + 0.5 * (flat[slot] * (1 - part) + flat[slot + 1] * part)
-        return np.clip(p, 1e-6, 1 - 1e-6), slot + (part > 0.5), plain
+        below, p = flat.take(slot, mode="clip"), flat[1:].take(slot, mode="clip")
+        p -= below
+        p *= at
+        p += below
+        plain = np.exp(-mixed)
+        plain += np.float32(1)
+        np.reciprocal(plain, out=plain)
+        p += plain
+        p *= np.float32(0.5)
+        np.maximum(p, np.float32(1e-6), out=p)
+        slot += at > 0.5
+        return np.minimum(p, np.float32(1 - 1e-6), out=p), slot, plain
+
+
+def _both(p: np.ndarray) -> np.ndarray:
+    """Logarithms of the probabilities of a 0 and of a 1, one after the other for each decision."""
+    out = np.empty((len(p), 2), np.float32)
+    np.subtract(np.float32(1), p, out=out[:, 0])
+    out[:, 1] = p
+    return np.log(out, out=out).reshape(-1)
 
 
 class Pairs:
@@ -313,48 +365,66 @@ class Learner:
         self.code, self.cut, self.mixer = code, cut, Mixer()
         self.table = np.zeros(2 * SLOTS, np.int32)  # of each slot, how many 0s and 1s
         self.state, self.touched = np.full(SLOTS, states(np.zeros(1, np.int64), np.zeros(1, np.int64))[0]), np.zeros(SLOTS, bool)  # what the counts tell
-        self.waiting: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]] = []  # slots, branches and times of what was predicted and isn't counted yet
+        self.waiting: list[tuple[list[np.ndarray], np.ndarray]] = []  # slots of what was predicted and isn't counted yet, and its 0s and 1s as one number
         # word and pair counts of this task alone, by hash: they only teach the experts' shares
         self.word, self.pair, self.n = np.zeros(1 << 20, np.int32), Pairs(21), 0
 
     def predict(self, g: Grams, times: np.ndarray, rate: float) -> np.ndarray:
         """log10 of distinct grams' probability; the mixer learns that they occur so many times."""
-        m, total = self.mixer, np.zeros(len(g))
-        for at in range(0, len(g), 16384):
-            order = at + self.code.falling(g[at : at + 16384])
-            part, whole, log = g[order], times[order].astype(np.int32), np.zeros(len(order))
-            often = whole.astype(float)
-            contexts = _contexts(part)
-            for b, k, node, bit in self.code.decisions(part):
-                slots = [_slot(o, c[:k], node) for o, c in enumerate(contexts)]
-                self.waiting.append((slots, bit, whole[:k]))
-                state = np.stack([self.state.take(s, mode="clip") for s in slots]).astype(np.intp)
-                gate, x, mixed = m.mix(state, b)
+        m, total, near = self.mixer, np.zeros(len(g)), np.zeros(256 * BUCKETS, np.int64)
+        times = times.astype(np.int32)
+        for places, number in by_contexts(g):
+            symbol = g.key[places].astype(np.uint8)
+            order = self.code.falling(symbol)
+            contexts = _contexts(g[places[np.flatnonzero(np.diff(number, prepend=-1))]])
+            places, symbol = places[order], symbol[order].astype(np.intp)
+            n, log = times[places], np.zeros(len(places), np.float32)
+            for b, contexts, node, side in self.code.decisions(symbol, number[order], contexts):
+                k, each = len(side), np.zeros(2 * len(node), np.int32)
+                np.add.at(each, side, n[:k])
+                slots = [_slot(o, c, node) for o, c in enumerate(contexts)]
+                both = each.view(np.int64)
+                self.waiting.append((slots, both))
+                gate, x, mixed = m.mix([self.state.take(s, mode="clip") for s in slots], b)
                 p, bucket, plain = m.refined(node, mixed)
-                log[:k] += np.log10(np.where(bit == 1, p, 1 - p))
-                n = often[:k]
-                weight = np.bincount(gate, n, GATES)
+                log[:k] += _both(p).take(side, mode="clip")
+                np.add.at(near, bucket, both)
+                ones = each[1::2].astype(np.float32)
+                often = ones + each[::2]
+                weight = np.bincount(gate, often, GATES)
                 m.seen += weight.astype(np.int64)
-                step = (np.minimum(1.0, 24 / np.maximum(1, weight)) * rate)[gate] * n * (bit - plain)
-                for o in range(ORDERS + 1):
-                    m.weights[:, o] += np.bincount(gate, step * x[o], GATES)
-                m.near += np.bincount(bucket * 2 + bit, n, 256 * BUCKETS * 2).astype(np.int64)
+                step = np.minimum(1.0, 24 / np.maximum(1, weight)) * rate
+                plain *= often
+                ones -= plain  # what was said beyond what was expected
                 for o in range(ORDERS):
-                    m.met[o * 512 : (o + 1) * 512] += np.bincount(state[o] * 2 + bit, n, 512).astype(np.int64)
-            total[order] = log
-        return total
+                    x[o] *= ones
+                    m.weights[:, o] += step * np.bincount(gate, x[o], GATES)
+                m.weights[:, ORDERS] += step * 0.3 * np.bincount(gate, ones, GATES)
+            total[places] = log
+        m.near += near.view(np.int32)
+        return total * np.log10(np.e)
 
     def count(self) -> None:
-        """Count all that was predicted since the last time."""
-        for slots, bit, n in self.waiting:
+        """Count all that was predicted since the last time, in the contexts' slots and for the states that told of it."""
+        for slots, _ in self.waiting:
             for s in slots:
                 self.touched[s] = True
-                np.add.at(self.table, 2 * s + bit, n)
-        self.waiting.clear()
-        at = np.flatnonzero(self.touched)
+        at, table, m = np.flatnonzero(self.touched), self.table.view(np.int64), self.mixer
         self.touched[at] = False
-        for part in np.array_split(at, max(1, len(at) >> 16)):
-            self.state[part] = states(*self.table.view(np.int64)[part].view(np.int32).reshape(-1, 2).T)
+        before = table[at]
+        for slots, both in self.waiting:
+            for s in slots:
+                np.add.at(table, s, both)
+        self.waiting.clear()
+        cuts = np.searchsorted(at, _FROM)
+        for o, (first, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            for i in range(first, end, 1 << 16):
+                part = at[i : min(end, i + (1 << 16))]
+                now = table[part]
+                old, more = self.state[part].astype(np.intp), (now - before[i : i + len(part)]).view(np.int32)
+                for bit in (0, 1):
+                    m.met[o * 512 + bit : (o + 1) * 512 : 2] += np.bincount(old, more[bit::2], 256).astype(np.int64)
+                self.state[part] = states(*now.view(np.int32).reshape(-1, 2).T)
 
     def chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Learn from some texts; the names of their pairs of words and of the words before."""
@@ -372,7 +442,7 @@ class Learner:
             at = (mix(h) >> np.uint64(44)).astype(np.int64)
             seen = self.pair.get(before)
             gate = word_gate(seen)
-            chance = np.stack([10 ** (value[end + 1] - value[begin]), self.word[at] / max(1, self.n) * q, np.where(seen > 0, np.minimum(1, self.pair.get(pair) / np.maximum(1, seen)), 0) * q])
+            chance = np.stack([np.exp(np.log(10) * (value[end + 1] - value[begin])), self.word[at] / max(1, self.n) * q, np.where(seen > 0, np.minimum(1, self.pair.get(pair) / np.maximum(1, seen)), 0) * q])
             chance *= self.mixer.share[gate].T
             chance /= np.maximum(chance.sum(axis=0), 1e-300)
             for k in range(EXPERTS):
@@ -551,16 +621,24 @@ class ContextModel:
 
     def log10(self, g: Grams) -> np.ndarray:
         """log10 of the probability of each gram's symbol in its contexts."""
-        out, order = np.zeros(len(g)), self.code.falling(g)
+        symbol = g.key.astype(np.uint8)
+        out, order = np.zeros(len(g)), self.code.falling(symbol)
+        symbol = symbol[order].astype(np.intp)
+        lengths = self.code.length.take(symbol)
         for at in range(0, len(g), 16384):
-            part = g[order[at : at + 16384]]
-            contexts, total = _contexts(part), np.zeros(len(part))
-            for b, k, node, bit in self.code.decisions(part):
-                state = np.stack([self.state[_slot(o, c[:k], node)] for o, c in enumerate(contexts)])
+            places, said = order[at : at + 16384], symbol[at : at + 16384]
+            contexts, total = _contexts(g[places]), np.zeros(len(places), np.float32)
+            for b in range(int(lengths[at])):
+                k = int(np.searchsorted(-lengths[at : at + 16384], -b, "left"))
+                node = self.code.node[b].take(said[:k])
+                state = [self.state.take(_slot(o, c[:k], node), mode="clip") for o, c in enumerate(contexts)]
                 p, *_ = self.mixer.refined(node, self.mixer.mix(state, b)[2])
-                total[:k] += np.log10(np.where(bit == 1, p, 1 - p))
-            out[order[at : at + 16384]] = total
-        return out
+                ones = self.code.bit[b].take(said[:k]).astype(np.float32)  # p of a 1, 1 - p of a 0
+                ones -= np.float32(1)
+                ones += p
+                total[:k] += np.log(np.abs(ones, out=ones), out=ones)
+            out[places] = total
+        return out * np.log10(np.e)
 
     def pairs(self, name: np.ndarray) -> np.ndarray:
         """Exact counts of the names that hold their slot, 0 of others; so what followed a word sums to its count at most."""
@@ -600,7 +678,7 @@ class Scorer:
         seen = m.pairs(before)
         share = m.mixer.share[word_gate(seen)]
         q = m.cut[(g.key[end] & np.uint64(0xFF)).astype(np.int64)]
-        both = share[:, 0] * 10 ** np.maximum(said, -280) + np.where(seen > 0, np.minimum(1, m.pairs(pair) / np.maximum(1, seen)), 0) * share[:, 2] * q
+        both = share[:, 0] * np.exp(np.log(10) * np.maximum(said, -280)) + np.where(seen > 0, np.minimum(1, m.pairs(pair) / np.maximum(1, seen)), 0) * share[:, 2] * q
         # What isn't a word but a cut after a cut is said by the contexts alone, with their share at a word's place.
         alone = np.bincount(row, said, len(offsets) - 1)
         cuts = np.diff(starts) - np.bincount(row, end - begin + 1, len(offsets) - 1)
@@ -645,18 +723,18 @@ def _word_counts(batches: Iterator[pa.RecordBatch], flush: int = 1_500_000) -> I
     held, size = [], 0
 
     def packed() -> pa.RecordBatch:
-        h, train = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-        order = np.argsort(h)
-        h, train = h[order], train[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        every, taught = np.diff(np.append(first, len(h))), np.add.reduceat(train.astype(np.int64), first)
-        return _by_shard(h[first], {"n": every.astype(np.uint32), "c": taught.astype(np.uint32)})
+        h, out = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        h, every = np.unique(h, return_counts=True)
+        out, times = np.unique(out, return_counts=True)
+        taught = every.copy()
+        taught[np.searchsorted(h, out)] -= times
+        return _by_shard(h, {"n": every.astype(np.uint32), "c": taught.astype(np.uint32)})
 
     for batch in batches:
         taught = np.asarray(batch.column(1).to_pylist(), bool)
         for a, _, data, offsets in chunks(batch.column(0)):
             rows, h, _ = words(data, offsets, SPACED)
-            held.append((h, taught[a + rows]))
+            held.append((h, h[~taught[a + rows]]))
             size += len(h)
             if size > flush:
                 yield packed()
