@@ -414,3 +414,20 @@ def test_segment_of_postings_holds_four_bytes_a_word():
     assert head.to_pylist()[0]["words"] == 250 and not segment.said
     a, b = lists.to_pylist()[:2]
     assert (a["word"], a["n"], a["max_tf"], a["min_dl"], len(a["ids"])) == ("a", 50, 2, 5, 400) and (b["word"], b["max_tf"]) == ("b", 2)
+
+
+def test_starts_and_nodes_of_a_class_are_paired_whole_in_any_tiles(spark):
+    member = [(f"s{i}", "a") for i in range(37)] + [("t", "b"), ("u", "c")]
+    reached = [("a", f"s{i}", 2) for i in range(37)] + [("a", f"x{i}", 1 + i % 2) for i in range(50)] + [("b", "x0", 1), ("b", "t", 2), ("d", "x1", 1)]
+    want = sorted((s, n, h) for s, c in member for k, n, h in reached if k == c and s != n)
+    for sizes in ((2, 5, 7), (3, 1000, 10), (256, 16_384, 1_000_000)):
+        got = graph.each_with_each(spark.createDataFrame(member, "start string, class string"), spark.createDataFrame(reached, "class string, node string, hops int"), *sizes)
+        assert rows(got) == want, sizes
+
+
+def test_neighbourhood_of_starts_with_the_same_nodes_takes_little_disk(spark, tmp_path):
+    starts = spark.range(1500).selectExpr("'Supplier ' || id AS src", "'hub ' || id % 3 AS dst")
+    edges = starts.unionByName(spark.range(500).selectExpr("'Customer ' || id AS src", "'hub ' || id % 3 AS dst"))
+    graph.neighbourhood(edges, starts.selectExpr("src AS node"), 2).write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).distinct().count() == 1500 * 2 + 500 * (1500 + 500) - 1500
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 400_000
